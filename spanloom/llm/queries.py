@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.sentencepieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.decontaminate import decontaminate
 
@@ -28,10 +41,25 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.token_ids import read_token_ids, write_token_ids
+
+    return read_token_ids(write_token_ids(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_ids": op6_token_ids,
+    "op7_token_counts": op7_token_counts,
 }
 
 _OP2_SQL = r"""
