@@ -53,6 +53,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
@@ -60,6 +66,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_token_ids": op6_token_ids,
     "op7_token_counts": op7_token_counts,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 _OP2_SQL = r"""
