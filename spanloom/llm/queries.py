@@ -33,6 +33,15 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.language import predict, train
+
+    docs, path = table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = train(docs.where(~held_out), path, docs_per_language=400)
+    return predict(docs, model, path).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.line_dedup import dedup_lines
 
@@ -63,6 +72,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
+    "op4_language": op4_language,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_ids": op6_token_ids,
     "op7_token_counts": op7_token_counts,
