@@ -68,6 +68,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.jaccard import link_components
+
+    return link_components(table(spark, sf_dir, "documents"), percent=75)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
@@ -77,6 +83,7 @@ QUERIES = {
     "op6_token_ids": op6_token_ids,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
+    "op9_jaccard": op9_jaccard,
 }
 
 _OP2_SQL = r"""
