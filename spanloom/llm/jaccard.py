@@ -373,3 +373,19 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_smallest(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their component; all columns stay as they are.
+
+    Of rows that repeat both id and text one stays. Documents without words, and
+    rows without id in a component without any id, stay.
+    """
+    kept = (
+        link_components(docs, percent, id_col, text_col)
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"))
+        .distinct()
+    )
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__text": F.xxhash64(F.col(text_col))})
+    return keyed.join(kept, "__id", "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)

@@ -74,6 +74,13 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"), rated_per_grade=6000), least=0.6)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
@@ -84,6 +91,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
     "op9_jaccard": op9_jaccard,
+    "op10_quality": op10_quality,
 }
 
 _OP2_SQL = r"""
