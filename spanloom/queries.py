@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from spanloom.plans import thread_queries
+
+FLAGSHIP = "modification_score"
+_MODULES = (thread_queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
