@@ -183,7 +183,7 @@ def located(spark: SparkSession, sf_dir: str, length: int = 60) -> DataFrame:
     rows = items.limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("more than 10,000 items: locate them by a word index instead")
-    each = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["span"]).alias("span")) for r in sorted(rows)])
+    each = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["span"]).alias("span")) for r in sorted(rows)])
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), "text")
     return docs.select("example_id", "text", F.explode(F.filter(each, lambda i: F.contains(F.col("text"), i["span"]))).alias("i")).select("example_id", "text", "i.item_id", "i.span")
 
