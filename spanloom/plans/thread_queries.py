@@ -250,3 +250,26 @@ def serving_rollup(spark, sf_dir):
     kept = e.where((F.col("score") >= 0.45) & (F.length("word") >= 2)).withColumn("n", F.row_number().over(first)).where("n = 1")
     items = F.array_sort(F.collect_list(F.struct("event_id", "word")))
     return kept.groupBy("label").agg(F.count("*").alias("n_items"), F.array_join(F.transform(items, lambda i: i["word"]), ",").alias("words"), F.max(F.round(F.col("score") * 100)).cast("int").alias("best"))
+
+
+@query()
+def stream_ingest(spark, sf_dir):
+    """Events read as a stream of files; keys are appended once."""
+    import uuid
+
+    from spanloom.streaming.ingest import ingest
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="spanloom-stream-")
+    base = f"{root.rstrip('/')}/spanloom/stream-{uuid.uuid4().hex}"
+    known = table(spark, sf_dir, "events")
+    known.repartition(4).write.parquet(f"{base}/in")
+    fields = ", ".join(f"{n} {t}" for n, t in known.dtypes)
+    ingest(spark, f"{base}/in", fields, f"{base}/out", f"{base}/checkpoint", "event_id", "ts", form="parquet", files_per_trigger=2).awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+SQL["stream_ingest"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
