@@ -54,7 +54,7 @@ if __name__ == "__main__":
     sys.path.insert(0, str(__import__("pathlib").Path(__file__).resolve().parent.parent))
     import __spark_entry__ as e
 
-    spark = session()
+    spark = session(int(__import__("os").environ.get("CORES", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, found = connect(sys.argv[1]), e.oracle_sql(), e.queries()
     for name in sys.argv[2:] or list(found):
