@@ -13,7 +13,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,46 +75,60 @@ class UnitEncoder:
 
     The library splits text before every single blank that stands between
     other characters, and around a single line feed; texts with other runs of
-    white space, or with a special token's string, go to the library whole.
+    white space, or with a special token's string, go to the library whole. The
+    words kept are bounded in number: the first ones met, which are the frequent ones.
     """
 
-    def __init__(self, path: str, max_units: int = 300_000):
+    def __init__(self, path: str, max_units: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         before = self.tokenizer.pre_tokenizer
-        plain = type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", *special])) if plain and self.tokenizer.normalizer is None else re.compile("")
-        self.max_units, self.known = max_units, {}
+        self.plain = (
+            type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None
+        )
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.regular = re.compile(rf"(?!.*(?:{special}))\n?\S+" if special else r"\n?\S+").fullmatch
+        #: None for a unit whose text must go to the library whole.
+        self.known: dict[str, bytes | None] = {}
+        self.max_units = max_units
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.asarray(e.ids, "<u4").tobytes()
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if self.whole.search(t) else (" " + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        if not self.plain:
+            return self._run(texts)
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
         seen: set[str] = set()
         for units in split:
-            if units:
-                seen.update(units[1:])
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > self.max_units:
-            self.known, new = {}, seen
-        new = list(new)
-        self.known.update(zip(new, self._run([u if u[:1] == "\n" else " " + u for u in new])))
-        get, out = self.known.__getitem__, []
-        firsts = iter(self._run([units[0] for units in split if units]))
-        wholes = iter(self._run([t for t, units in zip(texts, split) if not units]))
-        for units in split:
-            out.append(next(firsts) + b"".join(map(get, units[1:])) if units else next(wholes))
+            seen.update(units[1:])
+        new = [u for u in seen if u not in self.known]
+        regular = [u for u in new if self.regular(u)]
+        self.known.update(dict.fromkeys(new))
+        self.known.update(zip(regular, self._run([u if u[0] == "\n" else " " + u for u in regular])))
+        firsts, get, out = self._run([units[0] for units in split]), self.known.__getitem__, []
+        for text, units, first in zip(texts, split, firsts):
+            try:
+                if units[0] and not self.regular(units[0]):
+                    raise TypeError
+                out.append(first + b"".join(map(get, units[1:])))
+            except TypeError:  # a unit without ids of its own
+                out.append(self._run([text])[0])
+        if len(self.known) > self.max_units:
+            for u in new:
+                del self.known[u]
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> UnitEncoder:
+    """A worker process keeps its encoder from task to task."""
+    return UnitEncoder(path)
+
+
 def write_token_ids(
     docs: DataFrame, tokenizer_path: str, end_id: int, bits: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -126,7 +142,7 @@ def write_token_ids(
     n = shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = UnitEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer_path), TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         done = segment = pending = 0
         doc_ids: list = []
