@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ GROUP_TEXTS = 256
 class Codec:
     """Encodes texts to piece ids and back."""
 
-    def __init__(self, path: str, max_words: int = 300_000, bpe: bool | None = None):
+    def __init__(self, path: str, max_words: int = 500_000, bpe: bool | None = None):
         self.model = PieceModel(path)
         self.segmenter, self.max_words = Segmenter(self.model, bpe), max_words
         #: Unit (see ``units``) to the bytes of its ids.
@@ -48,17 +49,19 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self.units(t) for t in texts]
-        new = set().union(*filter(None, split)).difference(self.known)
-        if len(self.known) + len(new) > self.max_words:
-            self.known = {}
-            new = set().union(*filter(None, split))
-        for unit in sorted(new):
-            self.known[unit] = self._ids(unit)
-        get = self.known.__getitem__
-        return [
+        known = self.known
+        new = sorted(set().union(*filter(None, split)).difference(known))
+        for unit in new:
+            known[unit] = self._ids(unit)
+        get = known.__getitem__
+        out = [
             b"" if not text else b"".join(map(get, units)) if units else array.array("I", [i for w in words_of(text) for i in self.segmenter.segment(w)]).tobytes()
             for text, units in zip(texts, split)
         ]
+        if len(known) > self.max_words:  # the first ones met stay: they are the frequent ones
+            for unit in new:
+                del known[unit]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return list(array.array("I", self.encode_all([text])[0]))
@@ -69,6 +72,12 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=1)
+def worker_codec(path: str) -> Codec:
+    """A worker process keeps its codec from task to task."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (array of int) for every row.
 
@@ -78,7 +87,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = worker_codec(model_path)
         for batch in batches:
             for start in range(0, batch.num_rows, GROUP_TEXTS):
                 part = batch.slice(start, GROUP_TEXTS)
@@ -95,7 +104,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     """``doc_id, text`` from ids; null ids give a null text. Ids that the model lacks raise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = worker_codec(model_path)
         for batch in batches:
             for start in range(0, batch.num_rows, GROUP_TEXTS):
                 part = batch.slice(start, GROUP_TEXTS)
@@ -116,7 +125,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = worker_codec(model_path)
         for batch in batches:
             for start in range(0, batch.num_rows, GROUP_TEXTS):
                 part = batch.slice(start, GROUP_TEXTS)
