@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
+from spanloom.operators.datasets import numbered as number_rows
 from spanloom.operators.spans import touching
 
 _KEY = "example_id"
@@ -181,10 +182,10 @@ def bootstrap_f1(stats: DataFrame, rounds: int = 1000, seed: str = "42", low: fl
     sums are added up per round; spans are not looked at again. Examples times
     rounds rows are made, in parallel; for large sets draw fewer rounds.
     """
-    numbered = stats.select("tp", "n_pred", "n_gold", (F.row_number().over(Window.orderBy(_KEY)) - 1).alias("i"))
+    numbered = number_rows(stats, _KEY).select("tp", "n_pred", "n_gold", "i")
     n = stats.count()
     draws = stats.sparkSession.range(rounds * n).select((F.col("id") / max(n, 1)).cast("long").alias("round"), (F.col("id") % max(n, 1)).alias("slot"))
-    draws = draws.withColumn("i", X.hash_index(F.concat_ws("|", "round", "slot"), max(n, 1), seed).cast("int"))
+    draws = draws.withColumn("i", X.hash_index(F.concat_ws("|", "round", "slot"), max(n, 1), seed))
     sums = draws.join(numbered, "i").groupBy("round").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_gold").alias("n_gold"))
     f1 = ratio(2 * F.col("tp"), F.col("n_pred") + F.col("n_gold"))
     return sums.select(f1.alias("f1")).agg(
