@@ -146,7 +146,7 @@ class LanguageModel:
         self.learn(set().union(*split))
         out = []
         for words in split:
-            if not words or not self.languages:
+            if not self.languages or not any(ch.isalpha() for w in words for ch in w):
                 out.append(("und", 0.0))
                 continue
             total = self.scores[[self.known[w] for w in words]].sum(axis=0)

@@ -121,7 +121,7 @@ def test_language_forward_sums_all_segmentations():
     for w in ("▁then", "▁deñ", "▁x中"):
         model.learn({w})
         assert np.exp(model.scores[model.known[w]]) == pytest.approx([total(w, 0), total(w, 1)])
-    assert model.predict([None, "", "12 !?", "\n"]) == [("und", 0.0)] * 4
+    assert model.predict([None, "", "12 !?", "\n", "½ ²"]) == [("und", 0.0)] * 5
     assert model.predict(["the then"])[0][0] == "a"
 
 
