@@ -182,8 +182,9 @@ def bootstrap_f1(stats: DataFrame, rounds: int = 1000, seed: str = "42", low: fl
     sums are added up per round; spans are not looked at again. Examples times
     rounds rows are made, in parallel; for large sets draw fewer rounds.
     """
-    numbered = number_rows(stats, _KEY).select("tp", "n_pred", "n_gold", "i")
+    stats = stats.select(_KEY, "tp", "n_pred", "n_gold").persist()  # a row for each example, read three times
     n = stats.count()
+    numbered = number_rows(stats, _KEY).select("tp", "n_pred", "n_gold", "i")
     draws = stats.sparkSession.range(rounds * n).select((F.col("id") / max(n, 1)).cast("long").alias("round"), (F.col("id") % max(n, 1)).alias("slot"))
     draws = draws.withColumn("i", X.hash_index(F.concat_ws("|", "round", "slot"), max(n, 1), seed))
     sums = draws.join(numbered, "i").groupBy("round").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_gold").alias("n_gold"))
