@@ -2,15 +2,17 @@
 
 1. Documents with equal sets are one node. A fixed-size sketch counts the tokens
    of all documents; frequent tokens come last in the common order of tokens.
-2. Similar nodes are grouped: nodes that share minimum hashes are verified against
-   one pivot of each bucket, and the linked ones form groups of bounded size.
+2. Similar nodes are grouped: nodes that share minimum hashes have one pivot of
+   the bucket as their home, and a home's nodes are dealt into groups of bounded
+   size. Nodes are verified against their pivots, which gives first components.
 3. The token-group matrix holds for each group the union of its members' prefix
-   tokens. A query node meets the groups (of other components only) that share a
-   prefix token with it, which loses no link; the number of shared tokens bounds
-   the overlap with any member.
+   tokens. A query node meets the groups that share a prefix token with it and
+   have a member of another component, which loses no link; the number of
+   shared tokens bounds the overlap with any member.
 4. A group that the bound leaves is brought together with its queries: the overlap
    with the group's whole token union is bounded once more, and only then is the
-   group opened and each member's overlap counted exactly.
+   group opened and each member's overlap counted exactly. One link to each other
+   component goes out.
 
 Links within a component that step 2 has found cannot change the components, so
 they are not looked for again, and no list of all pairs of a group ever exists.
@@ -56,7 +58,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of the runs of five words of a text."""
 
-    def __init__(self, words: int = WORDS, most: int = 400_000):
+    def __init__(self, words: int = WORDS, most: int = 250_000):
         self.words, self.most, self.known = words, most, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -174,63 +176,65 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 class _Group:
     """Members' sets of one group: their token union and which members hold each token."""
 
-    def __init__(self, members: list[tuple[int, bytes]], percent: int):
-        self.percent, self.nodes = percent, np.array([m for m, _ in members], np.int64)
-        sets = [np.frombuffer(t, np.uint64) for _, t in members]
+    def __init__(self, members: list[tuple[int, int, bytes]], percent: int):
+        self.percent, self.nodes = percent, np.array([m for m, _, _ in members], np.int64)
+        self.roots = np.array([r for _, r, _ in members], np.int64)
+        sets = [np.frombuffer(t, np.uint64) for _, _, t in members]
         self.sizes = np.array([len(s) for s in sets])
         union = np.concatenate(sets)
         order = np.argsort(union, kind="stable")
         self.union, self.holder = union[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
-    def links(self, tokens: np.ndarray) -> np.ndarray:
-        """Nodes of members that are similar enough to a query's set."""
+    def links(self, root: int, tokens: np.ndarray) -> np.ndarray:
+        """Members that are similar enough to a query's set: one of each component but the query's own."""
         low, high = np.searchsorted(self.union, tokens, "left"), np.searchsorted(self.union, tokens, "right")
         held = high - low
         if np.count_nonzero(held) * 100 < self.percent * len(tokens):
             return self.nodes[:0]  # no member can hold enough: the group stays closed
         places = np.repeat(low - np.concatenate(([0], np.cumsum(held)[:-1])), held) + np.arange(held.sum())
         overlap = np.bincount(self.holder[places], minlength=len(self.nodes))
-        return self.nodes[overlap * 100 >= self.percent * (self.sizes + len(tokens) - overlap)]
+        near = np.flatnonzero((overlap * 100 >= self.percent * (self.sizes + len(tokens) - overlap)) & (self.roots != root))
+        return self.nodes[near[np.unique(self.roots[near], return_index=True)[1]]]
 
 
 def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
-    """Links (``u, v``) between queries (``node, grp``) and the members (``node, grp``) of their groups.
+    """Links (``u, v``) between queries (``node, root, grp``) and the members (``node, root, grp``) of their groups.
 
-    Members come first in each (group, part) and are at most ``GROUP_SIZE``;
+    Members come first in each (group, part) and are about ``GROUP_SIZE`` at most;
     queries are then streamed. A group with very many queries is dealt over several
     parts.
     """
     parts = queries.groupBy("grp").agg((F.floor(F.count("*") / QUERIES_A_TASK) + 1).cast("int").alias("parts"))
-    right = members.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node")
-    left = queries.join(parts, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "node")
+    right = members.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "root")
+    left = queries.join(parts, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "node", "root")
     rows = (
         right.unionByName(left)
         .join(sets, "node")
         .repartition(n, "grp", "part")
         .sortWithinPartitions("grp", "part", "kind")
-        .select("grp", "part", "kind", "node", "tokens")
+        .select("grp", "part", "kind", "node", "root", "tokens")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, group = None, [], None
         for batch in batches:
             u, v = [], []
-            for g, part, kind, node, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for g, part, kind, node, root, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, part) != key:
                     key, members, group = (g, part), [], None
                 if kind == 0:
-                    members.append((node, tokens))
+                    members.append((node, root, tokens))
                     continue
                 if not members:
                     continue
                 group = group or _Group(members, percent)
-                for other in group.links(np.frombuffer(tokens, np.uint64)).tolist():
+                for other in group.links(root, np.frombuffer(tokens, np.uint64)).tolist():
                     u.append(node)
                     v.append(other)
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint").where("u != v")
+    return rows.mapInArrow(run, "u bigint, v bigint")
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -320,30 +324,36 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         keyed.join(pivots, ["j", "h"]).where("node != grp").groupBy("node", "grp").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE).drop("agree"),
         "stars",
     )
-    centers = stars.select("grp").distinct().withColumn("node", F.col("grp"))
+    centers = stars.select(F.col("grp").alias("node"), F.col("grp").alias("root"), "grp").distinct()
     wanted = stars.select("node").unionByName(centers.select("node")).distinct()
     sets = materialize(_sets(docs, wanted.join(reps, "node")), "star-sets")
-    first_links = materialize(_open(stars, centers.select("node", "grp"), sets, percent, n), "links")
-    grouped = materialize(connected_components(first_links), "groups")
-
-    # The token-group matrix: groups of at most about GROUP_SIZE nodes of one component.
-    members = (
-        grouped.groupBy("root").agg(F.count("*").alias("many"))
-        .join(grouped, "root")
-        .select("node", "root", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.floor(F.col("many") / GROUP_SIZE) + 1)).alias("grp"))
+    first_links = materialize(_open(stars.withColumn("root", F.col("node")), centers, sets, percent, n), "links")
+    grouped = connected_components(first_links)
+
+    # The token-group matrix: groups of about GROUP_SIZE nodes at most with one home.
+    homes = stars.groupBy("node").agg(F.min("grp").alias("home")).unionByName(centers.select("node", F.col("node").alias("home")))
+    homes = homes.groupBy("node").agg(F.min("home").alias("home"))
+    many = homes.groupBy("home").agg(F.count("*").alias("many"))
+    members = homes.join(many, "home").join(grouped, "node", "left").select(
+        "node",
+        F.coalesce("root", "node").alias("root"),
+        F.when(F.col("many") == 1, F.col("node")).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.floor(F.col("many") / GROUP_SIZE) + 1))).alias("grp"),
     )
     members = materialize(members, "members")
     prefixes = _prefixes(docs, _sketch(profile), percent).repartition(n, "token").sortWithinPartitions("token", "node")
     tokens = materialize(prefixes.mapInArrow(_shared, "token bigint, node bigint, n int"), "tokens")
     placed = tokens.join(broadcast_if(members, members.count(), BROADCAST_IDS), "node", "left").select(
-        "token", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("grp", "node").alias("grp")
+        "token", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("grp", "node").alias("own")
     )
-    matrix = placed.groupBy("token", "root", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = placed.groupBy("token", F.col("own").alias("grp")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("least_root"), F.max("root").alias("last_root")
+    )
+    elsewhere = (F.col("root") != F.col("least_root")) | (F.col("root") != F.col("last_root"))
+    sizes = (F.col("low") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("high") * 100)
     met = (
-        placed.select("token", "node", "n", F.col("root").alias("own"))
-        .join(matrix, "token")
-        .where(F.col("own") < F.col("root"))
-        .groupBy("node", "n", "grp")
+        placed.join(matrix, "token")
+        .where((F.col("own") <= F.col("grp")) & elsewhere & sizes)
+        .groupBy("node", "root", "n", "grp")
         .agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
     # Sizes of members that could link with the query; the bound is tightest at one of them.
@@ -355,10 +365,12 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         beyond = F.ceil(F.greatest(F.col("n"), size) * percent / 100.0 - 1e-9) - 1
         return need - beyond
 
-    asked = met.where(low <= high).where(F.col("both") >= F.least(least_both(low), least_both(high))).select("node", "grp")
+    asked = met.where(low <= high).where(F.col("both") >= F.least(least_both(low), least_both(high))).select("node", "root", "grp")
     asked = materialize(asked, "asked")
     met_groups = asked.select("grp").distinct()
-    opened = met_groups.join(members.select("node", "grp"), "grp", "left").select(F.coalesce("node", "grp").alias("node"), "grp")
+    opened = met_groups.join(members, "grp", "left").select(
+        F.coalesce("node", "grp").alias("node"), F.coalesce("root", "node", "grp").alias("root"), "grp"
+    )
     wanted = asked.select("node").unionByName(opened.select("node")).distinct()
     sets = materialize(_sets(docs, wanted.join(reps, "node")), "query-sets")
     more_links = _open(asked, opened, sets, percent, n)
