@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import broadcast_if, materialize, shuffle_partitions
-from spanloom.llm.components import connected_components
+from spanloom.llm.components import Forest, connected_components
 
 WORDS = 5
 HASHES = 8
@@ -186,15 +186,15 @@ class _Group:
         self.union, self.holder = union[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
     def links(self, root: int, tokens: np.ndarray) -> np.ndarray:
-        """Members that are similar enough to a query's set: one of each component but the query's own."""
+        """Places of members that are similar enough to a query's set: one of each component but the query's own."""
         low, high = np.searchsorted(self.union, tokens, "left"), np.searchsorted(self.union, tokens, "right")
         held = high - low
         if np.count_nonzero(held) * 100 < self.percent * len(tokens):
-            return self.nodes[:0]  # no member can hold enough: the group stays closed
+            return np.empty(0, np.int64)  # no member can hold enough: the group stays closed
         places = np.repeat(low - np.concatenate(([0], np.cumsum(held)[:-1])), held) + np.arange(held.sum())
         overlap = np.bincount(self.holder[places], minlength=len(self.nodes))
         near = np.flatnonzero((overlap * 100 >= self.percent * (self.sizes + len(tokens) - overlap)) & (self.roots != root))
-        return self.nodes[near[np.unique(self.roots[near], return_index=True)[1]]]
+        return near[np.unique(self.roots[near], return_index=True)[1]]
 
 
 def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
@@ -202,7 +202,8 @@ def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
 
     Members come first in each (group, part) and are about ``GROUP_SIZE`` at most;
     queries are then streamed. A group with very many queries is dealt over several
-    parts.
+    parts. A link goes out only where the part's earlier links do not lead from
+    component to component already, so there are fewer links than rows.
     """
     parts = queries.groupBy("grp").agg((F.floor(F.count("*") / QUERIES_A_TASK) + 1).cast("int").alias("parts"))
     right = members.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "root")
@@ -216,21 +217,23 @@ def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, group = None, [], None
+        key, members, group, forest = None, [], None, Forest()
         for batch in batches:
             u, v = [], []
             for g, part, kind, node, root, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, part) != key:
-                    key, members, group = (g, part), [], None
+                    key, members, group, forest = (g, part), [], None, Forest()
                 if kind == 0:
                     members.append((node, root, tokens))
                     continue
                 if not members:
                     continue
                 group = group or _Group(members, percent)
-                for other in group.links(root, np.frombuffer(tokens, np.uint64)).tolist():
-                    u.append(node)
-                    v.append(other)
+                for k in group.links(root, np.frombuffer(tokens, np.uint64)).tolist():
+                    if forest.find(root) != forest.find(group.roots[k].item()):  # else earlier links lead there
+                        forest.join(root, group.roots[k].item())
+                        u.append(node)
+                        v.append(group.nodes[k].item())
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
