@@ -13,6 +13,7 @@ long text's chunks are composed pairwise as in a parallel prefix scan.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ CHUNK_CHARS = 1 << 16
 class CountTransducer:
     """Counts the pieces of marked words."""
 
-    def __init__(self, segmenter: Segmenter, max_states: int = 100_000, max_words: int = 400_000):
+    def __init__(self, segmenter: Segmenter, max_states: int = 200_000, max_words: int = 600_000):
         if not segmenter.bpe:
             raise ValueError("only a BPE model's segmentation is a finite-state function of the prefix")
         self.segmenter, self.max_states, self.max_words = segmenter, max_states, max_words
@@ -94,22 +95,27 @@ class CountTransducer:
         """Of a unit: what stands between two blanks, or a line feed and what follows it."""
         return 1 + self.count_word(unit[1:]) if unit[:1] == "\n" else self.count_word(SPACE + unit)
 
-    def learn(self, units: set[str]) -> None:
-        """Count units that are not known yet, in sorted order, so that shared prefixes meet compiled states."""
-        missing = units.difference(self.units)
-        if len(self.units) + len(missing) > self.max_words:
-            self.units = {}
-            missing = units
-        for unit in sorted(missing):
-            self.units[unit] = self.count_unit(unit)
+    def total(self, units: list[str]) -> int:
+        """Tokens of whole units. New ones are counted in sorted order, so that shared prefixes meet compiled states.
+
+        The units kept are bounded in number: the first ones met, which are the frequent ones.
+        """
+        known = self.units
+        new = sorted(set(units).difference(known))
+        for unit in new:
+            known[unit] = self.count_unit(unit)
+        n = sum(map(known.__getitem__, units))
+        if len(known) > self.max_words:
+            for unit in new:
+                del known[unit]
+        return n
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
         """(head, count between, tail) of a piece of text; the count is None where nothing cuts it."""
         units = chunk.replace("\n", " \n").split(" ")
         if len(units) == 1:
             return units[0], None, ""
-        self.learn(set(units[1:-1]))
-        return units[0], sum(map(self.units.__getitem__, units[1:-1])), units[-1]
+        return units[0], self.total(units[1:-1]), units[-1]
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """The map of ``a`` followed by ``b``; associative."""
@@ -132,6 +138,12 @@ class CountTransducer:
         return self.count_unit(head) + (0 if between is None else between + self.count_unit(tail))
 
 
+@lru_cache(maxsize=1)
+def worker_transducer(path: str) -> CountTransducer:
+    """A worker process keeps its transducer from task to task."""
+    return CountTransducer(Segmenter(PieceModel(path)))
+
+
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
@@ -142,7 +154,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = CountTransducer(Segmenter(PieceModel(model_path)))
+        transducer = worker_transducer(model_path)
         for batch in batches:
             counts = [transducer.count(t or "") for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
