@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import broadcast_if, materialize, shuffle_partitions
@@ -100,6 +100,25 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def _least_both(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """Fewest prefix tokens that a set of ``n`` tokens shares with a similar one of any size from ``low`` to ``high``.
+
+    Up to ``n`` the bound does not fall with the size. Above, it follows a falling line
+    within the two ceilings' rounding: once the line has fallen by one, no smaller
+    size has a smaller bound. So the smallest is at ``low`` or at one of the last sizes.
+    """
+
+    def at(size: Column) -> Column:
+        need = F.ceil((n + size) * percent / (100.0 + percent) - 1e-9)
+        beyond = F.ceil(F.greatest(n, size) * percent / 100.0 - 1e-9) - 1
+        return need - beyond
+
+    last = -(-100 * (100 + percent) // percent**2)
+    if last > 32:  # rounding moves the bound by less than two, so it is never more than one above
+        return F.least(at(low), at(high)) - 1
+    return F.least(at(low), *[at(F.greatest(low, high - k)) for k in range(last)])
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -359,16 +378,10 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         .groupBy("node", "root", "n", "grp")
         .agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
-    # Sizes of members that could link with the query; the bound is tightest at one of them.
+    # Sizes of members that could link with the query.
     low = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100)).cast("long")
     high = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent)).cast("long")
-
-    def least_both(size):
-        need = F.ceil((F.col("n") + size) * percent / (100.0 + percent) - 1e-9)
-        beyond = F.ceil(F.greatest(F.col("n"), size) * percent / 100.0 - 1e-9) - 1
-        return need - beyond
-
-    asked = met.where(low <= high).where(F.col("both") >= F.least(least_both(low), least_both(high))).select("node", "root", "grp")
+    asked = met.where(low <= high).where(F.col("both") >= _least_both(F.col("n"), low, high, percent)).select("node", "root", "grp")
     asked = materialize(asked, "asked")
     met_groups = asked.select("grp").distinct()
     opened = met_groups.join(members, "grp", "left").select(

@@ -101,6 +101,28 @@ def test_jaccard_threshold_is_exact(spark):
     assert found(jaccard.link_components(df)) == brute_components(rows)
 
 
+def test_jaccard_bound_of_mixed_groups(spark):
+    """Sets of 9 and 12 shingles share a group with one of 11, which alone links, at exactly 75 %, with a set of 10."""
+    rows = []
+    for k in (0, 242, 281, 393, 743, 931, 1467, 2044, 2174, 2514, 2744, 2780):
+        w = lambda letter, n: [f"{letter}{k}x{i}" for i in range(n)]  # noqa: E731, B023
+        b = w("b", 13)
+        texts = [w("z", 1) + b, w("y", 2) + b, w("x", 2) + b[:11], w("v", 3) + b] + [b[1:] + w(f"d{j}", 60) for j in range(3)]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(jaccard.link_components(df)) == brute_components(rows)
+
+
+def test_jaccard_bound_is_the_least_of_all_sizes(spark):
+    least = lambda n, m, p: -(-(n + m) * p // (100 + p)) - (-(-max(n, m) * p // 100) - 1)
+    for percent in (50, 75, 90):
+        sizes = {n: range(-(-n * percent // 100), n * 100 // percent + 1) for n in (1, 7, 10, 40, 100)}
+        rows = [(n, low, high) for n, r in sizes.items() for low in r for high in range(low, r[-1] + 1)]
+        df = spark.createDataFrame(rows, "n int, low bigint, high bigint")
+        for r in df.withColumn("both", jaccard._least_both(df.n, df.low, df.high, percent)).collect():
+            assert r["both"] == min(least(r["n"], m, percent) for m in range(r["low"], r["high"] + 1))
+
+
 def test_components(spark):
     draw = random.Random(4)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, k) for k in range(6000, 6100)] + [(7, 7)]
