@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as X
 
 SPAN = "struct<start: int, end: int, tier: int>"
+#: Words whose offsets are summed together.
+BLOCK = 128
 
 
 def tokens(df: DataFrame, id_col: str, text_col: str, limit: int | None = 128) -> DataFrame:
@@ -29,10 +31,17 @@ def tokens(df: DataFrame, id_col: str, text_col: str, limit: int | None = 128) -
         rows = rows.select("example_id", "p", ends.alias("e")).select("example_id", F.posexplode(F.arrays_zip("p", F.slice("e", 2, limit).alias("e"))).alias("pos", "t"))
         token = F.regexp_replace("t.p", r"(?U)^\s+", "")
         return rows.select("example_id", "pos", (F.col("t.e") - F.length(token)).alias("start"), F.col("t.e").alias("end"), token.alias("token"))
-    w = Window.partitionBy("example_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("example_id", F.posexplode("p").alias("pos", "p")).withColumn("e", F.sum(F.length("p")).over(w).cast("int"))
-    token = F.regexp_replace("p", r"(?U)^\s+", "")
-    return rows.select("example_id", "pos", (F.col("e") - F.length(token)).alias("start"), F.col("e").alias("end"), token.alias("token"))
+    # All words: in blocks inside the row, each behind the lengths of the blocks before it; nothing is shuffled.
+    count = F.ceil(F.size("p") / BLOCK).cast("int")
+    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice("p", k * BLOCK + 1, F.lit(BLOCK))))
+    add = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x)))
+    rows = rows.select("example_id", blocks.alias("b"))
+    rows = rows.select("example_id", "b", F.aggregate(F.transform("b", lambda b: F.array_join(b, "")), F.array(F.lit(0)), add).alias("at"))
+    rows = rows.select("example_id", F.posexplode(F.arrays_zip("b", F.slice("at", 1, F.size("b")).alias("at"))).alias("k", "t"))
+    rows = rows.select("example_id", "k", F.col("t.b").alias("p"), F.slice(F.aggregate("t.b", F.array(F.col("t.at")), add), 2, BLOCK).alias("e"))
+    rows = rows.select("example_id", "k", F.posexplode(F.arrays_zip("p", "e")).alias("n", "t"))
+    token = F.regexp_replace("t.p", r"(?U)^\s+", "")
+    return rows.select("example_id", (F.col("k") * BLOCK + F.col("n")).alias("pos"), (F.col("t.e") - F.length(token)).alias("start"), F.col("t.e").alias("end"), token.alias("token"))
 
 
 def locate_exact(text: Column, span: Column) -> Column:

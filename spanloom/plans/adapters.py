@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,11 +124,29 @@ voted AS (
   FROM chosen)"""
 
 
+#: Words of each document that a query reads; None for all.
+WORDS: ContextVar[int | None] = ContextVar("words", default=128)
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 128 words of each document with their offsets."""
+    """The first 128 words of each document with their offsets; in a ``whole`` query all words."""
     from spanloom.operators.align import tokens as words
 
-    return words(table(spark, sf_dir, "documents"), "doc_id", "text", 128)
+    return words(table(spark, sf_dir, "documents"), "doc_id", "text", WORDS.get())
+
+
+def whole(query):
+    """The query over all words of each document."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = WORDS.set(None)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            WORDS.reset(before)
+
+    return run
 
 
 K_SQL = r"""

@@ -25,3 +25,12 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_whole_queries_read_all_words(spark, con):
+    want = dict(con.sql("SELECT doc_id, len(regexp_extract_all(text, '\\S+')) FROM documents").fetchall())
+    assert max(want.values()) > 128
+    got = {r["example_id"]: r["count"] for r in QUERIES["word_tokens_whole"](spark, DIR).groupBy("example_id").count().collect()}
+    assert got == {k: n for k, n in want.items() if n}
+    total = QUERIES["label_distribution_whole"](spark, DIR).agg({"n": "sum"}).first()[0]
+    assert total == sum(want.values())
