@@ -122,6 +122,13 @@ def bootstrap_ci(spark, sf_dir):
     return M.bootstrap_f1(M._counts(gold, pred, ["example_id"]), rounds=200)
 
 
+@query(SQL["bootstrap_ci"].replace("range(200)", "range(1000)"))
+def bootstrap_ci_1000(spark, sf_dir):
+    """The interval from the operator's and the reference's default of 1000 rounds."""
+    gold, pred = _spans(spark, sf_dir)
+    return M.bootstrap_f1(M._counts(gold, pred, ["example_id"]))
+
+
 @query(f"""WITH {SPANS_SQL}, {_BOTH}, c AS (SELECT 'm' || (example_id % 6) AS model, example_id % 2 AS side, {_COUNTS} FROM both_ GROUP BY 1, 2),
 f AS (SELECT model, side, round(2 * tp / CAST(n_pred + n_gold AS DOUBLE), 6) AS f1 FROM c)
 SELECT model, max(f1) FILTER (WHERE side = 0) AS gold_relaxed, max(f1) FILTER (WHERE side = 1) AS silver_relaxed FROM f WHERE model <> 'm5' GROUP BY model""")

@@ -34,3 +34,8 @@ def test_whole_queries_read_all_words(spark, con):
     assert got == {k: n for k, n in want.items() if n}
     total = QUERIES["label_distribution_whole"](spark, DIR).agg({"n": "sum"}).first()[0]
     assert total == sum(want.values())
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ci_1000", "bootstrap_ci_1000_whole"])
+def test_bootstrap_draws_1000_rounds(spark, name):
+    assert QUERIES[name](spark, DIR).first()["rounds"] == 1000
