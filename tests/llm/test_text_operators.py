@@ -48,13 +48,18 @@ def test_unigram_viterbi_is_the_best_segmentation():
         assert sum(model.scores[i] for i in got) == pytest.approx(best(w))
 
 
-def test_counts_equal_the_library_and_compose(library, monkeypatch):
-    t = token_counts.CountTransducer(Segmenter(PieceModel(PIECES)), max_states=50, max_words=20)
-    monkeypatch.setattr(token_counts, "CHUNK_CHARS", 5)
-    for text in noise(1500):
-        assert t.count(text) == len(library.encode(text)), repr(text)
-    a, b, c = t.chunk_map("one tw"), t.chunk_map("o three"), t.chunk_map("four fi")
-    assert t.compose(t.compose(a, b), c) == t.compose(a, t.compose(b, c))
+@pytest.mark.parametrize("chunk, few", [(256, 48), (7, 1), (1, 1), (5, 10_000)])
+def test_counts_equal_the_library_however_chunks_fall(library, monkeypatch, chunk, few):
+    """Chunks of one character are composed of nothing but state maps; lanes run side by side or one by one."""
+    monkeypatch.setattr(token_counts, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(token_counts, "FEW_LANES", few)
+    t = token_counts.CountTransducer(Segmenter(PieceModel(PIECES)), max_steps=1500)
+    texts = noise(1500) + [" " * k + "the" for k in range(70)] + ["x" + " " * 77, "中文" * 300, "▁ ▁▁", "\0", "a\0 b"]
+    for k in range(0, len(texts), 400):
+        part = texts[k : k + 400]
+        assert t.count_all(part) == [len(x) for x in library.encode(part)]
+    assert t.count_all([]) == [] and t.count("") == 0
+    assert [len(g) for g in t.groups(["a" * token_counts.GROUP_CHARS] * 2)] == [1, 1]
 
 
 def test_count_tokens_on_odd_rows(odd, none, library):
