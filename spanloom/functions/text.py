@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of the target script by default (first, last), and its five final letters with what they fold to.
@@ -20,6 +20,24 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column | str, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it.
+
+    Needed wherever a computed column is named inside a lambda: projections are merged, and the
+    column's expression would be evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(col(value)), then), F.lit(0))
+
+
+def unnest(df: DataFrame, array_col: str, *keep: str, pos: str | None = None, item: str = "item") -> DataFrame:
+    """A row for each element of an array: the columns ``keep``, its place (if ``pos`` names one) and itself.
+
+    A plain explode makes the optimizer ask for non-empty arrays first, which evaluates all that they are computed from twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array_col).alias("_pos", item)).where("_pos is not null")
+    return rows.withColumnRenamed("_pos", pos) if pos else rows.drop("_pos")
+
+
 def strip(c: Column | str) -> Column:
     """White space, in Unicode's sense, off both ends."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -69,8 +87,13 @@ def strip_marks(c: Column | str, marks: str = EDGE_MARKS) -> Column:
 
 def span_occurs(span: Column | str, text: Column | str) -> Column:
     """Light check: the collapsed span, without its edge marks, occurs in the collapsed text; never for an empty one."""
+    return bare_occurs(span, collapse(text))
+
+
+def bare_occurs(span: Column | str, collapsed: Column) -> Column:
+    """``span_occurs`` for a text that is collapsed already."""
     bare = strip_marks(collapse(span), LIGHT_MARKS)
-    return F.coalesce((bare != "") & F.contains(collapse(text), bare), F.lit(False))
+    return F.coalesce((bare != "") & F.contains(collapsed, bare), F.lit(False))
 
 
 def find(text: Column | str, needle: Column | str) -> Column:
@@ -163,3 +186,17 @@ def focal_weight(p: Column | str, alpha: float = 1.0, gamma: float = 2.0) -> Col
 def percent_text(c: Column | str) -> Column:
     """A share as text with one decimal: ``12.3%``; ``-`` for null."""
     return F.coalesce(F.format_string("%.1f%%", col(c) * 100), F.lit("-"))
+
+
+def interval_text(mean: Column | str, low: Column | str, high: Column | str) -> Column:
+    """A score with its interval in percent: ``61.0 [58.2, 63.9]``; ``-`` for null."""
+    return F.coalesce(F.format_string("%.1f [%.1f, %.1f]", *[F.round(col(c) * 100, 1) for c in (mean, low, high)]), F.lit("-"))
+
+
+# Model families by what occurs in a model's name, in order of precedence.
+MODEL_FAMILIES = (("gemini", ("gemini",)), ("cerebras", ("qwen", "cerebras")))
+
+
+def model_family(name: Column | str) -> Column:
+    """The family that a model's name belongs to; empty without one."""
+    return F.coalesce(ladder(name, MODEL_FAMILIES, ""), F.lit(""))

@@ -7,41 +7,49 @@ import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
+from spanloom.schemas import ASPECTS
 
 SPAN = "struct<start: int, end: int, tier: int>"
 #: Words whose offsets are summed together.
 BLOCK = 128
 
 
-def tokens(df: DataFrame, id_col: str, text_col: str, limit: int | None = 128) -> DataFrame:
-    """``example_id, pos, start, end, token``: words between white space with code point offsets."""
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"(?U)\s*\S+"), F.lit(0))
-    # Running lengths: what has been read before each piece.
-    rows = df.select(F.col(id_col).alias("example_id"), (F.slice(pieces, 1, limit) if limit else pieces).alias("p"))
-    ends = F.aggregate(
-        "p",
-        F.array(F.lit(0)),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))),
-    ) if limit else None
-    if limit:
-        rows = rows.select("example_id", "p", ends.alias("e")).select("example_id", F.posexplode(F.arrays_zip("p", F.slice("e", 2, limit).alias("e"))).alias("pos", "t"))
-        token = F.regexp_replace("t.p", r"(?U)^\s+", "")
-        return rows.select("example_id", "pos", (F.col("t.e") - F.length(token)).alias("start"), F.col("t.e").alias("end"), token.alias("token"))
-    # All words: in blocks inside the row, each behind the lengths of the blocks before it; nothing is shuffled.
-    count = F.ceil(F.size("p") / BLOCK).cast("int")
-    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice("p", k * BLOCK + 1, F.lit(BLOCK))))
-    add = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x)))
-    rows = rows.select("example_id", blocks.alias("b"))
-    rows = rows.select("example_id", "b", F.aggregate(F.transform("b", lambda b: F.array_join(b, "")), F.array(F.lit(0)), add).alias("at"))
-    rows = rows.select("example_id", F.posexplode(F.arrays_zip("b", F.slice("at", 1, F.size("b")).alias("at"))).alias("k", "t"))
-    rows = rows.select("example_id", "k", F.col("t.b").alias("p"), F.slice(F.aggregate("t.b", F.array(F.col("t.at")), add), 2, BLOCK).alias("e"))
-    rows = rows.select("example_id", "k", F.posexplode(F.arrays_zip("p", "e")).alias("n", "t"))
-    token = F.regexp_replace("t.p", r"(?U)^\s+", "")
-    return rows.select("example_id", (F.col("k") * BLOCK + F.col("n")).alias("pos"), (F.col("t.e") - F.length(token)).alias("start"), F.col("t.e").alias("end"), token.alias("token"))
+def words(text: Column | str) -> Column:
+    """The words between white space, an empty array for a null text. Splitting is linear; ``regexp_extract_all`` copies the whole text for each match."""
+    return F.array_remove(F.split(F.coalesce(X.col(text), F.lit("")), r"(?U)\s+", -1), "")
+
+
+def tokenize(df: DataFrame, text_col: str, out: str = "tokens", limit: int | None = None) -> DataFrame:
+    """Adds ``out``: an array of (start, end, token), the words between white space with their code point offsets.
+
+    With ``limit`` only the first words. Offsets are running sums in two levels: of blocks of words, and
+    inside each block, so long texts cost no quadratic copying; nothing leaves the row.
+    """
+    # Words with the white space before them: cuts are behind each word.
+    pieces = F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?U)(?<=\S)(?=\s)", -1)
+    add = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
+    count = F.ceil(F.size("_p") / BLOCK).cast("int")
+    blocks = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.slice("_p", k * BLOCK + 1, F.lit(BLOCK)))
+    rows = df.withColumn("_p", pieces)
+    blank = ~F.rlike(F.element_at("_p", -1), F.lit(r"(?U)\S"))  # what follows the last word, or an empty text
+    rows = rows.withColumn("_p", F.slice("_p", 1, F.size("_p") - F.when(blank, 1).otherwise(0)))
+    rows = (rows.withColumn("_p", F.slice("_p", 1, limit)) if limit else rows).withColumn("_b", blocks)
+    rows = rows.withColumn("_at", F.aggregate(F.transform("_b", lambda b: F.length(F.array_join(b, ""))), F.array(F.lit(0)), add))
+    ends = F.flatten(F.zip_with("_b", F.slice("_at", 1, F.size("_b")), lambda b, at: F.slice(F.aggregate(F.transform(b, lambda x: F.length(x)), F.array(at), add), 2, BLOCK)))
+    bare = F.transform("_p", lambda x: F.regexp_replace(x, r"(?U)^\s+", ""))
+    made = F.zip_with(ends, bare, lambda e, t: F.struct((e - F.length(t)).alias("start"), e.alias("end"), t.alias("token")))
+    return rows.withColumn(out, made).drop("_p", "_b", "_at")
+
+
+def tokens(df: DataFrame, id_col: str, text_col: str, limit: int | None = None) -> DataFrame:
+    """``example_id, pos, start, end, token``: a row for each token."""
+    rows = tokenize(df.select(F.col(id_col).alias("example_id"), F.col(text_col).alias("_text")), "_text", "t", limit)
+    return X.unnest(rows, "t", "example_id", pos="pos", item="t").select("example_id", "pos", "t.*")
 
 
 def locate_exact(text: Column, span: Column) -> Column:
@@ -97,9 +105,9 @@ def locate_loose(text: str, span: str, script: tuple[int, int] = X.SCRIPT) -> tu
 
 
 def locate(df: DataFrame, text_col: str, span_col: str) -> DataFrame:
-    """``df`` with ``located`` (start, end, tier) or null.
+    """``df`` with ``located`` (start, end, tier) or null, in one pass.
 
-    Exact hits are found in the JVM; only the other rows go through an Arrow function.
+    Exact hits are found in the JVM; the Arrow function gets a null for them and looks for the others only.
     """
 
     @F.pandas_udf(SPAN)
@@ -107,61 +115,120 @@ def locate(df: DataFrame, text_col: str, span_col: str) -> DataFrame:
         found = [locate_loose(t, s) if t and s else None for t, s in zip(texts, spans)]
         return pd.DataFrame([f or (None, None, None) for f in found], columns=["start", "end", "tier"]).astype("Int32")
 
-    exact = df.withColumn("located", locate_exact(F.col(text_col), F.col(span_col)).cast(SPAN))
-    rest = exact.where(F.col("located").isNull()).withColumn("_l", loose(text_col, span_col))
-    rest = rest.withColumn("located", F.when(F.col("_l.start").isNotNull(), F.col("_l"))).drop("_l")
-    return exact.where(F.col("located").isNotNull()).unionByName(rest)
+    rows = df.withColumn("_exact", locate_exact(F.col(text_col), F.col(span_col)).cast(SPAN))
+    missed = F.col("_exact").isNull()
+    rows = rows.withColumn("_loose", loose(F.when(missed, F.col(text_col)), F.when(missed, F.col(span_col))))
+    return rows.withColumn("located", F.coalesce("_exact", F.when(F.col("_loose.start").isNotNull(), F.col("_loose")))).drop("_exact", "_loose")
 
 
-def align(toks: DataFrame, spans: DataFrame, scheme: str = "BIO") -> DataFrame:
-    """``example_id, pos, start, end, token, tag`` from ``spans`` (``example_id, ord, start, end, aspect``).
+def locate_all(df: DataFrame, text_col: str, mods_col: str, out: str = "located", skip_blank: bool = True) -> DataFrame:
+    """Adds ``out``: an array of (ord, span, aspect, start, end, tier) of the modifications (span, aspect, ...) with a known aspect.
 
-    A token belongs to the first span that overlaps it; a span's first own token
-    begins it (BIO).
+    Places are null where the text does not have the span. Blank spans are left out with ``skip_blank``, else not found.
+    Only rows with a span that does not stand in its text as it is go through the Arrow function.
     """
-    s = spans.select("example_id", "ord", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "aspect")
-    hit = toks.join(s, "example_id").where((F.col("start") < F.col("s_end")) & (F.col("end") > F.col("s_start")))
-    own = hit.groupBy("example_id", "pos").agg(F.min(F.struct("ord", "aspect")).alias("own"))
-    first = F.row_number().over(Window.partitionBy("example_id", "own.ord").orderBy("pos")) == 1
-    kind = F.when(first, "B-").otherwise("I-") if scheme == "BIO" else F.lit("I-")
-    tagged = own.select("example_id", "pos", F.concat(kind, F.col("own.aspect")).alias("tag"))
-    return toks.join(tagged, ["example_id", "pos"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
 
+    @F.pandas_udf(f"array<{SPAN}>")
+    def loose(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        keys = ("start", "end", "tier")
+        one = lambda t, s: dict(zip(keys, locate_loose(t, s) or (None,) * 3)) if t and s else None
+        return pd.Series([None if ss is None else [one(t, s) for s in ss] for t, ss in zip(texts, spans)])
+
+    known = F.transform(F.filter(mods_col, lambda m: F.upper(X.strip(m["aspect"])).isin(*ASPECTS) & (F.lit(not skip_blank) | (X.strip(m["span"]) != ""))),
+                        lambda m, i: F.struct(i.cast("long").alias("ord"), X.strip(m["span"]).alias("span"), F.upper(X.strip(m["aspect"])).alias("aspect")))
+    rows = df.withColumn("_known", F.coalesce(known, F.array().cast("array<struct<ord: bigint, span: string, aspect: string>>")))
+    rows = rows.withColumn("_exact", F.transform("_known", lambda m: locate_exact(F.col(text_col), m["span"]).cast(SPAN)))
+    missed = F.exists("_exact", lambda e: e.isNull())
+    wanted = F.zip_with("_known", "_exact", lambda m, e: F.when(e.isNull(), m["span"]))
+    rows = rows.withColumn("_loose", loose(F.when(missed, F.col(text_col)), F.when(missed, wanted)))
+    at = F.zip_with("_exact", F.coalesce("_loose", F.transform("_known", lambda m: F.lit(None).cast(SPAN))), lambda e, l: F.coalesce(e, l))
+    made = F.zip_with("_known", at, lambda m, p: F.struct(m["ord"].alias("ord"), m["span"].alias("span"), m["aspect"].alias("aspect"), p["start"].alias("start"), p["end"].alias("end"), p["tier"].alias("tier")))
+    return rows.withColumn(out, made).drop("_known", "_exact", "_loose")
+
+
+#: Inner words of a span by which texts are looked up, at most.
+KEY_WORDS = 3
 
-def alignment_stats(toks: DataFrame, spans: DataFrame, missing: DataFrame | None = None) -> DataFrame:
-    """One row: spans, aligned, truncated (beginning behind the last token) and hallucinated ones, and their rates.
 
-    ``missing`` has a row for each span that was not located.
+def find_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``example_id, text`` and the columns of ``spans`` (one is ``span``) for each span that a text holds.
+
+    A text that holds a span has its inner words (all but the first and the last, which
+    may stand inside longer words of the text) as words of its own, one after another. Up to three of
+    them are the key of an equi-join with the texts' positions, of which only ids and
+    hashes are shuffled; what meets is then looked up in the text itself. A span of fewer than three words has no inner word
+    and is not looked for. Repeated rows of an id are texts of their own.
+    """
+    w = words("span")
+    k = F.least(F.lit(KEY_WORDS), F.size("_w") - 2)
+    wanted = spans.withColumn("_w", w).where(F.size("_w") > 2).withColumn("_k", k)
+    wanted = wanted.withColumn("_key", F.xxhash64("_k", F.array_join(F.slice("_w", 2, F.col("_k")), " "))).drop("_w", "_k")
+    rows = docs.select(F.col(id_col).alias("example_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_text"))
+    places = rows.select("example_id", "_text", words("text").alias("_w"))
+    places = places.select("example_id", "_text", "_w", F.posexplode("_w").alias("_i", "_x"))
+    keys = F.array(*[F.when(F.col("_i") + n <= F.size("_w"), F.xxhash64(F.lit(n), F.concat_ws(" ", *[F.get("_w", F.col("_i") + j) for j in range(n)]))) for n in range(1, KEY_WORDS + 1)])
+    places = places.select("example_id", "_text", F.explode(keys).alias("_key"))
+    met = places.join(wanted.select("_key"), "_key", "left_semi").distinct()
+    found = met.join(wanted, "_key").drop("_key").withColumnRenamed("example_id", "_id").withColumnRenamed("_text", "_t")
+    joined = rows.join(found, F.col("example_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t"))).drop("_id", "_t", "_text")
+    return joined.where(F.contains("text", "span")).distinct()
+
+
+def align(df: DataFrame, tokens_col: str, spans_col: str, scheme: str = "BIO", out: str = "tags", aligned: str | None = None) -> DataFrame:
+    """Adds ``out``: a tag for each token of an array of (start, end, ...), from an array of spans (ord, start, end, aspect).
+
+    ``aligned`` names a column for the number of spans that have a token of their own. Special tokens are (0, 0) and get ``O``.
+
+    A token belongs to the first span, by ``ord``, that overlaps it; a span's first own token
+    begins it (BIO). Row-local: no token is exploded or shuffled.
     """
-    last = toks.groupBy("example_id").agg(F.max("end").alias("last"))
-    on = spans.join(last, "example_id", "left")
-    truncated = F.coalesce(F.col("start") >= F.col("last"), F.lit(True))
-    stats = on.agg(F.count("*").alias("located"), F.count_if(truncated).alias("truncated"))
-    lost = missing.agg(F.count("*").alias("hallucinated")) if missing is not None else stats.sparkSession.range(1).select(F.lit(0).cast("long").alias("hallucinated"))
-    total = F.col("located") + F.col("hallucinated")
-    return stats.join(lost).select(  # one row each
-        total.alias("n_spans"),
-        (F.col("located") - F.col("truncated")).alias("aligned"),
-        "truncated",
-        "hallucinated",
-        F.coalesce(F.try_divide(F.col("located") - F.col("truncated"), total), F.lit(0.0)).alias("alignment_rate"),
-        F.coalesce(F.try_divide(F.col("hallucinated"), total), F.lit(0.0)).alias("hallucination_rate"),
-    )
-
-
-def keyword_spans(df: DataFrame, id_col: str, text_col: str, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
-    """The first occurrence of each keyword, a span of its own; the order of aspects and keywords is their priority."""
+    spans = F.array_sort(F.transform(spans_col, lambda s: F.struct(s["ord"].alias("ord"), s["start"].alias("start"), s["end"].alias("end"), s["aspect"].alias("aspect"))))
+    none = F.array().cast("array<struct<ord: bigint, start: int, end: int, aspect: string>>")
+    own = lambda t, ss: F.get(F.filter(ss, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])), F.lit(0))
+    rows = df.withColumn("_own", X.let(F.coalesce(spans, none), lambda ss: F.transform(tokens_col, lambda t: own(t, ss))))
+    ords = F.transform("_own", lambda s: s["ord"])
+    first = lambda s, i, os: F.array_position(os, s["ord"]) == i + 1
+    kind = (lambda s, i, os: F.when(first(s, i, os), "B-").otherwise("I-")) if scheme == "BIO" else (lambda s, i, os: F.lit("I-"))
+    tags = X.let(ords, lambda os: F.transform("_own", lambda s, i: F.when(s.isNull(), "O").otherwise(F.concat(kind(s, i, os), s["aspect"]))))
+    rows = rows.withColumn(out, tags)
+    if aligned:
+        rows = rows.withColumn(aligned, F.size(F.array_distinct(F.filter(ords, lambda o: o.isNotNull()))))
+    return rows.drop("_own")
+
+
+def alignment_stats(rows: DataFrame) -> DataFrame:
+    """One row of sums over aligned rows (``aligned, truncated, hallucinated``): their number of spans, and rates."""
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    total = F.col("aligned") + F.col("truncated") + F.col("hallucinated")
+    rate = lambda c: F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0))
+    sums = rows.agg(zero("aligned"), zero("truncated"), zero("hallucinated"))
+    return sums.select(total.alias("n_spans"), "aligned", "truncated", "hallucinated", rate("aligned").alias("alignment_rate"), rate("hallucinated").alias("hallucination_rate"))
+
+
+def keyword_spans(text: Column | str, keywords: Mapping[str, Sequence[str]]) -> Column:
+    """The first occurrence of each keyword as an array of (ord, start, end, aspect); the order of aspects and keywords is their priority."""
     listed = [(a, k) for a, ks in keywords.items() for k in ks]
-    each = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("aspect"), F.lit(k).alias("keyword")) for i, (a, k) in enumerate(listed)])
-    rows = df.select(F.col(id_col).alias("example_id"), F.col(text_col).alias("_t"), F.explode(each).alias("k"))
-    at = X.find(F.col("_t"), F.col("k.keyword"))
-    return rows.where(at >= 0).select("example_id", F.col("k.ord").alias("ord"), at.alias("start"), (at + F.length("k.keyword")).alias("end"), F.col("k.aspect").alias("aspect"))
+    at = lambda k: X.find(text, F.lit(k))
+    each = [F.when(at(k) >= 0, F.struct(F.lit(i).cast("long").alias("ord"), at(k).alias("start"), (at(k) + len(k)).alias("end"), F.lit(a).alias("aspect"))) for i, (a, k) in enumerate(listed)]
+    return F.filter(F.array(*each), lambda s: s.isNotNull())
+
+
+#: Characters of a text that meet in one group of ``transfer_labels``.
+STRETCH = 1024
 
 
 def transfer_labels(base: DataFrame, target: DataFrame) -> DataFrame:
-    """Labels (``example_id, start, end, label`` id, 0 for none) to another tokenizer's tokens: the most frequent one among overlapping tokens, the smallest on ties."""
-    b = base.where("label != 0").select("example_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), "label")
-    hit = target.join(b, "example_id").where((F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start")))
+    """Labels of tokens (``example_id, start, end, label`` id, 0 for none) to another tokenizer's tokens (``example_id, pos, start, end``).
+
+    A token gets the most frequent label but 0 among the tokens that overlap it, the smallest on ties, else 0.
+    Tokens meet by the stretches of text that they touch, so the join is by equality and a long text is many groups.
+    """
+    touched = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor(F.greatest("start", F.col("end") - 1) / STRETCH))).alias("stretch")
+    b = base.where("label != 0").select("example_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), "label", touched)
+    t = target.select("example_id", "pos", "start", "end", touched)
+    hit = t.join(b, ["example_id", "stretch"]).where((F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start")))
+    # A pair that shares several stretches counts in the first of them.
+    hit = hit.where(F.col("stretch") == F.floor(F.greatest("start", "b_start") / STRETCH))
     best = (
         hit.groupBy("example_id", "pos", "label").agg(F.count("*").alias("n"))
         .groupBy("example_id", "pos").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("best"))
@@ -170,11 +237,11 @@ def transfer_labels(base: DataFrame, target: DataFrame) -> DataFrame:
     return target.join(best, ["example_id", "pos"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def word_labels(subtokens: DataFrame, words: DataFrame) -> DataFrame:
-    """Word tags (``example_id, word, tag``) to sub-tokens (``example_id, pos, word``): the first keeps B-, later ones get I-."""
-    first = F.row_number().over(Window.partitionBy("example_id", "word").orderBy("pos")) == 1
-    joined = subtokens.join(words, ["example_id", "word"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
-    return joined.withColumn("tag", F.when(first, F.col("tag")).otherwise(F.regexp_replace("tag", "^B-", "I-")))
+def word_labels(word_ids: Column, tags: Column) -> Column:
+    """Word tags to sub-tokens (an array of each sub-token's word): the first keeps B-, later ones get I-; O where the word has no tag."""
+    last = F.slice(F.concat(F.array(F.lit(-1)), word_ids), 1, F.size(word_ids))
+    tag = lambda ts, w: F.coalesce(F.get(ts, w), F.lit("O"))
+    return X.let(tags, lambda ts: F.zip_with(word_ids, last, lambda w, b: F.when(w == b, F.regexp_replace(tag(ts, w), "^B-", "I-")).otherwise(tag(ts, w))))
 
 
 def pad(ids: Column, length: int, fill: int) -> Column:
@@ -182,13 +249,14 @@ def pad(ids: Column, length: int, fill: int) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(fill), length)), 1, length)
 
 
-def predict_tokens(df: DataFrame, id_col: str, text_col: str, tagger, schema: str = "example_id bigint, pos int, tag string") -> DataFrame:
-    """A pluggable model: ``tagger()`` is made once per task and called with lists of texts; it returns a list of tags for each."""
+def predict_tokens(df: DataFrame, id_col: str, text_col: str, tagger) -> DataFrame:
+    """``example_id, tags``, by a pluggable model: ``tagger()`` is made once per task and called with lists of texts; it returns a list of tags for each."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tagger()
-        for frame in frames:
-            tags = model(frame["text"].tolist())
-            yield pd.DataFrame([(i, k, t) for i, ts in zip(frame["example_id"], tags) for k, t in enumerate(ts)], columns=["example_id", "pos", "tag"])
+        for batch in batches:
+            tags = [list(t) for t in model(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags, pa.list_(pa.string()))], ["example_id", "tags"])
 
-    return df.select(F.col(id_col).alias("example_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    slim = df.select(F.col(id_col).alias("example_id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, f"example_id {slim.schema['example_id'].dataType.simpleString()}, tags array<string>")

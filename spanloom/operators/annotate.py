@@ -140,21 +140,30 @@ def vote(a: Column, b: Column, c: Column, skipped: Column) -> Column:
 
 
 def clean_spans(final: Column, text: Column, examples: int = 5) -> Column:
-    """``label, checked, kept, dropped, dropped_examples, flipped``: modifications whose span the text has; negative when none is left."""
+    """``label, checked, kept, dropped, dropped_examples, flipped``: modifications whose span the text has; negative when none is left.
+
+    The text is collapsed once, and each span looked up once.
+    """
     mods = final["modifications"]
-    kept = F.filter(mods, lambda m: X.span_occurs(m["span"], text))
-    lost = F.filter(mods, lambda m: ~X.span_occurs(m["span"], text))
-    positive = F.coalesce(final["has_modification"], F.lit(False))
-    flips = positive & (F.size(mods) > 0) & (F.size(kept) == 0)
-    label = F.struct((positive & ~flips).alias("has_modification"), final["thread_type"].alias("thread_type"), kept.alias("modifications"))
-    return F.struct(
-        F.when(final.isNotNull(), F.when(positive, label).otherwise(final)).alias("label"),
-        F.when(positive, F.size(mods)).otherwise(0).alias("checked"),
-        F.when(positive, F.size(kept)).otherwise(0).alias("kept"),
-        F.when(positive, F.size(lost)).otherwise(0).alias("dropped"),
-        F.slice(F.transform(lost, lambda m: F.struct(m["span"], m["aspect"], m["source_comment"])), 1, examples).alias("dropped_examples"),
-        F.coalesce(flips, F.lit(False)).alias("flipped"),
-    )
+    flagged = X.let(X.collapse(text), lambda t: F.transform(mods, lambda m: F.struct(m.alias("m"), X.bare_occurs(m["span"], t).alias("ok"))))
+    parts = lambda f, ok: F.transform(F.filter(f, lambda x: x["ok"] == ok), lambda x: x["m"])
+    both = X.let(flagged, lambda f: F.struct(parts(f, True).alias("kept"), parts(f, False).alias("lost")))
+
+    def made(x: Column) -> Column:
+        kept, lost = x["kept"], x["lost"]
+        positive = F.coalesce(final["has_modification"], F.lit(False))
+        flips = positive & (F.size(mods) > 0) & (F.size(kept) == 0)
+        label = F.struct((positive & ~flips).alias("has_modification"), final["thread_type"].alias("thread_type"), kept.alias("modifications"))
+        return F.struct(
+            F.when(final.isNotNull(), F.when(positive, label).otherwise(final)).alias("label"),
+            F.when(positive, F.size(mods)).otherwise(0).alias("checked"),
+            F.when(positive, F.size(kept)).otherwise(0).alias("kept"),
+            F.when(positive, F.size(lost)).otherwise(0).alias("dropped"),
+            F.slice(F.transform(lost, lambda m: F.struct(m["span"], m["aspect"], m["source_comment"])), 1, examples).alias("dropped_examples"),
+            F.coalesce(flips, F.lit(False)).alias("flipped"),
+        )
+
+    return X.let(both, made)
 
 
 def is_unanimous(method: Column) -> Column:
@@ -173,3 +182,58 @@ def route_passes(rows: DataFrame) -> DataFrame:
         .when(c.isNull() & ~F.coalesce("pass3_skipped", F.lit(False)), F.when(can_skip_third(a, b), "skip").otherwise("third"))
         .otherwise("none"),
     )
+
+
+def pending(rows: DataFrame, order_col: str, limit: int | None = None) -> DataFrame:
+    """Rows that wait for some pass, with their ``route``; with ``limit`` the first of them, which is a run's share."""
+    waiting = route_passes(rows).where(~F.col("route").isin("none", "skip"))
+    return waiting if limit is None else waiting.orderBy(order_col).limit(limit)
+
+
+def update_labels(records: DataFrame, answers: DataFrame, key: str, order_col: str) -> DataFrame:
+    """``records`` with the columns that ``answers`` gives for their keys; a null answer leaves the old value.
+
+    Of several answers to a key the last by ``order_col`` counts. Columns that only
+    ``answers`` has are added; answers to unknown keys go nowhere.
+    """
+    names = [c for c in answers.columns if c not in (key, order_col)]
+    new = [f"_new_{i}" for i in range(len(names))]
+    last = answers.groupBy(F.col(key).alias("_key")).agg(*[F.max_by(F.struct(F.col(c)), order_col).getField(c).alias(n) for c, n in zip(names, new)])
+    joined = records.join(last, F.col(key) == F.col("_key"), "left")
+    of = dict(zip(names, new))
+    kept = [F.coalesce(F.col(of[c]), F.col(c)).alias(c) if c in of else F.col(c) for c in records.columns]
+    return joined.select(*kept, *[F.col(n).alias(c) for c, n in of.items() if c not in records.columns])
+
+
+def effective_label(final: Column, teacher: Column) -> Column:
+    """The final label, or where it is missing or has neither flag nor modifications the first pass's."""
+    empty = final.isNull() | (final["has_modification"].isNull() & (F.coalesce(F.size(final["modifications"]), F.lit(0)) <= 0))
+    return F.when(~empty, final).otherwise(teacher)
+
+
+def span_pairs(label: Column) -> Column:
+    """(span, aspect) structs of a label: spans trimmed, empty ones left out, a missing aspect as UNKNOWN; an empty array without a label."""
+    pairs = F.transform(label["modifications"], lambda m: F.struct(X.strip(m["span"]).alias("span"), F.coalesce(m["aspect"], F.lit("UNKNOWN")).alias("aspect")))
+    return F.coalesce(F.filter(pairs, lambda p: F.coalesce(p["span"] != "", F.lit(False))), F.array().cast("array<struct<span: string, aspect: string>>"))
+
+
+def span_set(label: Column) -> Column:
+    """The set of (lower-cased span, upper-cased aspect) structs of a label, for agreement between annotators."""
+    return F.array_distinct(F.transform(span_pairs(label), lambda p: F.struct(F.lower(p["span"]).alias("span"), F.upper(p["aspect"]).alias("aspect"))))
+
+
+def annotator_flag(cell: Column) -> Column:
+    """An annotator's cell as JSON text, a boolean or an object with ``has_modification``, as a boolean; else null."""
+    v = F.try_parse_json(cell)
+    return F.coalesce(F.try_variant_get(v, "$", "boolean"), F.try_variant_get(v, "$.has_modification", "boolean"))
+
+
+def overlap_subset(rows: DataFrame, a: str = "annotator_a", b: str = "annotator_b", flag: str = "overlap") -> DataFrame:
+    """Rows that both annotators have labeled and that are flagged; where none is flagged, all that both have labeled.
+
+    One pass: the number of flagged rows is a row that is joined to the others.
+    """
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    flagged = F.coalesce(F.col(flag), F.lit(False))
+    any_ = both.agg(F.coalesce(F.max(flagged), F.lit(False)).alias("_any"))  # one row
+    return both.join(F.broadcast(any_)).where(flagged | ~F.col("_any")).drop("_any")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,8 +48,10 @@ def label_stats(rows: DataFrame) -> DataFrame:
 
 def hallucinations(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """Spans of each pass and aspect, and those that the text does not have."""
-    mods = by_pass(rows).where("output is not null").select("pass", text_col, F.explode("output.modifications").alias("m"))
-    lost = ~X.span_occurs("m.span", text_col)
+    passes = by_pass(rows.withColumn("_text", X.collapse(text_col))).where("output is not null")
+    lost = X.let(F.col("_text"), lambda t: F.transform("output.modifications", lambda m: F.struct(m["aspect"].alias("aspect"), (~X.bare_occurs(m["span"], t)).alias("lost"))))
+    mods = passes.select("pass", F.explode(lost).alias("m"))
+    lost = F.col("m.lost")
     return mods.groupBy("pass", F.col("m.aspect").alias("aspect")).agg(F.count("*").alias("n_spans"), F.count_if(lost).alias("n_lost")).withColumn("rate", F.round(ratio("n_lost", "n_spans"), 6))
 
 
@@ -109,3 +111,61 @@ def standard_gates(span_loss: Column, positive_rate: Column, final_rate: Column,
         ("agreement", never, agreement < 0.40),
         ("spread", never, spread > 0.20),
     ]
+
+
+def label_quality(rows: DataFrame) -> DataFrame:
+    """One row on final labels: how many, positive ones, spans, aspects per positive, rows for review, spans dropped and labels flipped by the cleaning.
+
+    ``rows`` has ``final_label``, ``needs_review`` and ``cleaned`` (of ``annotate.clean_spans``).
+    """
+    positive = F.coalesce("final_label.has_modification", F.lit(False))
+    n = F.when(positive, F.size("final_label.modifications")).otherwise(0)
+    return rows.agg(
+        F.count("final_label").alias("n_labels"), F.count_if(positive).alias("n_positive"), F.sum(n).alias("n_spans"), F.count_if("needs_review").alias("n_review"),
+        F.sum("cleaned.checked").alias("n_checked"), F.sum("cleaned.dropped").alias("n_dropped"), F.count_if("cleaned.flipped").alias("n_flipped"),
+    ).withColumns({"positive_rate": F.round(ratio("n_positive", "n_labels"), 6), "spans_per_positive": F.round(ratio("n_spans", "n_positive"), 6)})
+
+
+def corpus_leakage(a: DataFrame, b: DataFrame, group_col: str, positive: Column) -> DataFrame:
+    """One row on two corpora: rows, distinct groups and positive rates of each, and groups that both have.
+
+    Groups are counted once each by a group-by; no set of them is gathered.
+    """
+    rows = a.select(group_col, positive.alias("_p"), F.lit(True).alias("_a")).unionByName(b.select(group_col, positive.alias("_p"), F.lit(False).alias("_a")))
+    n = lambda c: F.count_if(c)
+    each = rows.groupBy(group_col).agg(n(F.col("_a")).alias("na"), n(~F.col("_a")).alias("nb"), n(F.col("_a") & F.col("_p")).alias("pa"), n(~F.col("_a") & F.col("_p")).alias("pb"))
+    sums = each.agg(
+        F.sum("na").alias("rows_a"), F.sum("nb").alias("rows_b"), n(F.col("na") > 0).alias("groups_a"), n(F.col("nb") > 0).alias("groups_b"),
+        n((F.col("na") > 0) & (F.col("nb") > 0)).alias("groups_both"), F.sum("pa").alias("_pa"), F.sum("pb").alias("_pb"),
+    )
+    return sums.withColumns({"rate_a": F.round(ratio("_pa", "rows_a"), 6), "rate_b": F.round(ratio("_pb", "rows_b"), 6)}).drop("_pa", "_pb")
+
+
+def most_common(df: DataFrame, col: str, n: int | None = None, order_col: str | None = None) -> DataFrame:
+    """``value, n`` from the most frequent on; ties by first appearance in ``order_col``, else by value."""
+    first = F.min(order_col or col).alias("_first")
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"), first).orderBy(F.desc("n"), "_first", "value").drop("_first")
+    return counts.limit(n) if n is not None else counts
+
+
+def label_report(labels: DataFrame, scheme: Mapping[str, int], missing: int = 99) -> DataFrame:
+    """``label, id, n`` in the order of the scheme's ids, unknown labels (id ``missing``) last."""
+    ids = F.create_map(*[F.lit(x) for kv in scheme.items() for x in kv])
+    return labels.groupBy("label").agg(F.count("*").alias("n")).select("label", F.coalesce(F.try_element_at(ids, F.col("label")), F.lit(missing)).alias("id"), "n").orderBy("id", "label")
+
+
+def eye_test(df: DataFrame, key_col: str, tokens_col: str, tags_col: str, n: int = 5, seed: str = "42") -> DataFrame:
+    """A seeded sample of ``n`` rows, each with its tokens that have a tag, a line ``token -> tag`` each."""
+    pairs = F.filter(F.zip_with(tokens_col, tags_col, lambda w, t: F.when(t != "O", F.concat(w, F.lit(" -> "), t))), lambda x: x.isNotNull())
+    return df.orderBy(X.hash_order(key_col, seed), key_col).limit(n).select(key_col, F.array_join(pairs, "\n").alias("listing"))
+
+
+def in_order_of_appearance(df: DataFrame, group_col: str, order_col: str) -> DataFrame:
+    """Adds ``first_seen``, the smallest ``order_col`` of the row's group, by which groups sort in the order of their first rows."""
+    first = df.groupBy(F.col(group_col).alias("_g")).agg(F.min(order_col).alias("first_seen"))
+    return df.join(first, F.col(group_col).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def serving_items(df: DataFrame, title_col: str, score_col: str) -> DataFrame:
+    """``title`` (the first 120 characters) and ``percent`` (a rounded share) beside the other columns."""
+    return df.withColumns({"title": F.substring(title_col, 1, 120), "percent": F.round(F.col(score_col) * 100).cast("int")})

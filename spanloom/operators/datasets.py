@@ -8,6 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
+from spanloom.schemas import IGNORE
+
+
+#: Buckets of a hash within which rows are ranked, so that no task ranks all of them.
+HASH_DIGITS = 3
+
+
+def hash_ranked(df: DataFrame, key_col: str, seed: str = "42", by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_k``, the row's place from 1 in the hash order of its key (within the columns ``by``), and ``_n``, the number of rows there.
+
+    Rows are ranked inside buckets of the hash's first digits, with the buckets' counts before them: 16 ** ``HASH_DIGITS``
+    rows for each value of ``by``, which are added up in one place and broadcast.
+    """
+    rows = df.withColumn("_h", X.hash_order(key_col, seed)).withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_b").alias("_bb"), F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_o"), F.sum("_c").over(whole).alias("_n"))
+    on = F.col("_b") == F.col("_bb")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    joined = rows.join(F.broadcast(before), on)
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key_col)) + F.col("_o")
+    return joined.withColumn("_k", place).drop("_h", "_b", "_bb", "_o", *[f"_by{i}" for i in range(len(by))])
 
 
 def stratified_split(df: DataFrame, group_col: str, stratum: Column, shares: Sequence[float] = (0.8, 0.1), names: Sequence[str] = ("train", "val", "test"), seed: str = "42") -> DataFrame:
@@ -15,9 +39,7 @@ def stratified_split(df: DataFrame, group_col: str, stratum: Column, shares: Seq
 
     A group is positive in a stratum if any of its rows is. All of a group's rows go the same way.
     """
-    groups = df.groupBy(group_col).agg(F.max(stratum).alias("_s"))
-    w = Window.partitionBy("_s").orderBy(X.hash_order(group_col, seed), group_col)
-    ranked = groups.withColumns({"_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("_s"))})
+    ranked = hash_ranked(df.groupBy(group_col).agg(F.max(stratum).alias("_s")), group_col, seed, ["_s"])
     split, upto = None, F.lit(0).cast("long")
     for share, name in zip(shares, names):
         upto = upto + F.floor(F.col("_n") * F.lit(share))
@@ -53,17 +75,24 @@ def downsample(df: DataFrame, positive: Column, ratio: float | None, key_col: st
     if not ratio or ratio <= 0:
         return df
     n = df.agg(F.count_if(positive).alias("n")).first()["n"]
-    # A single global rank would be one task: rank by buckets of the hash's first digit, with the buckets' counts before them.
-    negative = df.where(~positive).withColumns({"_h": X.hash_order(key_col, seed)}).withColumn("_b", F.substring("_h", 1, 2))
-    before = negative.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = negative.join(F.broadcast(before), "_b").withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key_col)) + F.col("_o"))  # 256 rows at most
+    ranked = hash_ranked(df.where(~positive), key_col, seed)
     return df.where(positive).unionByName(ranked.where(F.col("_k") <= int(n * ratio)).select(*df.columns))
 
 
+def label_positive(labels_col: str, ignore: int = IGNORE) -> Column:
+    """Whether a row's label ids have any but 0 and the ignored one: the condition of ``downsample`` where a file is loaded."""
+    return F.exists(labels_col, lambda i: ~i.isin(0, ignore))
+
+
 def fraction(df: DataFrame, share: float, key_col: str, seed: str = "42") -> DataFrame:
-    """max(1, floor(n * share)) rows in hash order."""
-    n = df.count()
-    return df.orderBy(X.hash_order(key_col, seed), key_col).limit(max(1, int(n * share)) if n else 0)
+    """max(1, floor(n * share)) rows, the first in hash order."""
+    most = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
+    return hash_ranked(df, key_col, seed).where(F.col("_k") <= most).select(*df.columns)
+
+
+def first_examples(df: DataFrame, n: int | None, order_col: str) -> DataFrame:
+    """The first ``n`` rows, for a trial run or to see a model overfit; all for None."""
+    return df if n is None else df.orderBy(order_col).limit(n)
 
 
 def merge(original: DataFrame, enriched: DataFrame, unanimous: Column) -> DataFrame:
@@ -71,6 +100,13 @@ def merge(original: DataFrame, enriched: DataFrame, unanimous: Column) -> DataFr
     return original.unionByName(enriched.where(unanimous), allowMissingColumns=True)
 
 
+def binary_weights(df: DataFrame, label_col: str) -> DataFrame:
+    """``label, n, weight`` = N / (2 * n) of a yes/no label; one value only has weight 0.5."""
+    counts = df.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n"))
+    total = df.agg(F.count(label_col).alias("_total"))
+    return counts.where(F.col("label").isNotNull()).join(total).select("label", "n", F.round(F.col("_total").cast("double") / (2 * F.col("n")), 4).alias("weight"))  # total: one row
+
+
 def class_weights(labels: DataFrame, scheme: Mapping[str, int], mode: str = "capped", cap: float = 20.0) -> DataFrame:
     """``label, n, weight`` for every label of the scheme from a table with a column ``label``; a missing one counts as 1.
 

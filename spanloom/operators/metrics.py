@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
 from spanloom.operators.datasets import numbered as number_rows
-from spanloom.operators.spans import touching
+from spanloom.operators.spans import covering, decode_lenient, within
+from spanloom.schemas import ASPECTS, IGNORE
+from spanloom.storage import materialize
+
+#: Rows of four numbers that a bootstrap broadcasts.
+BROADCAST_EXAMPLES = 1_000_000
 
 _KEY = "example_id"
-_SPAN = [_KEY, "aspect", "start", "end"]
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
@@ -24,44 +32,71 @@ def prf(tp: Column, n_pred: Column, n_gold: Column) -> list[Column]:
     return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1")]
 
 
-def _counts(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """Gold, predicted and common spans by ``keys`` in one pass: both sides are stacked and grouped by span."""
-    both = gold.select(*_SPAN, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(pred.select(*_SPAN, F.lit(0).alias("g"), F.lit(1).alias("p")))
-    each = both.groupBy(*_SPAN).agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    sums = [F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold")]
-    return each.groupBy(*keys).agg(*sums) if keys else each.agg(*[F.coalesce(s, F.lit(0)).alias(n) for s, n in zip(sums, ("tp", "n_pred", "n_gold"))])
+def with_spans(tagged: DataFrame, decode: Callable[..., DataFrame] = decode_lenient) -> DataFrame:
+    """``gold_spans`` and ``pred_spans`` beside the arrays of tags ``gold`` and ``pred``: the shape that the scores below take."""
+    return decode(decode(tagged, "gold", "gold_spans"), "pred", "pred_spans")
+
+
+def _keys(spans: Column | str, aspect: str | None = None) -> Column:
+    """Spans as strings, which arrays can look up by hash."""
+    spans = X.col(spans) if aspect is None else F.filter(spans, lambda s: s["aspect"] == aspect)
+    return F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"], s["aspect"]))
+
+
+def _three(g: Column, p: Column) -> list[Column]:
+    return [F.size(F.array_intersect(g, p)).cast("long").alias("tp"), F.size(p).cast("long").alias("n_pred"), F.size(g).cast("long").alias("n_gold")]
+
+
+def example_counts(df: DataFrame, *keep: str) -> DataFrame:
+    """``tp, n_pred, n_gold`` of each row's exact spans, beside the columns ``keep``; row-local."""
+    keyed = df.select(*keep, _keys("gold_spans").alias("_g"), _keys("pred_spans").alias("_p"))
+    return keyed.select(*keep, *_three(F.col("_g"), F.col("_p")))
 
 
-def exact_prf(gold: DataFrame, pred: DataFrame, by_aspect: bool = False) -> DataFrame:
-    """Micro precision, recall and F1 of exact spans, of all or of each aspect."""
-    keys = ["aspect"] if by_aspect else []
-    return _counts(gold, pred, keys).select(*keys, "tp", "n_pred", "n_gold", *prf(F.col("tp"), F.col("n_pred"), F.col("n_gold")))
+def _sums(*names: str) -> list[Column]:
+    return [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]
+
+
+def exact_prf(df: DataFrame, by_aspect: bool = False, aspects: Sequence[str] = ASPECTS) -> DataFrame:
+    """Micro precision, recall and F1 of exact spans, of all or of each aspect that occurs."""
+    if not by_aspect:
+        return example_counts(df).agg(*_sums("tp", "n_pred", "n_gold")).select("tp", "n_pred", "n_gold", *prf(F.col("tp"), F.col("n_pred"), F.col("n_gold")))
+    each = F.array(*[F.struct(F.lit(a).alias("aspect"), *_three(_keys("gold_spans", a), _keys("pred_spans", a))) for a in aspects])
+    counts = df.select(F.explode(each).alias("c")).select("c.*").groupBy("aspect").agg(*_sums("tp", "n_pred", "n_gold")).where("n_pred + n_gold > 0")
+    return counts.select("aspect", "tp", "n_pred", "n_gold", *prf(F.col("tp"), F.col("n_pred"), F.col("n_gold")))
 
 
 def averages(by_aspect: DataFrame) -> DataFrame:
     """Macro and (by gold spans) weighted averages of ``exact_prf(by_aspect=True)``, a row each."""
     names = ["precision", "recall", "f1"]
-    macro = by_aspect.agg(*[F.round(F.avg(n), 6).alias(n) for n in names]).select(F.lit("macro").alias("average"), *names)
+    macro = by_aspect.agg(*[F.round(F.avg(n), 6).alias(n) for n in names])
     weighted = by_aspect.agg(*[F.round(ratio(F.sum(F.col(n) * F.col("n_gold")), F.sum("n_gold")), 6).alias(n) for n in names])
-    return macro.unionByName(weighted.select(F.lit("weighted").alias("average"), *names))
+    return macro.select(F.lit("macro").alias("average"), *names).unionByName(weighted.select(F.lit("weighted").alias("average"), *names))
 
 
-def relaxed_prf(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Micro scores where a span counts that shares a token with one of its aspect on the other side."""
-    found = [
-        gold.agg(F.count("*").alias("n_gold")),
-        pred.agg(F.count("*").alias("n_pred")),
-        touching(gold, pred, True).agg(F.count("*").alias("gold_hit")),
-        touching(pred, gold, True).agg(F.count("*").alias("pred_hit")),
-    ]
-    one = found[0].join(found[1]).join(found[2]).join(found[3])  # one row each
+def relaxed_counts(df: DataFrame, *keep: str) -> DataFrame:
+    """``n_gold, n_pred, gold_hit, pred_hit`` of each row: hit is a span that shares a token with one of its aspect on the other side."""
+    size = F.size("gold")
+    covered = covering(covering(df, "gold_spans", size, "_gc"), "pred_spans", size, "_pc")
+    hits = lambda spans, cover: X.let(cover, lambda v: F.size(F.filter(spans, lambda s: F.exists(within(v, s), lambda c: c["aspect"] == s["aspect"]))).cast("long"))
+    n = lambda c: F.size(c).cast("long")
+    return covered.select(*keep, n("gold_spans").alias("n_gold"), n("pred_spans").alias("n_pred"), hits("gold_spans", "_pc").alias("gold_hit"), hits("pred_spans", "_gc").alias("pred_hit"))
+
+
+def relaxed_scores() -> list[Column]:
     p, r = ratio("pred_hit", "n_pred"), ratio("gold_hit", "n_gold")
-    return one.select("n_gold", "n_pred", "gold_hit", "pred_hit", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
+    return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1")]
 
 
-def token_scores(tags: DataFrame) -> DataFrame:
-    """Accuracy and macro precision, recall, F1 over the tags but O of ``example_id, pos, gold, pred``."""
-    pairs = tags.groupBy("gold", "pred").agg(F.count("*").alias("n"))
+def relaxed_prf(df: DataFrame) -> DataFrame:
+    """Micro scores where a span counts that shares a token with one of its aspect on the other side."""
+    names = ("n_gold", "n_pred", "gold_hit", "pred_hit")
+    return relaxed_counts(df).agg(*_sums(*names)).select(*names, *relaxed_scores())
+
+
+def token_scores(tagged: DataFrame) -> DataFrame:
+    """Accuracy and macro precision, recall, F1 over the tags but O of the arrays ``gold`` and ``pred``."""
+    pairs = tagged.select(F.explode(F.arrays_zip("gold", "pred")).alias("t")).groupBy("t.gold", "t.pred").agg(F.count("*").alias("n"))
     each = pairs.select("n", F.col("gold").alias("tag"), F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("np"), F.col("n").alias("ng")).unionByName(
         pairs.select("n", F.col("pred").alias("tag"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("np"), F.lit(0).cast("long").alias("ng"))
     )
@@ -74,56 +109,176 @@ def token_scores(tags: DataFrame) -> DataFrame:
     return accuracy.join(macro)  # one row each
 
 
-def errors_simple(gold: DataFrame, pred: DataFrame, examples: DataFrame) -> DataFrame:
+def token_accuracy(tagged: DataFrame) -> DataFrame:
+    """``n_tokens, accuracy``: the share of tokens whose tags agree."""
+    right = F.size(F.filter(F.zip_with("gold", "pred", lambda g, p: g == p), lambda same: same))
+    return tagged.agg(F.sum(F.size("gold")).alias("n_tokens"), F.round(ratio(F.sum(right), F.sum(F.size("gold"))), 6).alias("accuracy"))
+
+
+def _tally(df: DataFrame, kinds: Column) -> DataFrame:
+    """``kind, n`` of arrays of kinds."""
+    return df.select(F.explode_outer(kinds).alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _covered(df: DataFrame) -> DataFrame:
+    size = F.size("gold")
+    return covering(covering(df, "gold_spans", size, "_gc"), "pred_spans", size, "_pc")
+
+
+def errors_simple(df: DataFrame) -> DataFrame:
     """``kind, n``: examples that are right, and the kinds of wrong spans in the others."""
-    both = gold.select(*_SPAN, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(pred.select(*_SPAN, F.lit(0).alias("g"), F.lit(1).alias("p")))
-    each = both.groupBy(*_SPAN).agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    wrong = each.where("g + p = 1")
-    right = examples.select(_KEY).distinct().join(wrong.select(_KEY), _KEY, "left_anti").select(F.lit("correct").alias("kind"))
-    missed = wrong.where("g = 1").select(*_SPAN)
-    near = touching(missed, pred, False, "left").groupBy(*_SPAN).agg(F.max("r_id").alias("any"), F.max(F.col("r_aspect") == F.col("aspect")).alias("same"))
-    kinds = near.select(F.when(F.col("any").isNull(), "false_negative").when(F.col("same"), "span_boundary").otherwise("aspect_confusion").alias("kind"))
-    extra = touching(wrong.where("p = 1").select(*_SPAN), gold, False, "left_anti").select(F.lit("false_positive").alias("kind"))
-    return right.unionByName(kinds).unionByName(extra).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-def errors_boundary(gold: DataFrame, pred: DataFrame, first_letters: DataFrame | None = None, prefixes: str = "") -> DataFrame:
+    same = lambda cover, s: F.exists(within(cover, s), lambda c: c == s)
+
+    def kind(cover: Column, s: Column) -> Column:
+        near = within(cover, s)
+        return F.when(F.size(near) == 0, "false_negative").when(F.exists(near, lambda c: c["aspect"] == s["aspect"]), "span_boundary").otherwise("aspect_confusion")
+
+    unlike = lambda spans, cover: X.let(cover, lambda v: F.filter(spans, lambda s: ~same(v, s)))
+    rows = _covered(df).withColumns({"_missed": unlike("gold_spans", "_pc"), "_extra": unlike("pred_spans", "_gc")})
+    lone = X.let("_gc", lambda v: F.filter("_extra", lambda s: F.size(within(v, s)) == 0))
+    right = F.when((F.size("_missed") == 0) & (F.size("_extra") == 0), "correct")
+    missed = X.let("_pc", lambda v: F.transform("_missed", lambda s: kind(v, s)))
+    return _tally(rows, F.concat(F.array(right), missed, F.transform(lone, lambda s: F.lit("false_positive"))))
+
+
+def errors_boundary(df: DataFrame, tokens_col: str | None = None, prefixes: str = "", shares: bool = False) -> DataFrame:
     """``kind, n``: exact, over- and under-extended (which includes shifted), off by one, prefix, confused, missed and extra spans.
 
-    ``first_letters`` (``example_id, pos, letter``) tells what the token at the boundary begins with.
+    A gold span's partner is the first predicted one that shares a token with it, of its own
+    aspect if there is one. A boundary error by one token counts as ``prefix_error``
+    too where the token at the boundary (of the array ``tokens_col``) begins with one of ``prefixes``.
+    With ``shares`` a column ``share`` tells the part of all gold spans (of all predicted ones for ``false_positive``).
     """
-    order = Window.partitionBy(*_SPAN).orderBy(F.when(F.col("r_aspect") == F.col("aspect"), 0).otherwise(1), "r_start", "r_end")
-    best = touching(gold, pred, False, "left").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    off = F.abs(F.col("r_start") - F.col("start")) + F.abs(F.col("r_end") - F.col("end"))
-    longer = F.col("r_end") - F.col("r_start") > F.col("end") - F.col("start")
-    one = best.withColumn(
-        "kind",
-        F.when(F.col("r_id").isNull(), "false_negative").when(F.col("r_aspect") != F.col("aspect"), "aspect_confusion").when(off == 0, "exact_match").when(longer, "over_extension").otherwise("under_extension"),
-    ).withColumn("off_by_one", (off == 1) & F.col("kind").isin("over_extension", "under_extension"))
-    kinds = one.select("kind").unionByName(one.where("off_by_one").select(F.lit("off_by_one").alias("kind")))
-    if first_letters is not None and prefixes:
-        at = F.when(F.col("r_start") < F.col("start"), F.col("r_start") - 1).otherwise(F.col("r_end"))
-        edge = one.where("off_by_one").select(_KEY, F.greatest(F.lit(0), at).alias("pos"))
-        hit = edge.join(first_letters, [_KEY, "pos"]).where(F.col("letter").isin(*prefixes))
-        kinds = kinds.unionByName(hit.select(F.lit("prefix_error").alias("kind")))
-    extra = touching(pred, gold, False, "left_anti").select(F.lit("false_positive").alias("kind"))
-    return kinds.unionByName(extra).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-def span_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    rows = _covered(df)
+    order = lambda s, c: F.struct((c["aspect"] != s["aspect"]).alias("other"), c["start"].alias("start"), c["end"].alias("end"))
+    pairs = X.let("_pc", lambda v: F.transform("gold_spans", lambda s: F.struct(s.alias("s"), F.array_min(F.transform(within(v, s), lambda c: order(s, c))).alias("p"))))
+    rows = rows.withColumn("_pairs", pairs)
+    texts = F.col(tokens_col) if tokens_col else F.array().cast("array<string>")
+
+    def kinds(x: Column, ws: Column) -> Column:
+        s, p = x["s"], x["p"]
+        off = F.abs(p["start"] - s["start"]) + F.abs(p["end"] - s["end"])
+        kind = (
+            F.when(p.isNull(), "false_negative").when(p["other"], "aspect_confusion").when(off == 0, "exact_match")
+            .when(p["end"] - p["start"] > s["end"] - s["start"], "over_extension").otherwise("under_extension")
+        )
+        by_one = ~p["other"] & (off == 1)
+        edge = F.greatest(F.lit(0), F.when(p["start"] < s["start"], p["start"] - 1).otherwise(p["end"]))
+        letter = F.substring(F.get(ws, edge), 1, 1) if tokens_col and prefixes else F.lit(None).cast("string")
+        return F.array(kind, F.when(by_one, "off_by_one"), F.when(by_one & letter.isin(*(prefixes or [""])), "prefix_error"))
+
+    extra = X.let("_gc", lambda v: F.transform(F.filter("pred_spans", lambda s: F.size(within(v, s)) == 0), lambda s: F.lit("false_positive")))
+    counts = _tally(rows, F.concat(F.flatten(X.let(texts, lambda ws: F.transform("_pairs", lambda x: kinds(x, ws)))), extra))
+    if not shares:
+        return counts
+    total = df.agg(F.sum(F.size("gold_spans")).alias("_g"), F.sum(F.size("pred_spans")).alias("_p"))  # one row
+    return counts.join(total).select("kind", "n", F.round(ratio("n", F.when(F.col("kind") == "false_positive", F.col("_p")).otherwise(F.col("_g"))), 6).alias("share"))
+
+
+def span_counts(df: DataFrame) -> DataFrame:
     """Spans in all, and per example that has a gold span."""
-    both = gold.select(_KEY, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(pred.select(_KEY, F.lit(0).alias("g"), F.lit(1).alias("p")))
-    each = both.groupBy(_KEY).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    has = F.col("g") > 0
-    return each.agg(
-        F.coalesce(F.sum("g"), F.lit(0)).alias("total_gold_spans"),
-        F.coalesce(F.sum("p"), F.lit(0)).alias("total_pred_spans"),
-        F.round(F.coalesce(F.avg(F.when(has, F.col("g"))), F.lit(0.0)), 6).alias("avg_gold_per_positive"),
-        F.round(F.coalesce(F.avg(F.when(has, F.col("p"))), F.lit(0.0)), 6).alias("avg_pred_per_positive"),
-        F.count_if(has).alias("n_positive_examples"),
+    g, p = F.size("gold_spans"), F.size("pred_spans")
+    return df.agg(
+        F.coalesce(F.sum(g), F.lit(0)).alias("total_gold_spans"),
+        F.coalesce(F.sum(p), F.lit(0)).alias("total_pred_spans"),
+        F.round(F.coalesce(F.avg(F.when(g > 0, g)), F.lit(0.0)), 6).alias("avg_gold_per_positive"),
+        F.round(F.coalesce(F.avg(F.when(g > 0, p)), F.lit(0.0)), 6).alias("avg_pred_per_positive"),
+        F.count_if(g > 0).alias("n_positive_examples"),
     )
 
 
+def entity_counts(df: DataFrame, tag_col: str = "tags", spans_col: str = "spans", aspects: Sequence[str] = ASPECTS) -> DataFrame:
+    """``aspect, n_runs, n_begin``: spans, and ``B-`` tags, of each aspect that has a span; row-local counts are added up."""
+    runs = lambda a: F.size(F.filter(spans_col, lambda s: s["aspect"] == a))
+    begins = lambda a: F.size(F.filter(tag_col, lambda t: t == f"B-{a}"))
+    each = F.array(*[F.struct(F.lit(a).alias("aspect"), runs(a).alias("r"), begins(a).alias("b")) for a in aspects])
+    return df.select(F.explode(each).alias("c")).groupBy("c.aspect").agg(F.sum("c.r").alias("n_runs"), F.sum("c.b").alias("n_begin")).where("n_runs > 0")
+
+
+def zipped(gold: Column, pred: Column, fill: str | None = None) -> Column:
+    """(gold, pred) structs by place, cut to the shorter sequence, or with ``fill`` for missing predictions."""
+    n = F.size(gold) if fill is not None else F.least(F.size(gold), F.size(pred))
+    more = F.concat(pred, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.size(gold) - F.size(pred)))) if fill is not None else pred
+    return F.zip_with(F.slice(gold, 1, n), F.slice(more, 1, n), lambda g, p: F.struct(g.alias("gold"), p.alias("pred")))
+
+
+def unmasked(labels: Column, tags: Column, ignore: int = IGNORE) -> Column:
+    """The tags at places whose label id is not the ignored one."""
+    return F.transform(F.filter(F.arrays_zip(labels.alias("l"), tags.alias("t")), lambda x: x["l"] != ignore), lambda x: x["t"])
+
+
+def label_ids(tags: Column, scheme: Mapping[str, int], special: Column | None = None, ignore: int = IGNORE) -> Column:
+    """Ids of tags, 0 for unknown ones, and the ignored id at places where ``special`` (an array of booleans) is true."""
+    ids = F.create_map(*[F.lit(x) for kv in scheme.items() for x in kv])
+    one = lambda t: F.coalesce(F.try_element_at(ids, t), F.lit(0))
+    return F.transform(tags, one) if special is None else F.zip_with(tags, special, lambda t, s: F.when(s, ignore).otherwise(one(t)))
+
+
+def label_names(ids: Column, scheme: Mapping[str, int]) -> Column:
+    """Tags of label ids, ``O`` for unknown ones and for the ignored one."""
+    names = F.create_map(*[F.lit(x) for k, v in scheme.items() for x in (v, k)])
+    return F.transform(ids, lambda i: F.coalesce(F.try_element_at(names, i), F.lit("O")))
+
+
+def has_label(ids: Column, ignore: int = IGNORE) -> Column:
+    """Whether a sequence of label ids has any but 0 and the ignored one."""
+    return F.exists(ids, lambda i: ~i.isin(0, ignore))
+
+
+def against_gold(gold: DataFrame, silver: DataFrame, key: str) -> DataFrame:
+    """Gold rows (``key, gold`` pairs) beside the teacher's pairs: ``key, gold, silver, matched``; no pairs where the teacher has no row."""
+    other = silver.select(F.col(key).alias("_key"), "silver", F.lit(True).alias("_m"))
+    joined = gold.join(other, F.col(key) == F.col("_key"), "left")
+    none = F.array().cast("array<struct<span: string, aspect: string>>")
+    return joined.select(key, "gold", F.coalesce("silver", none).alias("silver"), F.coalesce("_m", F.lit(False)).alias("matched"))
+
+
+def unmatched(gold: DataFrame, silver: DataFrame, key: str) -> DataFrame:
+    """Gold keys that the teacher has no row for."""
+    return gold.select(key).join(silver.select(key), key, "left_anti")
+
+
+def pair_scores(df: DataFrame, by_aspect: bool = False, aspects: Sequence[str] = ASPECTS) -> DataFrame:
+    """Exact and relaxed scores of (span, aspect) pairs ``gold`` and ``silver``, of all or of each aspect that occurs.
+
+    Exact pairs are counted as sets; relaxed ones greedily, by aspect and a common word. False positives count for their aspect.
+    """
+    key = lambda ps: F.array_distinct(F.transform(ps, lambda p: F.concat_ws("\x1f", p["aspect"], p["span"])))
+
+    def counts(g: Column, s: Column) -> list[Column]:
+        return [
+            F.size(F.array_intersect(key(g), key(s))).alias("tp"), F.size(key(s)).alias("n_pred"), F.size(key(g)).alias("n_gold"),
+            greedy_matches(g, s, share_word).alias("matches"), F.size(s).alias("pairs_pred"), F.size(g).alias("pairs_gold"),
+        ]
+
+    names = ["tp", "n_pred", "n_gold", "matches", "pairs_pred", "pairs_gold"]
+    if by_aspect:
+        of = lambda c, a: F.filter(c, lambda p: p["aspect"] == a)
+        each = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("aspect"), *counts(of("gold", a), of("silver", a))) for a in aspects])).alias("c")).select("c.*")
+        sums = each.groupBy("aspect").agg(*[F.sum(n).alias(n) for n in names]).where("pairs_pred + pairs_gold > 0")
+    else:
+        sums = df.select(*counts(F.col("gold"), F.col("silver"))).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    p, r = ratio("matches", "pairs_pred"), ratio("matches", "pairs_gold")
+    relaxed = [F.round(p, 6).alias("relaxed_precision"), F.round(r, 6).alias("relaxed_recall"), F.round(ratio(2 * p * r, p + r), 6).alias("relaxed_f1")]
+    return sums.select(*(["aspect"] if by_aspect else []), "tp", "n_pred", "n_gold", "matches", *prf(F.col("tp"), F.col("n_pred"), F.col("n_gold")), *relaxed)
+
+
+def gate(yes: Column, tags: Column) -> Column:
+    """A two-step pipeline's tags: all ``O`` where the first step says no, or nothing."""
+    return F.when(F.coalesce(yes, F.lit(False)), tags).otherwise(F.transform(tags, lambda t: F.lit("O")))
+
+
+def binary_label(tags: Column) -> Column:
+    """Whether a sequence has any tag but ``O``."""
+    return F.exists(tags, lambda t: t != "O")
+
+
+def binary_counts(df: DataFrame, id_col: str, gold: Column, pred: Column) -> DataFrame:
+    """``example_id, tp, n_pred, n_gold`` of a yes/no label, a row each, for a bootstrap."""
+    g, p = F.coalesce(gold, F.lit(False)), F.coalesce(pred, F.lit(False))
+    return df.select(F.col(id_col).alias("example_id"), (g & p).cast("int").alias("tp"), p.cast("int").alias("n_pred"), g.cast("int").alias("n_gold"))
+
+
 def confusion(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """Counts and scores of a yes/no label; rows with a null on either side count as no."""
     g, p = F.coalesce(gold, F.lit(False)), F.coalesce(pred, F.lit(False))
@@ -155,14 +310,12 @@ def set_f1(a: DataFrame, b: DataFrame, keys: list[str], by: list[str] | None = N
 
 def greedy_matches(gold: Column, pred: Column, similar) -> Column:
     """How many of the ``gold`` array's structs find a partner of their own in ``pred``, in order, first come first served."""
-    step = lambda used, g: F.concat(
-        used,
-        F.slice(
-            F.filter(F.sequence(F.lit(1), F.size(pred)), lambda j: similar(g, F.element_at(pred, j)) & ~F.array_contains(used, j)), 1, 1
-        ),
-    )
-    none = F.slice(F.array(F.lit(0)), 1, 0)
-    return F.when((F.size(gold) > 0) & (F.size(pred) > 0), F.size(F.aggregate(gold, none, step))).otherwise(0)
+    def matched(ps: Column) -> Column:
+        free = lambda used, g: F.filter(F.sequence(F.lit(1), F.size(ps)), lambda j: similar(g, F.element_at(ps, j)) & ~F.array_contains(used, j))
+        none = F.slice(F.array(F.lit(0)), 1, 0)
+        return F.size(F.aggregate(gold, none, lambda used, g: F.concat(used, F.slice(free(used, g), 1, 1))))
+
+    return F.when((F.size(gold) > 0) & (F.size(pred) > 0), X.let(pred, matched)).otherwise(0)
 
 
 def share_word(a: Column, b: Column) -> Column:
@@ -175,21 +328,27 @@ def either_holds(a: Column, b: Column) -> Column:
     return (a["aspect"] == b["aspect"]) & (F.contains(a["span"], b["span"]) | F.contains(b["span"], a["span"]))
 
 
-def bootstrap_f1(stats: DataFrame, rounds: int = 1000, seed: str = "42", low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval of micro F1 from per-example sums (``example_id, tp, n_pred, n_gold``).
+def bootstrap_f1(
+    stats: DataFrame, rounds: int = 1000, seed: str = "42", low: float = 0.025, high: float = 0.975,
+    top: Sequence[tuple[str, float]] = (("tp", 2.0),), bottom: Sequence[str] = ("n_pred", "n_gold"),
+) -> DataFrame:
+    """Percentile interval of a micro F1 from the examples' sums (``example_id`` and counts).
 
-    Examples are numbered by id and drawn by hash, the same in every engine. Each example's
-    sums are added up per round; spans are not looked at again. Examples times
-    rounds rows are made, in parallel; for large sets draw fewer rounds.
+    The score of a round is the weighted sum of ``top`` over the sum of ``bottom``: 2 * tp / (n_pred + n_gold) by
+    default. Examples are numbered by id and drawn by hash, the same in every engine. Their
+    sums are written once and, up to ``BROADCAST_EXAMPLES``, broadcast to the draws, which are then added
+    up per round where they are made; beyond, draws and examples meet in a shuffle join.
     """
-    stats = stats.select(_KEY, "tp", "n_pred", "n_gold").persist()  # a row for each example, read three times
+    names = [*dict.fromkeys([n for n, _ in top] + list(bottom))]
+    stats = materialize(stats.select(_KEY, *names), "bootstrap")
     n = stats.count()
-    numbered = number_rows(stats, _KEY).select("tp", "n_pred", "n_gold", "i")
+    numbered = number_rows(stats, _KEY).select("i", *names)
+    numbered = F.broadcast(numbered) if n <= BROADCAST_EXAMPLES else numbered
     draws = stats.sparkSession.range(rounds * n).select((F.col("id") / max(n, 1)).cast("long").alias("round"), (F.col("id") % max(n, 1)).alias("slot"))
     draws = draws.withColumn("i", X.hash_index(F.concat_ws("|", "round", "slot"), max(n, 1), seed))
-    sums = draws.join(numbered, "i").groupBy("round").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_gold").alias("n_gold"))
-    f1 = ratio(2 * F.col("tp"), F.col("n_pred") + F.col("n_gold"))
-    return sums.select(f1.alias("f1")).agg(
+    sums = draws.join(numbered, "i").groupBy("round").agg(*[F.sum(c).alias(c) for c in names])
+    above, below = reduce(add, [F.col(c) * w for c, w in top]), reduce(add, [F.col(c) for c in bottom])
+    return sums.select(ratio(above, below).alias("f1")).agg(
         F.count("*").alias("rounds"), F.round(F.avg("f1"), 6).alias("mean"),
         F.round(F.percentile("f1", F.lit(low)), 6).alias("low"), F.round(F.percentile("f1", F.lit(high)), 6).alias("high"),
     )

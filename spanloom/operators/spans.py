@@ -1,80 +1,80 @@
-"""Spans from tag sequences in long form (``example_id, pos, tag``), and joins of overlapping spans.
+"""Spans from tag sequences (an array of tags in each row), and which span each token is in.
 
-Three decoders stand side by side because they give different metrics.
+Decoding stays inside the row: nothing is exploded or shuffled until a caller asks for
+rows of spans. Three decoders stand side by side because they give different metrics.
+Ends are inclusive token places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as X
+
 _KEY = "example_id"
+SPANS = "array<struct<aspect: string, start: int, end: int>>"
+
+
+def aspect_of(tag: Column) -> Column:
+    """What stands behind ``B-`` or ``I-``; nothing for ``O``."""
+    return F.substring(tag, 3, 64)
+
+
+def before(tags: Column) -> Column:
+    """The tag before each one; ``O`` before the first."""
+    return F.slice(F.concat(F.array(F.lit("O")), tags), 1, F.size(tags))
+
 
+def _decode(df: DataFrame, tag_col: str, out: str, begins: Callable[[Column, Column], Column], ends: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds ``out``: a span from each tag that begins one up to the next one that begins or ends."""
+    rows = df.withColumn("_e", F.zip_with(tag_col, before(F.col(tag_col)), lambda t, b: F.struct(t.alias("tag"), begins(t, b).alias("begins"), ends(t, b).alias("ends"))))
+    rows = rows.withColumn("_e", F.transform("_e", lambda e, i: F.struct(i.alias("pos"), e["tag"].alias("tag"), e["begins"].alias("begins"), e["ends"].alias("ends"))))
+    rows = rows.withColumn("_e", F.filter("_e", lambda e: e["begins"] | e["ends"]))
+    following = F.concat(F.transform(F.slice("_e", 2, F.greatest(F.size("_e"), F.lit(1))), lambda e: e["pos"]), F.array(F.size(tag_col)))
+    made = F.zip_with("_e", following, lambda e, n: F.when(e["begins"], F.struct(aspect_of(e["tag"]).alias("aspect"), e["pos"].alias("start"), (n - 1).alias("end"))))
+    return rows.withColumn(out, F.filter(made, lambda s: s.isNotNull()).cast(SPANS)).drop("_e")
 
-def _islands(tags: DataFrame, starts: Column, inside: Column, aspect: Column) -> DataFrame:
-    upto = Window.partitionBy(_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = tags.withColumns({"_in": inside, "_start": starts, "_aspect": aspect})
-    return (
-        marked.withColumn("_island", F.sum(F.when(F.col("_start"), 1).otherwise(0)).over(upto))
-        .where("_in")
-        .groupBy(_KEY, "_island")
-        .agg(F.first("_aspect").alias("aspect"), F.min("pos").alias("start"), F.max("pos").alias("end"))
-        .drop("_island")
-    )
-
-
-def _parts(tag_col: str) -> tuple[Column, Column, Column, Column, Window]:
-    w = Window.partitionBy(_KEY).orderBy("pos")
-    tag = F.col(tag_col)
-    before = F.coalesce(F.lag(tag).over(w), F.lit("O"))
-    return tag, before, F.substring(tag, 3, 64), F.substring(before, 3, 64), w
-
-
-def decode_strict(tags: DataFrame, tag_col: str = "tag") -> DataFrame:
-    """Spans opened by B- and continued by I- of the same aspect; an I- without its B- is nothing. ``end`` is inclusive."""
-    tag, _, aspect, _, w = _parts(tag_col)
-    # A run goes on as long as I- tags of the aspect of the last B- follow one another without a break.
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.startswith(tag, F.lit("B-"))
-    marked = tags.select(_KEY, "pos", tag.alias("tag"), begins.alias("b"), aspect.alias("a")).withColumn(
-        "opened", F.last(F.when(F.col("b"), F.struct("pos", "a")), ignorenulls=True).over(upto)
-    )
-    fits = F.col("b") | (F.startswith("tag", F.lit("I-")) & (F.col("a") == F.col("opened.a")))
-    marked = marked.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    broken = F.max(F.when(~F.col("fits"), F.col("pos"))).over(upto)
-    return (
-        marked.withColumn("broken", F.coalesce(broken, F.lit(-1)))
-        .where(F.col("fits") & (F.col("broken") < F.col("opened.pos")))
-        .groupBy(_KEY, F.col("opened.pos").alias("start"))
-        .agg(F.first("opened.a").alias("aspect"), F.max("pos").alias("end"))
-        .select(_KEY, "aspect", "start", "end")
-    )
-
-
-def decode_lenient(tags: DataFrame, tag_col: str = "tag") -> DataFrame:
+
+def decode_strict(df: DataFrame, tag_col: str = "tags", out: str = "spans") -> DataFrame:
+    """Spans opened by B- and continued by I- of the same aspect; an I- without its B- is nothing."""
+    begins = lambda t, b: F.startswith(t, F.lit("B-"))
+    return _decode(df, tag_col, out, begins, lambda t, b: ~(F.startswith(t, F.lit("I-")) & (aspect_of(t) == aspect_of(b))))
+
+
+def decode_lenient(df: DataFrame, tag_col: str = "tags", out: str = "spans") -> DataFrame:
     """As ``decode_strict``, but an I- behind O or another aspect opens a span (conlleval chunking)."""
-    tag, before, aspect, aspect_before, _ = _parts(tag_col)
-    inside = tag != "O"
-    starts = inside & (F.startswith(tag, F.lit("B-")) | (before == "O") | (aspect != aspect_before))
-    return _islands(tags, starts, inside, aspect)
+    begins = lambda t, b: (t != "O") & (F.startswith(t, F.lit("B-")) | (b == "O") | (aspect_of(t) != aspect_of(b)))
+    return _decode(df, tag_col, out, begins, lambda t, b: t == "O")
 
 
-def decode_io(tags: DataFrame, tag_col: str = "tag") -> DataFrame:
+def decode_io(df: DataFrame, tag_col: str = "tags", out: str = "spans") -> DataFrame:
     """Runs of one and the same tag other than O."""
-    tag, before, aspect, _, _ = _parts(tag_col)
-    inside = tag != "O"
-    return _islands(tags, inside & (tag != before), inside, aspect)
+    return _decode(df, tag_col, out, lambda t, b: (t != "O") & (t != b), lambda t, b: t == "O")
+
+
+def io_to_bio(tags: Column) -> Column:
+    """The tags with B- at the start of every run of an aspect."""
+    begins = lambda t, b: (b == "O") | (aspect_of(t) != aspect_of(b))
+    return F.zip_with(tags, before(tags), lambda t, b: F.when(t == "O", "O").otherwise(F.concat(F.when(begins(t, b), "B-").otherwise("I-"), aspect_of(t))))
+
+
+def rows_of(df: DataFrame, spans_col: str = "spans", key: str = _KEY) -> DataFrame:
+    """A row for each span: ``example_id, aspect, start, end``."""
+    return X.unnest(df, spans_col, key, item="s").select(key, "s.*")
 
 
-def io_to_bio(tags: DataFrame, tag_col: str = "tag") -> DataFrame:
-    """``tags`` with B- at the start of every run of an aspect."""
-    tag, before, aspect, aspect_before, _ = _parts(tag_col)
-    begins = (before == "O") | (aspect != aspect_before)
-    return tags.withColumn(tag_col, F.when(tag == "O", "O").when(begins, F.concat(F.lit("B-"), aspect)).otherwise(F.concat(F.lit("I-"), aspect)))
+def covering(df: DataFrame, spans_col: str, size: Column, out: str) -> DataFrame:
+    """Adds ``out``: for each of ``size`` tokens the span it is in, or null; spans are in order and apart, as the decoders give them."""
+    rows = df.withColumn("_b", F.concat(F.array(F.lit(0)), F.transform(spans_col, lambda s: s["end"] + 1)))
+    none = F.lit(None).cast("struct<aspect: string, start: int, end: int>")
+    part = lambda b, s, n: F.when(s.isNull(), F.array_repeat(none, n - b)).otherwise(F.concat(F.array_repeat(none, s["start"] - b), F.array_repeat(s, s["end"] - s["start"] + 1)))
+    parts = X.let(size, lambda n: F.zip_with("_b", spans_col, lambda b, s: part(b, s, n)))
+    return rows.withColumn(out, F.flatten(parts)).drop("_b")
 
 
-def touching(left: DataFrame, right: DataFrame, same_aspect: bool, how: str = "left_semi") -> DataFrame:
-    """Spans of ``left`` that share a token with one of ``right`` (ends are inclusive)."""
-    r = right.select(F.col(_KEY).alias("r_id"), F.col("aspect").alias("r_aspect"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    on = (F.col(_KEY) == F.col("r_id")) & (F.col("start") <= F.col("r_end")) & (F.col("end") >= F.col("r_start"))
-    return left.join(r, on & (F.col("aspect") == F.col("r_aspect")) if same_aspect else on, how)
+def within(cover: Column | str, span: Column) -> Column:
+    """What stands at the tokens of a span; inside a lambda ``cover`` must be a ``let`` value."""
+    return F.filter(F.slice(cover, span["start"] + 1, span["end"] - span["start"] + 1), lambda c: c.isNotNull())

@@ -5,6 +5,7 @@ All work inside a thread is done by higher-order functions on its row, without a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +17,10 @@ from spanloom.functions import text as X
 WEIGHTS = {"question": 10, "keyword_in_top": 8, "has_reply": 5, "creator_reply": 15, "keyword_in_reply": 12}
 
 
-def parse_items(items: DataFrame, channel_col: str = "channel_id", min_words: int = 3, spam: Sequence[str] = (), script: tuple[int, int] = X.SCRIPT) -> DataFrame:
+def parse_items(items: DataFrame, channel_col: str = "channel_id", min_words: int = 3, spam: Sequence[str] = (), script: tuple[int, int] = X.SCRIPT, skip_own: bool = True) -> DataFrame:
     """API items (``snippet``, ``replies`` and the video's channel) as threads, filtered.
 
-    Dropped are a channel's own top comments, and those without the script, with too
+    Dropped are a channel's own top comments (unless ``skip_own`` is off), and those without the script, with too
     few words or with spam. Of the replies, the channel's own always stay, others
     need the script and no spam.
     """
@@ -34,7 +35,7 @@ def parse_items(items: DataFrame, channel_col: str = "channel_id", min_words: in
     none = F.from_json(F.lit("[]"), "array<struct<comment_id: string, text: string, like_count: bigint, is_creator: boolean>>")
     replies = F.coalesce(F.transform("replies.comments", reply), none)
     author = F.coalesce(top["snippet"]["authorChannelId"]["value"], F.lit(""))
-    parsed = items.where(author != channel).select(
+    parsed = (items.where(author != channel) if skip_own else items).select(
         top["id"].alias("thread_id"),
         *[c for c in items.columns if c not in ("snippet", "replies")],
         F.struct(
@@ -68,11 +69,21 @@ def keep_threads(threads: DataFrame, min_words: int = 3, spam: Sequence[str] = (
     return threads.where(passes & fits(top)).withColumn("replies", replies)
 
 
+# What may stand around a question word, and the letters that may be joined to its front.
+WORD_ENDS = r"\s|[.,!?״\"'\-+=]"
+JOINED_LETTERS = "והכלבמש"
+
+
+def _escaped(word: str) -> str:
+    """A word as a pattern that Java reads literally."""
+    return re.sub(r"([\\^$.|?*+()\[\]{}\-#&~ ])", r"\\\1", word)
+
+
 def has_question(c: Column, markers: Sequence[str]) -> Column:
-    """A question mark, or one of the words, perhaps behind a one- or two-letter prefix."""
-    ends = r"\s|[.,!?״\"'\-+=]"
-    one_of = "|".join(markers)
-    return F.contains(c, F.lit("?")) | (F.rlike(c, F.lit(rf"(?i)(?:^|{ends})(?:[והכלבמש]{{1,2}})?(?:{one_of})(?={ends}|$)")) if markers else F.lit(False))
+    """A question mark, or one of the words, perhaps behind a one- or two-letter prefix; pattern signs in words stand for themselves."""
+    one_of = "|".join(map(_escaped, markers))
+    pattern = rf"(?i)(?:^|{WORD_ENDS})(?:[{JOINED_LETTERS}]{{1,2}})?(?:{one_of})(?={WORD_ENDS}|$)"
+    return F.contains(c, F.lit("?")) | (F.rlike(c, F.lit(pattern)) if markers else F.lit(False))
 
 
 def modification_score(markers: Sequence[str], keywords: Sequence[str]) -> Column:
@@ -155,18 +166,17 @@ def thread_text(top: Column, replies: Column) -> Column:
     return F.concat(F.coalesce(top, F.lit("")), F.lit("\n"), F.array_join(F.coalesce(replies, F.array().cast("array<string>")), "\n"))
 
 
-def prompts(threads: DataFrame, size: int, order_col: str = "thread_id") -> DataFrame:
-    """Prompts of ``size`` threads each, with numbered headers and the comments' roles.
+def prompts(threads: DataFrame, size: int, buckets: int, order_col: str = "thread_id") -> DataFrame:
+    """Prompts of ``size`` threads each, with numbered headers and the comments' roles: ``bucket, batch, n_threads, prompt``.
 
-    Threads are numbered within hash buckets of about a thousand prompts, so that
-    no single task numbers all of them.
+    Threads are dealt to ``buckets`` by the hash of their ids and numbered within them, in as many tasks as
+    there are; a bucket's last prompt may have fewer threads. Take a bucket for some thousand threads.
     """
     reply = lambda r, i: F.concat(F.lit("[reply_"), (i + 1).cast("string"), F.when(r["is_creator"], ", creator").otherwise(""), F.lit("] "), r["text"])
     body = F.concat(F.lit("[top] "), F.col("top_comment.text"), F.lit("\n"), F.array_join(F.transform("replies", reply), "\n"))
-    bucket = F.pmod(F.crc32(F.col(order_col).cast("string").cast("binary")), F.lit(4)).cast("int")
     w = Window.partitionBy("bucket").orderBy(order_col)
     return (
-        threads.withColumn("bucket", bucket)
+        threads.withColumn("bucket", X.hash_index(order_col, buckets))
         .withColumn("_n", F.row_number().over(w) - 1)
         .select("bucket", F.floor(F.col("_n") / size).alias("batch"), (F.col("_n") % size).alias("_k"), order_col, body.alias("_b"))
         .withColumn("_t", F.concat(F.lit("=== THREAD "), (F.col("_k") + 1).cast("string"), F.lit(" ("), F.col(order_col).cast("string"), F.lit(") ===\n"), F.col("_b")))

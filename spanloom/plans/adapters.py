@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,33 +121,16 @@ voted AS (
   FROM chosen)"""
 
 
-#: Words of each document that a query reads; None for all.
-WORDS: ContextVar[int | None] = ContextVar("words", default=128)
-
-
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 128 words of each document with their offsets; in a ``whole`` query all words."""
-    from spanloom.operators.align import tokens as words
-
-    return words(table(spark, sf_dir, "documents"), "doc_id", "text", WORDS.get())
-
+def tokens(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """Documents with their words and offsets: ``example_id, text, tokens``."""
+    from spanloom.operators.align import tokenize
 
-def whole(query):
-    """The query over all words of each document."""
-
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = WORDS.set(None)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            WORDS.reset(before)
-
-    return run
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), "text")
+    return tokenize(docs, "text", "tokens", limit)
 
 
 K_SQL = r"""
-pieces AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+')[1:128] AS p FROM documents),
+pieces AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS p FROM documents),
 each AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS pos FROM pieces),
 toks AS (
   SELECT doc_id AS example_id, pos, regexp_replace(piece, '^\s+', '') AS token,
@@ -160,12 +140,14 @@ toks AS (
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold and predicted BIO tags of the words, by arithmetic: ``example_id, pos, token, gold, pred``."""
-    names = F.array(*map(F.lit, BIO))
-    size, pos, doc = F.length("token"), F.col("pos"), F.col("example_id")
-    gold = F.when((size + pos) % 5 < 2, F.element_at(names, (((doc + F.floor(pos / 3)) % 8) + 2).cast("int"))).otherwise("O")
-    pred = F.when((doc + pos) % 7 == 0, F.element_at(names, ((size % 9) + 1).cast("int"))).otherwise(F.col("gold"))
-    return tokens(spark, sf_dir).select("example_id", "pos", "token", gold.alias("gold")).withColumn("pred", pred)
+    """Gold and predicted BIO tags of the words, by arithmetic: ``example_id, words, gold, pred`` (arrays)."""
+    from spanloom.operators.align import words
+
+    names, doc = F.array(*map(F.lit, BIO)), F.col("example_id")
+    gold = lambda w, i: F.when((F.length(w) + i) % 5 < 2, F.element_at(names, ((doc + F.floor(i / 3)) % 8 + 2).cast("int"))).otherwise("O")
+    pred = lambda x, i: F.when((doc + i) % 7 == 0, F.element_at(names, (F.length(x["words"]) % 9 + 1).cast("int"))).otherwise(x["gold"])
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), words("text").alias("words"))
+    return rows.withColumn("gold", F.transform("words", gold)).withColumn("pred", F.transform(F.arrays_zip("words", "gold"), pred))
 
 
 G_SQL = (
@@ -195,21 +177,15 @@ def decoded_sql(column: str, name: str) -> str:
 SPANS_SQL = G_SQL + "," + decoded_sql("gold", "gold_spans") + "," + decoded_sql("pred", "pred_spans")
 
 
-def located(spark: SparkSession, sf_dir: str, length: int = 60) -> DataFrame:
-    """Beginnings of benchmark texts that stand in documents: ``example_id, text, span, item_id``.
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts that stand in documents: ``example_id, text, item_id, span``."""
+    from spanloom.operators.align import find_spans
 
-    The few items are broadcast behind a count; the search is for a constant list.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, length).alias("span"))
-    rows = items.limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 items: locate them by a word index instead")
-    each = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["span"]).alias("span")) for r in sorted(rows)])
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), "text")
-    return docs.select("example_id", "text", F.explode(F.filter(each, lambda i: F.contains(F.col("text"), i["span"]))).alias("i")).select("example_id", "text", "i.item_id", "i.span")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
+    return find_spans(table(spark, sf_dir, "documents"), items, "doc_id", "text")
 
 
 B_SQL = """
-found AS (
-  SELECT d.doc_id AS example_id, d.text, b.item_id, substr(b.text, 1, 60) AS span
-  FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60)))"""
+found AS MATERIALIZED (
+  SELECT d.doc_id AS example_id, d.text, b.item_id, b.text AS span
+  FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split_regex(trim(b.text), '\\s+')) > 2)"""

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
     return put
 
 
-def _voted(spark, sf_dir):
+def voted(spark, sf_dir):
     rows = annotations(spark, sf_dir)
     rows = rows.withColumn("vote", N.vote(F.col("out1"), F.col("out2"), F.col("out3"), F.col("pass3_skipped")))
     return rows.select(
@@ -44,7 +44,7 @@ l AS (SELECT 'agreement_1v2' AS pair, v12 AS level FROM voted UNION ALL SELECT '
 c AS (SELECT pair, level, count(*) AS n FROM l WHERE level <> 'error' GROUP BY ALL)
 SELECT pair, level, n, round(n / CAST(sum(n) OVER (PARTITION BY pair) AS DOUBLE), 6) AS share FROM c""")
 def agreement_distribution(spark, sf_dir):
-    return U.agreement_distribution(_voted(spark, sf_dir))
+    return U.agreement_distribution(voted(spark, sf_dir))
 
 
 @query(f"""WITH {A_SQL} SELECT doc_id, CASE WHEN f1 IS NULL THEN 'first' WHEN f2 IS NULL THEN 'second' WHEN f3 IS NULL AND NOT coalesce(skipped, false) THEN CASE WHEN g12 = 'full' THEN 'skip' ELSE 'third' END ELSE 'none' END AS route FROM agreed""")
@@ -58,7 +58,7 @@ SELECT doc_id, final_flag AS has_modification, final_kind AS thread_type, array_
   CAST(CASE WHEN pair THEN CASE WHEN f1 THEN 2 ELSE 0 END WHEN given < 2 THEN 0 ELSE yes END AS INT) AS true_votes FROM voted""")
 def majority_vote(spark, sf_dir):
     f = F.col("final_label")
-    return _voted(spark, sf_dir).select(
+    return voted(spark, sf_dir).select(
         "doc_id", f["has_modification"].alias("has_modification"), f["thread_type"].alias("thread_type"), F.array_join(F.transform(f["modifications"], lambda m: m["aspect"]), ",").alias("aspects"),
         "vote_method", "needs_review", "agreement_1v2", "agreement_1v3", "agreement_2v3", "true_votes",
     )
@@ -67,17 +67,17 @@ def majority_vote(spark, sf_dir):
 @query(f"""WITH {A_SQL}, {VOTE_SQL} SELECT method AS vote_method, count(*) AS n, count(*) FILTER (WHERE method IN ('insufficient', 'no_majority')) AS n_review,
   count(*) FILTER (WHERE final_flag) AS n_positive FROM voted GROUP BY method""")
 def vote_stats(spark, sf_dir):
-    return U.vote_stats(_voted(spark, sf_dir).withColumn("has_modification", F.col("final_label.has_modification")))
+    return U.vote_stats(voted(spark, sf_dir).withColumn("has_modification", F.col("final_label.has_modification")))
 
 
 @query(f"WITH {A_SQL}, {VOTE_SQL} SELECT doc_id, method AS vote_method FROM voted WHERE method IN ('insufficient', 'no_majority')")
 def review_export(spark, sf_dir):
-    return _voted(spark, sf_dir).where("needs_review").select("doc_id", "vote_method")
+    return voted(spark, sf_dir).where("needs_review").select("doc_id", "vote_method")
 
 
 @query(f"WITH {A_SQL}, {VOTE_SQL} SELECT doc_id, final_flag AS has_modification FROM voted WHERE method IN ('unanimous', 'gemini_unanimous')")
 def unanimous_filter(spark, sf_dir):
-    return _voted(spark, sf_dir).where(N.is_unanimous(F.col("vote_method"))).select("doc_id", "final_label.has_modification")
+    return voted(spark, sf_dir).where(N.is_unanimous(F.col("vote_method"))).select("doc_id", "final_label.has_modification")
 
 
 _ODD = "CASE WHEN doc_id % 3 = 0 THEN upper(w) ELSE '  ' || w || '. ' END"
@@ -88,7 +88,7 @@ s AS (SELECT doc_id, unnest(list_transform(final_mods, lambda m: m.w)) AS w, tex
 o AS (SELECT doc_id, {_ODD} AS span, text FROM s)
 SELECT doc_id, span, contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(trim(span), '.')) AS occurs FROM o""")
 def span_light_check(spark, sf_dir):
-    rows = _voted(spark, sf_dir).where("final_label.has_modification").select("doc_id", "text", F.explode("final_label.modifications").alias("m"))
+    rows = voted(spark, sf_dir).where("final_label.has_modification").select("doc_id", "text", F.explode("final_label.modifications").alias("m"))
     span = F.when(F.col("doc_id") % 3 == 0, F.upper("m.span")).otherwise(F.concat(F.lit("  "), F.col("m.span"), F.lit(". ")))
     return rows.select("doc_id", span.alias("span"), X.span_occurs(span, "text").alias("occurs"))
 
@@ -99,7 +99,7 @@ SELECT doc_id, CAST(CASE WHEN positive THEN len(oks) ELSE 0 END AS INT) AS check
   CAST(CASE WHEN positive THEN len(list_filter(oks, lambda x: NOT x)) ELSE 0 END AS INT) AS dropped, positive AND len(oks) > 0 AND len(list_filter(oks, lambda x: x)) = 0 AS flipped,
   positive AND NOT (len(oks) > 0 AND len(list_filter(oks, lambda x: x)) = 0) AS has_modification FROM s""")
 def span_cleaning(spark, sf_dir):
-    rows = _voted(spark, sf_dir).where("final_label is not null")
+    rows = voted(spark, sf_dir).where("final_label is not null")
     odd = F.transform("final_label.modifications", lambda m: m.withField("span", F.when(F.col("doc_id") % 3 == 0, F.upper(m["span"])).otherwise(m["span"])))
     rows = rows.withColumn("c", N.clean_spans(F.col("final_label").withField("modifications", odd), F.col("text")))
     return rows.select("doc_id", "c.checked", "c.kept", "c.dropped", "c.flipped", "c.label.has_modification")
@@ -133,14 +133,19 @@ def hallucination_rates(spark, sf_dir):
 
 @query(f"""WITH {A_SQL}, {VOTE_SQL}, {_STATS},
 o AS (SELECT count(*) FILTER (WHERE final_flag) / CAST(count(*) AS DOUBLE) AS final_rate, count(*) FILTER (WHERE v12 = 'full') / CAST(count(*) FILTER (WHERE v12 IN ('full', 'partial', 'none')) AS DOUBLE) AS agree FROM voted),
-p AS (SELECT max(rate) - min(rate) AS spread, max(rate) FILTER (WHERE pass = 1) AS first_rate FROM r)
+p AS (SELECT max(rate) - min(rate) AS spread, max(rate) FILTER (WHERE pass = 1) AS first_rate FROM r),
+m AS (SELECT doc_id, text, unnest(m1) AS m FROM passes WHERE f1 IS NOT NULL UNION ALL SELECT doc_id, text, unnest(m2) FROM passes WHERE f2 IS NOT NULL UNION ALL SELECT doc_id, text, unnest(m3) FROM passes WHERE f3),
+h AS (SELECT count(*) FILTER (WHERE NOT contains(text, CASE WHEN doc_id % 9 = 0 THEN m.w || '#' ELSE m.w END)) / CAST(count(*) AS DOUBLE) AS lost FROM m)
 SELECT 'positive_rate' AS section, CASE WHEN first_rate < 0.03 OR first_rate > 0.8 THEN 'WARN' ELSE 'PASS' END AS level FROM p
 UNION ALL SELECT 'final_rate', CASE WHEN final_rate < 0.03 THEN 'FAIL' WHEN final_rate < 0.08 THEN 'WARN' ELSE 'PASS' END FROM o
 UNION ALL SELECT 'agreement', CASE WHEN agree < 0.4 THEN 'WARN' ELSE 'PASS' END FROM o
 UNION ALL SELECT 'spread', CASE WHEN spread > 0.2 THEN 'WARN' ELSE 'PASS' END FROM p
-UNION ALL SELECT 'hallucination', 'PASS'""")
+UNION ALL SELECT 'hallucination', CASE WHEN lost > 0.15 THEN 'FAIL' WHEN lost > 0.05 THEN 'WARN' ELSE 'PASS' END FROM h""")
 def audit_gates(spark, sf_dir):
-    rows = _voted(spark, sf_dir)
+    """The gates, over spans of which every ninth document's are changed so that no text has them."""
+    rows = voted(spark, sf_dir)
+    changed = lambda c: F.when(F.col(c).isNotNull(), F.col(c).withField("modifications", F.transform(F.col(c)["modifications"], lambda m: m.withField("span", F.when(F.col("doc_id") % 9 == 0, F.concat(m["span"], F.lit("#"))).otherwise(m["span"])))))
+    rows = rows.withColumns({c: changed(c) for c in ("out1", "out2", "out3")})
     stats = U.label_stats(rows)
     first = stats.agg(F.max(F.when(F.col("pass") == 1, F.col("positive_rate"))).alias("positive_rate"), F.max("spread").alias("spread"))
     final = rows.agg(M.ratio(F.count_if(F.coalesce("final_label.has_modification", F.lit(False))), F.count("*")).alias("final_rate"))
@@ -178,40 +183,11 @@ def cohens_kappa(spark, sf_dir):
     return M.kappa(table(spark, sf_dir, "labels"), "quality", "toxic")
 
 
-@query(f"""WITH {A_SQL}, x AS (SELECT DISTINCT doc_id % 50 AS g, unnest(list_transform(m1, lambda m: m.a)) AS aspect FROM passes), y AS (SELECT DISTINCT doc_id % 50 AS g, unnest(list_transform(m3, lambda m: m.a)) AS aspect FROM passes WHERE f3 IS NOT NULL),
-j AS (SELECT coalesce(x.aspect, y.aspect) AS aspect, x.g IS NOT NULL AS a, y.g IS NOT NULL AS b FROM x FULL JOIN y ON x.g = y.g AND x.aspect = y.aspect)
-SELECT aspect, count(*) FILTER (WHERE a AND b) AS common, count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE b) AS n_b,
-  round(2 * count(*) FILTER (WHERE a AND b) / CAST(count(*) FILTER (WHERE a) + count(*) FILTER (WHERE b) AS DOUBLE), 6) AS f1 FROM j GROUP BY aspect""")
-def iaa_span_f1(spark, sf_dir):
-    rows = annotations(spark, sf_dir)
-    side = lambda c: rows.select((F.col("doc_id") % 50).alias("g"), F.explode(f"{c}.modifications").alias("m")).select("g", "m.aspect")
-    return M.set_f1(side("out1"), side("out3"), ["g", "aspect"], ["aspect"])
-
-
-@query(f"""WITH {A_SQL}, j AS (SELECT doc_id, list_transform(m1, lambda m: m.a) AS g, CASE WHEN f2 IS NULL THEN [] ELSE list_transform(m2, lambda m: m.a) END AS s FROM passes WHERE f1 IS NOT NULL)
-SELECT CAST(sum(len(list_intersect(g, s))) AS BIGINT) AS tp, CAST(sum(len(s) - len(list_intersect(g, s))) AS BIGINT) AS fp, CAST(sum(len(g) - len(list_intersect(g, s))) AS BIGINT) AS fn FROM j""")
-def teacher_vs_gold(spark, sf_dir):
-    """Exact span matches of the second pass against the first, by (span, aspect)."""
-    key = lambda m: F.struct(m["span"], m["aspect"])
-    rows = annotations(spark, sf_dir).where("out1 is not null")
-    none = F.slice(F.col("out1.modifications"), 1, 0)
-    g, s = F.transform("out1.modifications", key), F.transform(F.coalesce("out2.modifications", none), key)
-    both = F.size(F.array_intersect(g, s))
-    return rows.agg(F.sum(both).alias("tp"), F.sum(F.size(s) - both).alias("fp"), F.sum(F.size(g) - both).alias("fn"))
-
-
-@query()
-def greedy_relaxed_match(spark, sf_dir):
-    rows = annotations(spark, sf_dir).where("out1 is not null and out2 is not null")
-    g, s = F.col("out1.modifications"), F.col("out2.modifications")
-    return rows.select("doc_id", M.greedy_matches(g, s, M.share_word).alias("by_word"), M.greedy_matches(g, s, M.either_holds).alias("by_part"))
-
-
 @query(f"""WITH {A_SQL}, {VOTE_SQL}, p AS (SELECT doc_id, text, unnest(final_mods) AS m FROM voted WHERE final_flag AND trim(text) <> '')
 SELECT doc_id AS thread_id, 'top' AS source_comment, true AS has_modification, string_agg(m.w, ',' ORDER BY m.a = 'ADDITION', m.a = 'TECHNIQUE', m.a = 'QUANTITY') AS spans FROM p GROUP BY doc_id
 UNION ALL SELECT doc_id, 'top', false, '' FROM voted WHERE NOT coalesce(final_flag, false) AND trim(text) <> ''""")
 def thread_examples(spark, sf_dir):
-    labeled = _voted(spark, sf_dir).select(
+    labeled = voted(spark, sf_dir).select(
         F.col("doc_id").alias("thread_id"), F.col("text").alias("top_comment_text"), F.array().cast("array<string>").alias("replies_texts"), F.col("final_label").alias("label"), "vote_method")
     return comment_examples(labeled).select("thread_id", "source_comment", "has_modification", F.array_join(F.transform("modifications", lambda m: m["span"]), ",").alias("spans"))
 

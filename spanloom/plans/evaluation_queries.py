@@ -25,9 +25,8 @@ def query(sql: str | None = None):
     return put
 
 
-def _spans(spark, sf_dir):
-    t = tags(spark, sf_dir)
-    return S.decode_lenient(t, "gold"), S.decode_lenient(t, "pred")
+def _scored(spark, sf_dir):
+    return M.with_spans(tags(spark, sf_dir))
 
 
 def _score(tp, n_pred, n_gold):
@@ -42,19 +41,19 @@ _COUNTS = "count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p) AS n
 
 @query(f"WITH {SPANS_SQL}, {_BOTH}, c AS (SELECT {_COUNTS} FROM both_) SELECT tp, n_pred, n_gold, {_score('tp', 'n_pred', 'n_gold')} FROM c")
 def entity_prf(spark, sf_dir):
-    return M.exact_prf(*_spans(spark, sf_dir))
+    return M.exact_prf(_scored(spark, sf_dir))
 
 
 @query(f"WITH {SPANS_SQL}, {_BOTH}, c AS (SELECT aspect, {_COUNTS} FROM both_ GROUP BY aspect) SELECT aspect, tp, n_pred, n_gold, {_score('tp', 'n_pred', 'n_gold')} FROM c")
 def entity_prf_by_aspect(spark, sf_dir):
-    return M.exact_prf(*_spans(spark, sf_dir), by_aspect=True)
+    return M.exact_prf(_scored(spark, sf_dir), by_aspect=True)
 
 
 @query(f"""WITH {SPANS_SQL}, {_BOTH}, c AS (SELECT aspect, {_COUNTS} FROM both_ GROUP BY aspect), s AS (SELECT n_gold, {_score('tp', 'n_pred', 'n_gold')} FROM c)
 SELECT 'macro' AS average, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM s
 UNION ALL SELECT 'weighted', round(sum(precision * n_gold) / sum(n_gold), 6), round(sum(recall * n_gold) / sum(n_gold), 6), round(sum(f1 * n_gold) / sum(n_gold), 6) FROM s""")
 def entity_averages(spark, sf_dir):
-    return M.averages(M.exact_prf(*_spans(spark, sf_dir), by_aspect=True))
+    return M.averages(M.exact_prf(_scored(spark, sf_dir), by_aspect=True))
 
 
 _TOUCH = "a.example_id = b.example_id AND a.aspect = b.aspect AND a.start <= b.\"end\" AND a.\"end\" >= b.start"
@@ -65,7 +64,7 @@ _TOUCH = "a.example_id = b.example_id AND a.aspect = b.aspect AND a.start <= b.\
 s AS (SELECT *, pred_hit / CAST(n_pred AS DOUBLE) AS p, gold_hit / CAST(n_gold AS DOUBLE) AS r FROM c)
 SELECT n_gold, n_pred, gold_hit, pred_hit, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM s""")
 def relaxed_prf(spark, sf_dir):
-    return M.relaxed_prf(*_spans(spark, sf_dir))
+    return M.relaxed_prf(_scored(spark, sf_dir))
 
 
 @query(f"""WITH {G_SQL}, t AS (SELECT tag, count(*) FILTER (WHERE gold = tag AND pred = tag) AS tp, count(*) FILTER (WHERE pred = tag) AS np, count(*) FILTER (WHERE gold = tag) AS ng
@@ -87,7 +86,7 @@ k AS (SELECT 'correct' AS kind FROM (SELECT DISTINCT example_id FROM tags) WHERE
   UNION ALL SELECT 'false_positive' FROM extra a WHERE NOT EXISTS (SELECT 1 FROM gold_spans b WHERE {_ANY}))
 SELECT kind, count(*) AS n FROM k GROUP BY kind""")
 def error_taxonomy_a(spark, sf_dir):
-    return M.errors_simple(*_spans(spark, sf_dir), tags(spark, sf_dir))
+    return M.errors_simple(_scored(spark, sf_dir))
 
 
 @query(f"""WITH {SPANS_SQL},
@@ -98,59 +97,75 @@ off AS (SELECT * FROM one WHERE kind LIKE '%extension' AND abs(bs - start) + abs
 k AS (SELECT kind FROM one UNION ALL SELECT 'off_by_one' FROM off
   UNION ALL SELECT 'prefix_error' FROM off JOIN tags t ON t.example_id = off.example_id AND t.pos = greatest(0, CASE WHEN bs < start THEN bs - 1 ELSE be END) WHERE substr(t.token, 1, 1) IN ('t', 'o', 'a')
   UNION ALL SELECT 'false_positive' FROM pred_spans a WHERE NOT EXISTS (SELECT 1 FROM gold_spans b WHERE {_ANY}))
-SELECT kind, count(*) AS n FROM k GROUP BY kind""")
+SELECT kind, count(*) AS n, round(count(*) / CAST(CASE WHEN kind = 'false_positive' THEN (SELECT count(*) FROM pred_spans) ELSE (SELECT count(*) FROM gold_spans) END AS DOUBLE), 6) AS share FROM k GROUP BY kind""")
 def error_taxonomy_b(spark, sf_dir):
-    letters = tags(spark, sf_dir).select("example_id", "pos", F.substring("token", 1, 1).alias("letter"))
-    return M.errors_boundary(*_spans(spark, sf_dir), letters, "toa")
+    return M.errors_boundary(_scored(spark, sf_dir), "words", "toa", shares=True)
 
 
 @query(f"""WITH {SPANS_SQL}, c AS (SELECT example_id, (SELECT count(*) FROM gold_spans g WHERE g.example_id = e.example_id) AS g, (SELECT count(*) FROM pred_spans p WHERE p.example_id = e.example_id) AS p FROM (SELECT DISTINCT example_id FROM tags) e)
 SELECT CAST(sum(g) AS BIGINT) AS total_gold_spans, CAST(sum(p) AS BIGINT) AS total_pred_spans, round(avg(g) FILTER (WHERE g > 0), 6) AS avg_gold_per_positive, round(avg(p) FILTER (WHERE g > 0), 6) AS avg_pred_per_positive, count(*) FILTER (WHERE g > 0) AS n_positive_examples FROM c""")
 def span_count_stats(spark, sf_dir):
-    return M.span_counts(*_spans(spark, sf_dir))
+    return M.span_counts(_scored(spark, sf_dir))
 
 
 _STATS = f"""{_BOTH}, stats AS (SELECT example_id, {_COUNTS}, row_number() OVER (ORDER BY example_id) - 1 AS i FROM both_ GROUP BY example_id)"""
 
 
-@query(f"""WITH {SPANS_SQL}, {_STATS}, n AS (SELECT count(*) AS n FROM stats),
-d AS (SELECT r AS round_, CAST('0x' || substr(md5('42|' || r || '|' || s), 1, 8) AS BIGINT) % n AS i FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range(n)) AS s, n FROM n)),
-f AS (SELECT round_, 2 * sum(tp) / CAST(sum(n_pred) + sum(n_gold) AS DOUBLE) AS f1 FROM d JOIN stats USING (i) GROUP BY round_)
-SELECT count(*) AS rounds, round(avg(f1), 6) AS mean, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM f""")
+_DRAWS = """n AS (SELECT count(*) AS n FROM stats),
+d AS (SELECT r AS round_, CAST('0x' || substr(md5('42|' || r || '|' || s), 1, 8) AS BIGINT) % n AS i FROM (SELECT unnest(range(1000)) AS r), (SELECT unnest(range(n)) AS s, n FROM n)),
+f AS (SELECT round_, coalesce(SCORE, 0) AS f1 FROM d JOIN stats USING (i) GROUP BY round_)
+SELECT count(*) AS rounds, round(avg(f1), 6) AS mean, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM f"""
+
+
+@query(f"WITH {SPANS_SQL}, {_STATS}, {_DRAWS.replace('SCORE', '2 * sum(tp) / CAST(nullif(sum(n_pred) + sum(n_gold), 0) AS DOUBLE)')}")
 def bootstrap_ci(spark, sf_dir):
-    gold, pred = _spans(spark, sf_dir)
-    return M.bootstrap_f1(M._counts(gold, pred, ["example_id"]), rounds=200)
+    """The interval of exact F1 from 1000 rounds."""
+    rows = _scored(spark, sf_dir).where("size(gold_spans) + size(pred_spans) > 0")
+    return M.bootstrap_f1(M.example_counts(rows, "example_id"))
+
+
+_RELAXED = f"""g AS (SELECT a.example_id, EXISTS (SELECT 1 FROM pred_spans b WHERE {_TOUCH}) AS hit, 1 AS is_gold FROM gold_spans a
+  UNION ALL SELECT a.example_id, EXISTS (SELECT 1 FROM gold_spans b WHERE {_TOUCH}), 0 FROM pred_spans a),
+each_ AS (SELECT example_id, sum(is_gold) AS n_gold, sum(1 - is_gold) AS n_pred, count(*) FILTER (WHERE hit AND is_gold = 1) AS gold_hit, count(*) FILTER (WHERE hit AND is_gold = 0) AS pred_hit FROM g GROUP BY example_id)"""
+
+
+@query(f"""WITH {SPANS_SQL}, {_RELAXED}, stats AS (SELECT *, row_number() OVER (ORDER BY example_id) - 1 AS i FROM each_),
+{_DRAWS.replace('SCORE', '(sum(gold_hit) + sum(pred_hit)) / CAST(nullif(sum(n_pred) + sum(n_gold), 0) AS DOUBLE)')}""")
+def bootstrap_relaxed(spark, sf_dir):
+    """The interval of the share of spans, gold and predicted, that touch one of their aspect."""
+    rows = _scored(spark, sf_dir).where("size(gold_spans) + size(pred_spans) > 0")
+    return M.bootstrap_f1(M.relaxed_counts(rows, "example_id"), top=(("gold_hit", 1.0), ("pred_hit", 1.0)))
 
 
-@query(SQL["bootstrap_ci"].replace("range(200)", "range(1000)"))
-def bootstrap_ci_1000(spark, sf_dir):
-    """The interval from the operator's and the reference's default of 1000 rounds."""
-    gold, pred = _spans(spark, sf_dir)
-    return M.bootstrap_f1(M._counts(gold, pred, ["example_id"]))
+@query(f"""WITH stats AS (SELECT doc_id AS example_id, CAST(quality = 1 AND toxic = 1 AS INT) AS tp, toxic AS n_pred, quality AS n_gold, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels),
+{_DRAWS.replace('SCORE', '2 * sum(tp) / CAST(nullif(sum(n_pred) + sum(n_gold), 0) AS DOUBLE)')}""")
+def bootstrap_binary(spark, sf_dir):
+    """The interval of a yes/no label's F1."""
+    return M.bootstrap_f1(M.binary_counts(table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1, F.col("toxic") == 1))
 
 
-@query(f"""WITH {SPANS_SQL}, {_BOTH}, c AS (SELECT 'm' || (example_id % 6) AS model, example_id % 2 AS side, {_COUNTS} FROM both_ GROUP BY 1, 2),
-f AS (SELECT model, side, round(2 * tp / CAST(n_pred + n_gold AS DOUBLE), 6) AS f1 FROM c)
-SELECT model, max(f1) FILTER (WHERE side = 0) AS gold_relaxed, max(f1) FILTER (WHERE side = 1) AS silver_relaxed FROM f WHERE model <> 'm5' GROUP BY model""")
+@query(f"""WITH {SPANS_SQL}, {_BOTH}, {_RELAXED}, x AS (SELECT 'm' || (example_id % 6) AS model, example_id % 2 AS side, round(2 * count(*) FILTER (WHERE g AND p) / CAST(nullif(count(*) FILTER (WHERE p) + count(*) FILTER (WHERE g), 0) AS DOUBLE), 6) AS f1 FROM both_ GROUP BY 1, 2),
+s AS (SELECT 'm' || (example_id % 6) AS model, example_id % 2 AS side, sum(gold_hit) / CAST(nullif(sum(n_gold), 0) AS DOUBLE) AS r, sum(pred_hit) / CAST(nullif(sum(n_pred), 0) AS DOUBLE) AS p FROM each_ GROUP BY 1, 2),
+y AS (SELECT model, side, round(2 * p * r / nullif(p + r, 0), 6) AS f1 FROM s)
+SELECT model, max(x.f1) FILTER (WHERE side = 0) AS gold_exact, max(y.f1) FILTER (WHERE side = 0) AS gold_relaxed, max(x.f1) FILTER (WHERE side = 1) AS silver_exact, max(y.f1) FILTER (WHERE side = 1) AS silver_relaxed
+FROM x JOIN y USING (model, side) WHERE model <> 'm5' GROUP BY model""")
 def league_table(spark, sf_dir):
-    gold, pred = _spans(spark, sf_dir)
-    c = M._counts(gold, pred, ["example_id"]).select(F.concat(F.lit("m"), F.col("example_id") % 6).alias("model"), (F.col("example_id") % 2).alias("side"), "tp", "n_pred", "n_gold")
-    f1 = F.round(M.ratio(2 * F.sum("tp"), F.sum("n_pred") + F.sum("n_gold")), 6)
-    each = c.groupBy("model", "side").agg(f1.alias("relaxed_f1"), f1.alias("exact_f1"))
-    return M.league(each.where("side = 0"), each.where("side = 1"), ("m5",)).select("model", "gold_relaxed", "silver_relaxed")
+    """Models by their relaxed F1 on one test set, beside the other; even ids are the one, odd ones the other."""
+    rows = _scored(spark, sf_dir).select("*", F.concat(F.lit("m"), F.col("example_id") % 6).alias("model"), (F.col("example_id") % 2).alias("side"))
+    exact = M.example_counts(rows, "model", "side").groupBy("model", "side").agg(F.round(M.ratio(2 * F.sum("tp"), F.sum("n_pred") + F.sum("n_gold")), 6).alias("exact_f1"))
+    hits = M.relaxed_counts(rows, "model", "side").groupBy("model", "side").agg(*[F.sum(n).alias(n) for n in ("n_gold", "n_pred", "gold_hit", "pred_hit")])
+    each = exact.join(hits.select("model", "side", M.relaxed_scores()[2].alias("relaxed_f1")), ["model", "side"])  # a row for each model and set
+    return M.league(each.where("side = 0"), each.where("side = 1"), ("m5",))
 
 
 @query(f"WITH {G_SQL} SELECT gold AS label, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM tags GROUP BY gold")
 def label_distribution(spark, sf_dir):
-    return D.label_distribution(tags(spark, sf_dir).select(F.col("gold").alias("label")))
+    return D.label_distribution(X.unnest(tags(spark, sf_dir), "gold", item="label"))
 
 
 @query(f"WITH {SPANS_SQL} SELECT aspect, count(*) AS n_runs, (SELECT count(*) FROM tags WHERE gold = 'B-' || aspect) AS n_begin FROM gold_spans GROUP BY aspect")
 def entity_counts(spark, sf_dir):
-    t = tags(spark, sf_dir)
-    runs = S.decode_lenient(t, "gold").groupBy("aspect").agg(F.count("*").alias("n_runs"))
-    begins = t.where(F.startswith("gold", F.lit("B-"))).groupBy(F.substring("gold", 3, 64).alias("aspect")).agg(F.count("*").alias("n_begin"))
-    return runs.join(begins, "aspect", "left").select("aspect", "n_runs", F.coalesce("n_begin", F.lit(0)).alias("n_begin"))
+    return M.entity_counts(S.decode_lenient(tags(spark, sf_dir), "gold"), "gold")
 
 
 _WEIGHT = f"""WITH {G_SQL}, l AS (SELECT unnest(n) AS label FROM names), c AS (SELECT label, (SELECT count(*) FROM tags WHERE gold = label) AS n, (SELECT count(*) FROM tags) AS total FROM l)
@@ -159,12 +174,12 @@ SELECT label, n, round(WEIGHT, 4) AS weight FROM c"""
 
 @query(_WEIGHT.replace("WEIGHT", "least(20.0::DOUBLE, total / CAST(9 * greatest(n, 1) AS DOUBLE))"))
 def class_weights(spark, sf_dir):
-    return D.class_weights(tags(spark, sf_dir).select(F.col("gold").alias("label")), BIO, "capped")
+    return D.class_weights(X.unnest(tags(spark, sf_dir), "gold", item="label"), BIO, "capped")
 
 
 @query(_WEIGHT.replace("WEIGHT", "sqrt(total / CAST(9 * greatest(n, 1) AS DOUBLE))"))
 def class_weights_sqrt(spark, sf_dir):
-    return D.class_weights(tags(spark, sf_dir).select(F.col("gold").alias("label")), BIO, "sqrt")
+    return D.class_weights(X.unnest(tags(spark, sf_dir), "gold", item="label"), BIO, "sqrt")
 
 
 def _rows(spark, sf_dir):
@@ -213,12 +228,19 @@ def random_baseline(spark, sf_dir):
     return D.random_labels(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", [("O", 0.7), ("B-QUANTITY", 0.2), ("I-QUANTITY", 0.1)])
 
 
-@query(f"""WITH {SPANS_SQL}, c AS (SELECT DISTINCT example_id FROM tags WHERE pred <> 'O'), s AS (SELECT t.example_id, t.pos, t.gold, CASE WHEN t.example_id % 3 = 0 THEN 'O' ELSE t.pred END AS pred FROM tags t)
-SELECT round(count(*) FILTER (WHERE gold = pred) / CAST(count(*) AS DOUBLE), 6) AS accuracy, count(*) FILTER (WHERE pred <> 'O') AS n_tagged FROM s""")
+@query(f"""WITH {G_SQL}, c AS (SELECT example_id, count(*) FILTER (WHERE pred <> 'O') * 4 > count(*) AS yes FROM tags GROUP BY example_id),
+s AS (SELECT t.example_id, t.pos, t.gold, CASE WHEN c.yes THEN t.pred ELSE 'O' END AS pred FROM tags t JOIN c USING (example_id))
+SELECT round(count(*) FILTER (WHERE gold = pred) / CAST(count(*) AS DOUBLE), 6) AS accuracy, count(*) FILTER (WHERE pred <> 'O') AS n_tagged, (SELECT count(*) FROM c WHERE yes) AS n_yes FROM s""")
 def two_step_pipeline(spark, sf_dir):
-    """A classifier's no makes all of an example's tags O."""
-    t = tags(spark, sf_dir).withColumn("pred", F.when(F.col("example_id") % 3 == 0, "O").otherwise(F.col("pred")))
-    return t.agg(F.round(M.ratio(F.count_if(F.col("gold") == F.col("pred")), F.count("*")), 6).alias("accuracy"), F.count_if(F.col("pred") != "O").alias("n_tagged"))
+    """A classifier, here one that says yes where more than a quarter of the tags are in a span, gates the tagger: its no makes all of an example's tags O."""
+    n = F.size(F.filter("pred", lambda t: t != "O"))
+    rows = tags(spark, sf_dir).withColumn("yes", n * 4 > F.size("pred"))
+    gated = rows.withColumn("pred", M.gate(F.col("yes"), F.col("pred")))
+    right = F.size(F.filter(F.zip_with("gold", "pred", lambda g, p: g == p), lambda x: x))
+    return gated.agg(
+        F.round(M.ratio(F.sum(right), F.sum(F.size("gold"))), 6).alias("accuracy"),
+        F.sum(F.size(F.filter("pred", lambda t: t != "O")).cast("long")).alias("n_tagged"), F.count_if(F.col("yes") & (F.size("gold") > 0)).alias("n_yes"),
+    )
 
 
 @query("""WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS v FROM events),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as X
 from spanloom.operators import align as L
 from spanloom.operators import spans as S
+from spanloom.operators import subwords as W
 from spanloom.plans.adapters import B_SQL, G_SQL, K_SQL, located, table, tags, tokens
 
 QUERIES, SQL = {}, {}
@@ -42,7 +43,20 @@ def span_locate_edge_strip(spark, sf_dir):
     return rows.select("example_id", "item_id", at["start"].alias("start"), at["end"].alias("end"))
 
 
-@query()
+#: Tier 2 by a pattern for the white space, tier 3 without edge marks, tier 4 by the characters that the normal form keeps and where they stand.
+@query(f"""WITH {B_SQL},
+odd AS MATERIALIZED (SELECT *, item_id % 4 AS k, CASE item_id % 4 WHEN 2 THEN '«' || span || '!' ELSE span END AS sought FROM found),
+two AS (SELECT example_id, item_id, regexp_extract(text, regexp_replace(regexp_escape(trim(span)), '(\\\\?\\s)+', '\\\\s+', 'g')) AS hit FROM odd WHERE k = 1),
+chars AS (SELECT example_id, item_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM odd WHERE k = 2),
+kept AS (SELECT *, regexp_matches(c, '\\s') AS blank FROM chars WHERE regexp_matches(c, '[\\p{{L}}\\p{{N}}_\\s\\x{{0590}}-\\x{{05FF}}]')),
+once AS (SELECT *, lag(blank) OVER (PARTITION BY example_id, item_id ORDER BY i) AS before FROM kept),
+normal AS (SELECT example_id, item_id, string_agg(CASE WHEN blank THEN ' ' ELSE translate(c, 'ךםןףץ', 'כמנפצ') END, '' ORDER BY i) AS n, list(i ORDER BY i) AS places FROM once WHERE NOT (blank AND coalesce(before, true)) GROUP BY example_id, item_id),
+four AS (SELECT o.example_id, o.item_id, n.places, instr(n.n, w.w) AS p, length(w.w) AS len FROM odd o JOIN normal n ON n.example_id = o.example_id AND n.item_id = o.item_id,
+  LATERAL (SELECT trim(regexp_replace(translate(regexp_replace(o.sought, '[^\\p{{L}}\\p{{N}}_\\s\\x{{0590}}-\\x{{05FF}}]', '', 'g'), 'ךםןףץ', 'כמנפצ'), '\\s+', ' ', 'g')) AS w) w WHERE o.k = 2)
+SELECT example_id, item_id, CAST(instr(text, span) - 1 AS INT) AS start, CAST(instr(text, span) - 1 + length(span) AS INT) AS "end", 1 AS tier FROM odd WHERE k = 0
+UNION ALL SELECT o.example_id, o.item_id, CAST(instr(text, hit) - 1 AS INT), CAST(instr(text, hit) - 1 + length(hit) AS INT), 2 FROM odd o JOIN two USING (example_id, item_id)
+UNION ALL SELECT example_id, item_id, CAST(instr(text, trim(span, '.,!?;:''"()[]{{}}…–—·• ')) - 1 AS INT), CAST(instr(text, trim(span, '.,!?;:''"()[]{{}}…–—·• ')) - 1 + length(trim(span, '.,!?;:''"()[]{{}}…–—·• ')) AS INT), 3 FROM odd WHERE k = 3
+UNION ALL SELECT example_id, item_id, CAST(places[p] - 1 AS INT), CAST(places[p + len - 1] AS INT), 4 FROM four""")
 def span_locate_full(spark, sf_dir):
     """All four tiers: spans as they are, with other white space, with edge marks and with marks inside."""
     k = F.col("item_id") % 4
@@ -53,38 +67,57 @@ def span_locate_full(spark, sf_dir):
 
 @query(f"""WITH {K_SQL} SELECT example_id, CAST(pos AS INT) AS pos, start, "end", token FROM toks""")
 def word_tokens(spark, sf_dir):
-    return tokens(spark, sf_dir)
+    return X.unnest(tokens(spark, sf_dir), "tokens", "example_id", pos="pos", item="t").select("example_id", "pos", "t.*")
 
 
-_ALIGN = f"""WITH {K_SQL}, {B_SQL},
-spans AS (SELECT example_id, item_id AS ord, CAST(instr(text, span) - 1 AS INT) AS s, CAST(instr(text, span) - 1 + length(span) AS INT) AS e, ['SUBSTITUTION', 'QUANTITY', 'TECHNIQUE', 'ADDITION'][item_id % 4 + 1] AS aspect FROM found),
-own AS (SELECT t.example_id, t.pos, min({{'ord': s.ord, 'aspect': s.aspect}}) AS o FROM toks t JOIN spans s ON s.example_id = t.example_id AND t.start < s.e AND t."end" > s.s GROUP BY t.example_id, t.pos),
+_SPANS = """
+spans AS MATERIALIZED (SELECT example_id, item_id AS ord, CAST(instr(text, span) - 1 AS INT) AS s, CAST(instr(text, span) - 1 + length(span) AS INT) AS e, ['SUBSTITUTION', 'QUANTITY', 'TECHNIQUE', 'ADDITION'][item_id % 4 + 1] AS aspect FROM found)"""
+_ALIGN = f"""WITH {K_SQL}, {B_SQL},{_SPANS},
+near AS MATERIALIZED (SELECT * FROM toks WHERE example_id IN (SELECT example_id FROM spans)),
+met AS MATERIALIZED (SELECT t.example_id, t.pos, t.start, t."end", s.ord, s.aspect, s.s, s.e FROM near t JOIN spans s ON s.example_id = t.example_id),
+own AS (SELECT example_id, pos, min({{'ord': ord, 'aspect': aspect}}) AS o FROM met WHERE start < e AND "end" > s GROUP BY example_id, pos),
 tagged AS (SELECT example_id, pos, o.aspect AS aspect, row_number() OVER (PARTITION BY example_id, o.ord ORDER BY pos) AS n FROM own)
 SELECT t.example_id, CAST(t.pos AS INT) AS pos, t.token, coalesce(KIND || g.aspect, 'O') AS tag FROM toks t LEFT JOIN tagged g ON t.example_id = g.example_id AND t.pos = g.pos"""
 
 
 def _spans(spark, sf_dir):
+    """An array of located spans for each document that has any: ``doc_id, spans``."""
     at = L.locate_exact(F.col("text"), F.col("span"))
     aspect = F.element_at(F.array(*map(F.lit, ("SUBSTITUTION", "QUANTITY", "TECHNIQUE", "ADDITION"))), (F.col("item_id") % 4 + 1).cast("int"))
-    return located(spark, sf_dir).select("example_id", F.col("item_id").alias("ord"), at["start"].alias("start"), at["end"].alias("end"), aspect.alias("aspect"))
+    span = F.struct(F.col("item_id").alias("ord"), at["start"].alias("start"), at["end"].alias("end"), aspect.alias("aspect"))
+    return located(spark, sf_dir).groupBy(F.col("example_id").alias("doc_id")).agg(F.collect_list(span).alias("spans"))
+
+
+def _aligned(spark, sf_dir, scheme):
+    rows = tokens(spark, sf_dir)
+    rows = rows.join(_spans(spark, sf_dir), rows["example_id"] == F.col("doc_id"), "left")
+    tagged = L.align(rows, "tokens", "spans", scheme)
+    return X.unnest(tagged.withColumn("t", F.arrays_zip("tokens", "tags")), "t", "example_id", pos="pos", item="t").select("example_id", "pos", F.col("t.tokens.token").alias("token"), F.col("t.tags").alias("tag"))
 
 
 @query(_ALIGN.replace("KIND", "CASE WHEN g.n = 1 THEN 'B-' ELSE 'I-' END"))
 def align_bio(spark, sf_dir):
-    return L.align(tokens(spark, sf_dir), _spans(spark, sf_dir), "BIO").select("example_id", "pos", "token", "tag")
+    return _aligned(spark, sf_dir, "BIO")
 
 
 @query(_ALIGN.replace("KIND", "'I-'"))
 def align_io(spark, sf_dir):
-    return L.align(tokens(spark, sf_dir), _spans(spark, sf_dir), "IO").select("example_id", "pos", "token", "tag")
+    return _aligned(spark, sf_dir, "IO")
 
 
-@query(f"""WITH {K_SQL}, {B_SQL}, last AS (SELECT example_id, max("end") AS last FROM toks GROUP BY example_id),
-s AS (SELECT f.example_id, instr(text, span) - 1 AS start, last FROM found f LEFT JOIN last l ON f.example_id = l.example_id)
-SELECT count(*) AS n_spans, count(*) FILTER (WHERE start < last) AS aligned, count(*) FILTER (WHERE start >= last) AS truncated, CAST(0 AS BIGINT) AS hallucinated,
-  count(*) FILTER (WHERE start < last) / CAST(count(*) AS DOUBLE) AS alignment_rate, CAST(0 AS DOUBLE) AS hallucination_rate FROM s""")
+#: Truncation is the subject of these statistics: tokens are the first 128 words, as a model with that window has them. Every third span is one that no text has.
+@query(f"""WITH {K_SQL}, {B_SQL}, last AS (SELECT example_id, max("end") AS last FROM toks WHERE pos < 128 GROUP BY example_id),
+s AS MATERIALIZED (SELECT f.example_id, item_id, instr(text, span) - 1 AS start, instr(text, span) - 1 + length(span) AS stop, item_id % 3 = 2 AS lost, last FROM found f LEFT JOIN last l ON f.example_id = l.example_id),
+met AS MATERIALIZED (SELECT t.example_id, t.pos, t.start, t."end", s.item_id, s.start AS a, s.stop AS b FROM s JOIN toks t ON t.example_id = s.example_id WHERE NOT lost AND t.pos < 128),
+own AS (SELECT example_id, pos, min(item_id) AS item_id FROM met WHERE start < b AND "end" > a GROUP BY example_id, pos),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT lost AND start >= last) AS truncated, (SELECT count(*) FROM (SELECT DISTINCT example_id, item_id FROM own)) AS aligned FROM s)
+SELECT n AS n_spans, aligned, truncated, n - aligned - truncated AS hallucinated, coalesce(aligned / CAST(nullif(n, 0) AS DOUBLE), 0) AS alignment_rate, coalesce((n - aligned - truncated) / CAST(nullif(n, 0) AS DOUBLE), 0) AS hallucination_rate FROM c""")
 def alignment_stats(spark, sf_dir):
-    return L.alignment_stats(tokens(spark, sf_dir), _spans(spark, sf_dir))
+    span = F.when(F.col("item_id") % 3 == 2, F.concat(F.lit("0 "), "span", F.lit(" 0"))).otherwise(F.col("span"))
+    mods = F.array_sort(F.collect_list(F.struct("item_id", span.alias("span"), F.lit("QUANTITY").alias("aspect"))))
+    rows = located(spark, sf_dir).groupBy(F.col("example_id").alias("doc_id")).agg(mods.alias("modifications"))
+    docs = tokens(spark, sf_dir, 128)
+    return L.alignment_stats(W.align_examples(docs.join(rows, docs["example_id"] == F.col("doc_id"))))
 
 
 _WORDS = {"SUBSTITUTION": ("tion", "for"), "QUANTITY": ("ment",), "TECHNIQUE": ("ung", "that"), "ADDITION": ("dad",)}
@@ -93,12 +126,17 @@ _WORDS = {"SUBSTITUTION": ("tion", "for"), "QUANTITY": ("ment",), "TECHNIQUE": (
 @query(f"""WITH {K_SQL},
 kw AS (SELECT * FROM (VALUES (0, 'SUBSTITUTION', 'tion'), (1, 'SUBSTITUTION', 'for'), (2, 'QUANTITY', 'ment'), (3, 'TECHNIQUE', 'ung'), (4, 'TECHNIQUE', 'that'), (5, 'ADDITION', 'dad')) v(ord, aspect, w)),
 spans AS (SELECT doc_id AS example_id, ord, aspect, instr(text, w) - 1 AS s, instr(text, w) - 1 + length(w) AS e FROM documents, kw WHERE contains(text, w)),
-own AS (SELECT t.example_id, t.pos, min({{'ord': s.ord, 'aspect': s.aspect}}) AS o FROM toks t JOIN spans s ON s.example_id = t.example_id AND t.start < s.e AND t."end" > s.s GROUP BY t.example_id, t.pos),
+met AS MATERIALIZED (SELECT t.example_id, t.pos, t.start, t."end", s.ord, s.aspect, s.s, s.e FROM toks t JOIN spans s ON s.example_id = t.example_id),
+own AS (SELECT example_id, pos, min({{'ord': ord, 'aspect': aspect}}) AS o FROM met WHERE start < e AND "end" > s GROUP BY example_id, pos),
 tagged AS (SELECT example_id, pos, o.aspect AS aspect, row_number() OVER (PARTITION BY example_id, o.ord ORDER BY pos) AS n FROM own)
 SELECT example_id, CAST(pos AS INT) AS pos, CASE WHEN n = 1 THEN 'B-' ELSE 'I-' END || aspect AS tag FROM tagged""")
 def keyword_tagger(spark, sf_dir):
-    spans = L.keyword_spans(table(spark, sf_dir, "documents"), "doc_id", "text", _WORDS)
-    return L.align(tokens(spark, sf_dir), spans, "BIO").where("tag != 'O'").select("example_id", "pos", "tag")
+    rows = tokens(spark, sf_dir).withColumn("spans", L.keyword_spans("text", _WORDS))
+    return _exploded(L.align(rows, "tokens", "spans", "BIO"), "tags").where("tag != 'O'")
+
+
+def _exploded(df, tags_col):
+    return X.unnest(df, tags_col, "example_id", pos="pos", item="tag")
 
 
 @query(f"""WITH {G_SQL},
@@ -108,14 +146,14 @@ f AS (SELECT o.*, o.gold LIKE 'B-%' OR coalesce(o.gold LIKE 'I-%' AND substr(o.g
 x AS (SELECT *, coalesce(max(CASE WHEN NOT fits THEN pos END) OVER (PARTITION BY example_id ORDER BY pos), -1) AS broken FROM f)
 SELECT example_id, substr(min(head), 3) AS aspect, CAST(opened AS INT) AS start, CAST(max(pos) AS INT) AS "end" FROM x WHERE fits AND broken < opened GROUP BY example_id, opened""")
 def decode_strict(spark, sf_dir):
-    return S.decode_strict(tags(spark, sf_dir), "gold")
+    return S.rows_of(S.decode_strict(tags(spark, sf_dir), "gold"))
 
 
 @query(f"""WITH {G_SQL}, m AS (SELECT *, coalesce(lag(gold) OVER (PARTITION BY example_id ORDER BY pos), 'O') AS before FROM tags),
 i AS (SELECT *, sum(CASE WHEN gold <> 'O' AND (gold LIKE 'B-%' OR before = 'O' OR substr(gold, 3) <> substr(before, 3)) THEN 1 ELSE 0 END) OVER (PARTITION BY example_id ORDER BY pos) AS island FROM m)
 SELECT example_id, substr(min(gold), 3) AS aspect, CAST(min(pos) AS INT) AS start, CAST(max(pos) AS INT) AS "end" FROM i WHERE gold <> 'O' GROUP BY example_id, island""")
 def decode_lenient(spark, sf_dir):
-    return S.decode_lenient(tags(spark, sf_dir), "gold")
+    return S.rows_of(S.decode_lenient(tags(spark, sf_dir), "gold"))
 
 
 @query(f"""WITH {G_SQL}, io AS (SELECT example_id, pos, CASE WHEN gold = 'O' THEN 'O' ELSE 'I-' || substr(gold, 3) END AS tag FROM tags),
@@ -123,27 +161,29 @@ m AS (SELECT *, coalesce(lag(tag) OVER (PARTITION BY example_id ORDER BY pos), '
 i AS (SELECT *, sum(CASE WHEN tag <> 'O' AND tag <> before THEN 1 ELSE 0 END) OVER (PARTITION BY example_id ORDER BY pos) AS island FROM m)
 SELECT example_id, substr(min(tag), 3) AS aspect, CAST(min(pos) AS INT) AS start, CAST(max(pos) AS INT) AS "end" FROM i WHERE tag <> 'O' GROUP BY example_id, island""")
 def decode_io(spark, sf_dir):
-    return S.decode_io(_io(spark, sf_dir), "tag")
+    return S.rows_of(S.decode_io(_io(spark, sf_dir)))
 
 
 def _io(spark, sf_dir):
-    return tags(spark, sf_dir).select("example_id", "pos", F.regexp_replace("gold", "^B-", "I-").alias("tag"))
+    return tags(spark, sf_dir).select("example_id", F.transform("gold", lambda t: F.regexp_replace(t, "^B-", "I-")).alias("tags"))
 
 
 @query(f"""WITH {G_SQL}, io AS (SELECT example_id, pos, CASE WHEN gold = 'O' THEN 'O' ELSE 'I-' || substr(gold, 3) END AS tag FROM tags),
 m AS (SELECT *, coalesce(lag(tag) OVER (PARTITION BY example_id ORDER BY pos), 'O') AS before FROM io)
 SELECT example_id, CAST(pos AS INT) AS pos, CASE WHEN tag = 'O' THEN 'O' WHEN tag <> before THEN 'B-' || substr(tag, 3) ELSE tag END AS tag FROM m""")
 def io_to_bio(spark, sf_dir):
-    return S.io_to_bio(_io(spark, sf_dir), "tag")
+    return _exploded(_io(spark, sf_dir).withColumn("bio", S.io_to_bio(F.col("tags"))), "bio")
 
 
-@query(f"""WITH {G_SQL}, b AS (SELECT t.example_id, t.start, t."end", length(t.token) % 3 AS label FROM toks t),
-g AS (SELECT example_id, pos, start + pos % 2 AS start, "end" + 2 AS "end" FROM toks),
-h AS (SELECT g.example_id, g.pos, b.label, count(*) AS n FROM g JOIN b ON b.example_id = g.example_id AND g.start < b."end" AND g."end" > b.start WHERE b.label <> 0 GROUP BY ALL),
+@query(f"""WITH {K_SQL}, b AS MATERIALIZED (SELECT t.example_id, t.pos, t.start, t."end", length(t.token) % 3 AS label FROM toks t),
+g AS MATERIALIZED (SELECT example_id, pos, start + pos % 2 AS start, "end" + 2 AS "end" FROM toks),
+near AS (SELECT g.example_id, g.pos, g.start, g."end", b.label, b.start AS s, b."end" AS e FROM (SELECT *, unnest([-1, 0, 1, 2]) AS d FROM g) g JOIN b ON b.example_id = g.example_id AND b.pos = g.pos + g.d),
+h AS (SELECT example_id, pos, label, count(*) AS n FROM near WHERE start < e AND "end" > s AND label <> 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY example_id, pos ORDER BY n DESC, label) AS k FROM h)
 SELECT g.example_id, CAST(g.pos AS INT) AS pos, CAST(coalesce(r.label, 0) AS INT) AS label FROM g LEFT JOIN r ON r.example_id = g.example_id AND r.pos = g.pos AND k = 1""")
 def label_transfer(spark, sf_dir):
-    t = tokens(spark, sf_dir)
+    """Words' labels to tokens that begin up to one character later and end two later, which touch no more than the next two words."""
+    t = word_tokens(spark, sf_dir)
     base = t.select("example_id", "start", "end", (F.length("token") % 3).alias("label"))
     target = t.select("example_id", "pos", (F.col("start") + F.col("pos") % 2).alias("start"), (F.col("end") + 2).alias("end"))
     return L.transfer_labels(base, target).select("example_id", "pos", "label")
@@ -153,6 +193,5 @@ def label_transfer(spark, sf_dir):
 n AS (SELECT s.*, g.gold, row_number() OVER (PARTITION BY s.example_id, s.word ORDER BY s.pos) AS k FROM sub s JOIN tags g ON g.example_id = s.example_id AND g.pos = s.word)
 SELECT example_id, CAST(pos AS INT) AS pos, CASE WHEN k > 1 AND gold LIKE 'B-%' THEN 'I-' || substr(gold, 3) ELSE gold END AS tag FROM n""")
 def subtoken_labels(spark, sf_dir):
-    g = tags(spark, sf_dir)
-    sub = g.select("example_id", F.col("pos").alias("word"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select("example_id", (F.col("word") * 2 + F.col("k")).alias("pos"), "word")
-    return L.word_labels(sub, g.select("example_id", F.col("pos").alias("word"), F.col("gold").alias("tag"))).select("example_id", "pos", "tag")
+    rows = tags(spark, sf_dir).withColumn("word_ids", F.flatten(F.transform("gold", lambda t, i: F.array(i, i))))
+    return _exploded(rows.select("example_id", L.word_labels(F.col("word_ids"), F.col("gold")).alias("tags")), "tags")

@@ -208,9 +208,13 @@ def source_lookup(spark, sf_dir):
     return t.select("thread_id", "source_comment", text.alias("text")).where("text is not null")
 
 
-@query()
+@query(f"""WITH {T_SQL},
+b AS (SELECT conv_id, min(text) FILTER (WHERE k = 0) AS top, coalesce(string_agg('[reply_' || k || CASE WHEN creator THEN ', creator' ELSE '' END || '] ' || text, chr(10) ORDER BY k) FILTER (WHERE k > 0), '') AS replies FROM turns GROUP BY conv_id),
+n AS (SELECT *, CAST('0x' || substr(md5('42|' || conv_id), 1, 8) AS BIGINT) % 7 AS bucket FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY conv_id) - 1 AS i FROM n)
+SELECT bucket, i // 5 AS batch, CAST(count(*) AS INT) AS n_threads, string_agg('=== THREAD ' || (i % 5 + 1) || ' (' || conv_id || ') ===' || chr(10) || '[top] ' || top || chr(10) || replies, chr(10) || chr(10) ORDER BY i) AS prompt FROM r GROUP BY bucket, i // 5""")
 def prompt_batches(spark, sf_dir):
-    return T.prompts(threads(spark, sf_dir), 5)
+    return T.prompts(threads(spark, sf_dir), 5, buckets=7)
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN c_name || ' flat' WHEN c_custkey % 5 = 2 THEN c_name WHEN c_custkey % 5 = 3 THEN c_mktsegment ELSE 'first' END AS parent_text FROM customer""")
@@ -255,16 +259,10 @@ def serving_rollup(spark, sf_dir):
 @query()
 def stream_ingest(spark, sf_dir):
     """Events read as a stream of files; keys are appended once."""
-    import uuid
-
+    from spanloom.storage import new_folder
     from spanloom.streaming.ingest import ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spanloom-stream-")
-    base = f"{root.rstrip('/')}/spanloom/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     known = table(spark, sf_dir, "events")
     known.repartition(4).write.parquet(f"{base}/in")
     fields = ", ".join(f"{n} {t}" for n, t in known.dtypes)

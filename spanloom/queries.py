@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.plans import annotation_queries, evaluation_queries, text_queries, thread_queries
-from spanloom.plans.adapters import whole
+from spanloom.plans import annotation_queries, evaluation_queries, label_queries, text_queries, thread_queries
 
 FLAGSHIP = "modification_score"
-_MODULES = (thread_queries, annotation_queries, text_queries, evaluation_queries)
+_MODULES = (thread_queries, annotation_queries, text_queries, evaluation_queries, label_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
-
-#: Queries over the first 128 words of documents, again over all words. Truncation is the subject of alignment_stats.
-_CUT = "[1:128]"
-_WHOLE = [name for name, s in ORACLE_SQL.items() if _CUT in s and name != "alignment_stats"]
-QUERIES |= {f"{name}_whole": whole(QUERIES[name]) for name in _WHOLE}
-ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(_CUT, "") for name in _WHOLE}

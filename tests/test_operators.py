@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
-from spanloom.operators import align, annotate, audit, datasets, examples, metrics, models, spans, threads
+from spanloom.operators import align, annotate, audit, datasets, examples, metrics, models, spans, subwords, threads
 from spanloom.schemas import ANNOTATION, API_ITEM, BIO
 
 
@@ -59,6 +59,7 @@ def test_score_needs_words(spark):
 
 
 def test_question_words(spark):
+    assert value(spark, threads.has_question(F.lit("use c++ now"), ("c++", "a.b"))) and not value(spark, threads.has_question(F.lit("use ccc axb"), ("c++", "a.b")))
     for text, want in (("ואפשר לשים", True), ("אפשרות אחרת", False), ("מה", True), ("x?", True), ("text", False)):
         assert value(spark, threads.has_question(F.lit(text), ("אפשר", "מה"))) == want, text
 
@@ -151,15 +152,124 @@ def test_locate_tiers(spark):
 
 
 def test_tokens_and_alignment(spark):
-    df = spark.createDataFrame([(1, "  add a 😢 cup of sugar"), (2, "")], "id bigint, text string")
-    for limit in (128, None):
-        got = [(r["pos"], r["start"], r["end"], r["token"]) for r in align.tokens(df, "id", "text", limit).orderBy("pos").collect()]
-        assert got == [(k, m.start(), m.end(), m.group()) for k, m in enumerate(re.finditer(r"\S+", "  add a 😢 cup of sugar"))]
-    toks = align.tokens(df, "id", "text", 4)
-    s = spark.createDataFrame([(1, 0, 2, 7, "QUANTITY"), (1, 1, 6, 9, "ADDITION"), (1, 2, 17, 22, "ADDITION")], "example_id bigint, ord int, start int, end int, aspect string")
-    assert [r["tag"] for r in align.align(toks, s).orderBy("pos").collect()] == ["B-QUANTITY", "I-QUANTITY", "B-ADDITION", "O"]
-    stats = align.alignment_stats(toks, s, s.limit(1)).first()
-    assert (stats["n_spans"], stats["aligned"], stats["truncated"], stats["hallucinated"]) == (4, 2, 1, 1)
+    long = " ".join(f"w{k}" + " " * (k % 3) for k in range(1000)) + "\n"
+    for text in ("  add a 😢 cup of sugar", "", long, None):
+        df = spark.createDataFrame([(1, text)], "id bigint, text string")
+        for limit in (4, None):
+            got = [(r["pos"], r["start"], r["end"], r["token"]) for r in align.tokens(df, "id", "text", limit).orderBy("pos").collect()]
+            assert got == [(k, m.start(), m.end(), m.group()) for k, m in enumerate(re.finditer(r"\S+", text or ""))][:limit]
+    rows = align.tokenize(spark.createDataFrame([("add a 😢 cup of sugar",)], "text string"), "text", "tokens", 4)
+    spans_ = [(2, 15, 20, "ADDITION"), (1, 4, 7, "ADDITION"), (0, 0, 5, "QUANTITY"), (3, 0, 2, "TECHNIQUE")]
+    rows = rows.withColumn("spans", F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(s, ("ord", "start", "end", "aspect"))]) for s in spans_]))
+    got = align.align(rows, "tokens", "spans", aligned="aligned").first()
+    assert got["tags"] == ["B-QUANTITY", "I-QUANTITY", "B-ADDITION", "O"] and got["aligned"] == 2
+    assert align.align(rows, "tokens", "spans", "IO").first()["tags"] == ["I-QUANTITY", "I-QUANTITY", "I-ADDITION", "O"]
+    sums = spark.createDataFrame([(2, 1, 1), (0, 0, 0)], "aligned int, truncated int, hallucinated int")
+    assert align.alignment_stats(sums).first().asDict() == {"n_spans": 4, "aligned": 2, "truncated": 1, "hallucinated": 1, "alignment_rate": 0.5, "hallucination_rate": 0.25}
+
+
+def test_find_spans(spark):
+    docs = spark.createDataFrame([(1, "so xadd a cup of sugary sweets"), (2, "add a cup of sugar"), (2, "add a\ncup"), (3, None), (4, "a cup of")], "doc_id bigint, text string")
+    wanted = spark.createDataFrame([(1, "add a cup of sugar"), (2, "a cup of"), (3, "add a cup"), (4, "cup"), (5, None), (6, "zz zz zz")], "item_id bigint, span string")
+    got = {(r["example_id"], r["item_id"]) for r in align.find_spans(docs, wanted, "doc_id", "text").collect()}
+    texts = [(1, "so xadd a cup of sugary sweets"), (2, "add a cup of sugar"), (4, "a cup of")]
+    assert got == {(i, k) for i, t in texts for k, s in ((1, "add a cup of sugar"), (2, "a cup of"), (3, "add a cup")) if s in t}
+
+
+def by_hand(text, reply, shift, mods, words, gold):
+    """Tags and counts of the thread-aware rules as plain loops; words are (start, end)."""
+    tags, counts = ["O"] * len(words), [0, 0, 0]
+    for span, aspect in mods:
+        if not span.strip() or aspect not in ("QUANTITY", "ADDITION"):
+            continue
+        at = reply.find(span)
+        start = at + shift if at >= 0 else text.find(span) if gold else -1
+        if start < 0:
+            counts[2] += 1
+            continue
+        if not gold and start >= max((e for _, e in words), default=0):
+            counts[1] += 1
+            continue
+        first = True
+        for k, (a, b) in enumerate(words):
+            if a < start + len(span) and b > start and tags[k] == "O":
+                tags[k] = "I-" + aspect if gold or not first else "B-" + aspect
+                first = False
+        counts[2 if first else 0] += 1
+    return tags, *counts
+
+
+def test_thread_aware_alignment(spark):
+    draw = random.Random(11)
+    vocabulary = ["flour", "sugar", "egg", "milk", "less", "more", "of", "the"]
+    cases = []
+    for _ in range(60):
+        ask, reply = (" ".join(draw.choice(vocabulary) for _ in range(draw.randint(1, 9))) for _ in range(2))
+        prefix = f"[q] {ask} [a] "
+        pick = lambda t: " ".join(t.split()[draw.randint(0, 2) :][: draw.randint(1, 3)])  # noqa: E731, B023
+        mods = [(draw.choice([pick(reply), pick(ask), "zzz qqq"]), draw.choice(["QUANTITY", "ADDITION", "ODD"])) for _ in range(draw.randint(0, 4))]
+        cases.append((prefix + reply, reply, len(prefix), mods))
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, text string, reply_text string, prefix_len int, modifications array<struct<span: string, aspect: string>>")
+    rows = align.tokenize(df, "text", "tokens", 12)
+    for gold in (False, True):
+        got = {r["i"]: r for r in subwords.align_examples(rows, scheme="IO" if gold else "BIO", gold=gold, reply_col="reply_text", shift_col="prefix_len").collect()}
+        for i, (text, reply, shift, mods) in enumerate(cases):
+            words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)][:12]
+            want = by_hand(text, reply, shift, mods, words, gold)
+            assert (got[i]["tags"], got[i]["aligned"], got[i]["truncated"], got[i]["hallucinated"]) == want, cases[i]
+
+
+def test_subword_tokens(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    path = tokenizers.path("byte_bpe_50k.json")
+    texts = ["Add half a cup of sugar, please", "", None, "é😢 ok"]
+    df = spark.createDataFrame([(i, t, [("cup of sugar", "QUANTITY"), ("zz", "ADDITION")]) for i, t in enumerate(texts)], "i int, text string, modifications array<struct<span: string, aspect: string>>")
+    rows = subwords.encode(df, "text", subwords.from_file(path, max_length=12))
+    made = subwords.align_examples(rows)
+    made = made.select("i", "text", "tokens", "tags", "aligned", "hallucinated", *subwords.model_columns("tokens", F.col("tags"), BIO))
+    got = {r["i"]: r for r in made.collect()}
+    first = got[0]
+    assert len(first["input_ids"]) == len(first["labels"]) == 12 and sum(first["attention_mask"]) == sum(not t["special"] for t in first["tokens"])
+    assert all(first["text"][t["start"] : t["end"]] for t in first["tokens"] if not t["special"])
+    tagged = [first["text"][t["start"] : t["end"]].strip() for t, g in zip(first["tokens"], first["tags"]) if g != "O"]
+    assert " ".join(tagged) == "cup of sugar" and first["tags"].count("B-QUANTITY") == 1 and (first["aligned"], first["hallucinated"]) == (1, 1)
+    assert {x for x, t in zip(first["labels"], first["tokens"]) if t["special"]} == {-100} and set(got[1]["labels"]) == set(got[2]["labels"]) == {-100}
+
+
+def test_sequences(spark):
+    df = spark.createDataFrame([(["O", "B-ADDITION", "O"], ["O", "I-ADDITION"]), (["O"], ["O", "O"])], "gold array<string>, pred array<string>")
+    cut = [[(z["gold"], z["pred"]) for z in r["z"]] for r in df.select(metrics.zipped(F.col("gold"), F.col("pred")).alias("z")).collect()]
+    assert cut == [[("O", "O"), ("B-ADDITION", "I-ADDITION")], [("O", "O")]]
+    filled = [[z["pred"] for z in r["z"]] for r in df.select(metrics.zipped(F.col("gold"), F.col("pred"), "O").alias("z")).collect()]
+    assert filled == [["O", "I-ADDITION", "O"], ["O"]]
+    ids = F.array(*map(F.lit, (-100, 7, 0, 5, -100)))
+    tags_ = F.array(*map(F.lit, "abcde"))
+    assert value(spark, metrics.unmasked(ids, tags_)) == ["b", "c", "d"]
+    assert value(spark, metrics.label_names(ids, BIO)) == ["O", "B-ADDITION", "O", "B-TECHNIQUE", "O"]
+    assert value(spark, metrics.label_ids(F.array(F.lit("B-ADDITION"), F.lit("odd")), BIO)) == [7, 0]
+    assert [value(spark, metrics.has_label(F.array(*map(F.lit, x)))) for x in ((0, -100), (0, 3))] == [False, True]
+    assert value(spark, metrics.gate(F.lit(None).cast("boolean"), tags_)) == ["O"] * 5
+
+
+def test_labels_and_teachers(spark):
+    records = spark.createDataFrame([(1, "a", None), (2, "b", "old"), (3, "c", "old")], "id int, t string, l string")
+    answers = spark.createDataFrame([(1, "x", 1, "m"), (1, "y", 2, "m"), (2, None, 1, "m"), (9, "z", 1, "m")], "id int, l string, at int, model string")
+    got = {r["id"]: (r["l"], r["model"]) for r in annotate.update_labels(records, answers, "id", "at").collect()}
+    assert got == {1: ("y", "m"), 2: ("old", "m"), 3: ("old", None)}
+    pairs = "array<struct<span: string, aspect: string>>"
+    gold = spark.createDataFrame([(1, [("a b", "QUANTITY"), ("c", "ADDITION")]), (2, [("d", "ADDITION")]), (3, [])], f"id int, gold {pairs}")
+    silver = spark.createDataFrame([(1, [("b e", "QUANTITY"), ("c", "ADDITION"), ("c", "QUANTITY")]), (7, [])], f"id int, silver {pairs}")
+    joined = metrics.against_gold(gold, silver, "id")
+    one = metrics.pair_scores(joined).first()
+    assert (one["tp"], one["n_pred"], one["n_gold"], one["matches"]) == (1, 3, 3, 2)
+    each = {r["aspect"]: (r["tp"], r["n_pred"], r["n_gold"], r["matches"]) for r in metrics.pair_scores(joined, by_aspect=True).collect()}
+    assert each == {"QUANTITY": (0, 2, 1, 1), "ADDITION": (1, 1, 2, 1)}
+    assert sorted(r["id"] for r in metrics.unmatched(gold, silver, "id").collect()) == [2, 3]
+    flags = [value(spark, annotate.annotator_flag(F.lit(c))) for c in ("true", '{"has_modification": false}', '{"x": 1}', "odd", None)]
+    assert flags == [True, False, None, None, None]
+    cells = spark.createDataFrame([(1, "a", "b", True), (2, "a", "b", False), (3, "a", None, True)], "i int, annotator_a string, annotator_b string, overlap boolean")
+    assert [r["i"] for r in annotate.overlap_subset(cells).collect()] == [1]
+    assert sorted(r["i"] for r in annotate.overlap_subset(cells.where("i > 1")).collect()) == [2]
 
 
 def decode(tags, kind):
@@ -189,28 +299,102 @@ def test_decoders(spark, kind):
     draw = random.Random(kind)
     names = ["O", "O", "B-A", "I-A", "B-B", "I-B"] if kind != "io" else ["O", "I-A", "I-B"]
     seqs = [[draw.choice(names) for _ in range(draw.randint(0, 12))] for _ in range(200)]
-    df = spark.createDataFrame([(i, p, t) for i, s in enumerate(seqs) for p, t in enumerate(s)], "example_id int, pos int, tag string")
-    got = {}
+    df = spark.createDataFrame(list(enumerate(seqs)), "example_id int, tags array<string>")
     for r in getattr(spans, f"decode_{kind}")(df).collect():
-        got.setdefault(r["example_id"], []).append((r["aspect"], r["start"], r["end"]))
-    for i, s in enumerate(seqs):
-        assert sorted(got.get(i, [])) == decode(s, kind), s
-
-
-def test_metrics_edges(spark):
-    schema = "example_id int, aspect string, start int, end int"
-    none = spark.createDataFrame([], schema)
-    some = spark.createDataFrame([(1, "A", 0, 2), (2, "B", 1, 1)], schema)
-    off = spark.createDataFrame([(1, "A", 1, 2), (2, "A", 1, 1)], schema)
-    assert metrics.exact_prf(none, none).first()["f1"] == 0.0 and metrics.exact_prf(some, some).first()["f1"] == 1.0
-    assert metrics.relaxed_prf(some, off).first()["recall"] == 0.5 and metrics.relaxed_prf(none, some).first()["f1"] == 0.0
-    kinds = {r["kind"]: r["n"] for r in metrics.errors_boundary(some, off).collect()}
-    assert kinds == {"under_extension": 1, "off_by_one": 1, "aspect_confusion": 1}
-    simple = {r["kind"]: r["n"] for r in metrics.errors_simple(some, off, spark.createDataFrame([(1,), (2,), (3,)], "example_id int")).collect()}
-    assert simple == {"correct": 1, "span_boundary": 1, "aspect_confusion": 1}
+        assert sorted((s["aspect"], s["start"], s["end"]) for s in r["spans"]) == decode(r["tags"], kind), r["tags"]
+    covered = spans.covering(spans.decode_lenient(df), "spans", F.size("tags"), "c").collect()
+    for r in covered:
+        assert len(r["c"]) == len(r["tags"])
+        for k, c in enumerate(r["c"]):
+            assert [s for s in r["spans"] if s["start"] <= k <= s["end"]] == ([c] if c else [])
+
+
+def test_io_to_bio(spark):
+    tags_ = F.array(*map(F.lit, ("I-A", "I-A", "I-B", "O", "I-B")))
+    assert value(spark, spans.io_to_bio(tags_)) == ["B-A", "I-A", "B-B", "O", "B-B"]
+
+
+def taxonomy(gold, pred, tokens, prefixes):
+    """Both error counts of one example as plain loops over its spans."""
+    g, p = decode(gold, "lenient"), decode(pred, "lenient")
+    touch = lambda x, y: x[1] <= y[2] and x[2] >= y[1]
+    simple, fine = [], []
+    missed, extra = [x for x in g if x not in p], [x for x in p if x not in g]
+    if not missed and not extra:
+        simple.append("correct")
+    for x in missed:
+        near = [y for y in p if touch(x, y)]
+        simple.append("false_negative" if not near else "span_boundary" if any(y[0] == x[0] for y in near) else "aspect_confusion")
+    simple += ["false_positive" for x in extra if not any(touch(x, y) for y in g)]
+    for x in g:
+        near = sorted((y[0] != x[0], y[1], y[2]) for y in p if touch(x, y))
+        if not near:
+            fine.append("false_negative")
+            continue
+        other, a, b = near[0]
+        off = abs(a - x[1]) + abs(b - x[2])
+        kind = "aspect_confusion" if other else "exact_match" if not off else "over_extension" if b - a > x[2] - x[1] else "under_extension"
+        fine.append(kind)
+        if not other and off == 1:
+            fine.append("off_by_one")
+            edge = max(0, a - 1 if a < x[1] else b)
+            if edge < len(tokens) and tokens[edge][:1] in prefixes:
+                fine.append("prefix_error")
+    return simple, fine + ["false_positive" for y in p if not any(touch(x, y) for x in g)]
+
+
+def test_errors_and_scores(spark):
+    from collections import Counter
+
+    draw = random.Random(8)
+    names = ["O", "O", "O", "B-ADDITION", "I-ADDITION", "B-QUANTITY", "I-QUANTITY"]
+    rows = []
+    for i in range(250):
+        n = draw.randint(0, 9)
+        gold = [draw.choice(names) for _ in range(n)]
+        rows.append((i, gold, [draw.choice(names) if draw.random() < 0.3 else t for t in gold], [draw.choice("abc") * 2 for _ in range(n)]))
+    df = metrics.with_spans(spark.createDataFrame(rows, "example_id int, gold array<string>, pred array<string>, words array<string>"))
+    simple, fine = Counter(), Counter()
+    tp = hits = [0, 0]
+    for _, g, p, w in rows:
+        a, b = taxonomy(g, p, w, "a")
+        simple.update(a)
+        fine.update(b)
+    assert {r["kind"]: r["n"] for r in metrics.errors_simple(df).collect()} == simple
+    got = metrics.errors_boundary(df, "words", "a", shares=True).collect()
+    assert {r["kind"]: r["n"] for r in got} == fine
+    sets = [(set(decode(g, "lenient")), set(decode(p, "lenient"))) for _, g, p, _ in rows]
+    tp = sum(len(g & p) for g, p in sets)
+    one = metrics.exact_prf(df).first()
+    assert (one["tp"], one["n_pred"], one["n_gold"]) == (tp, sum(len(p) for _, p in sets), sum(len(g) for g, _ in sets))
+    near = lambda x, ys: any(x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1] for y in ys)
+    hits = metrics.relaxed_prf(df).first()
+    assert (hits["gold_hit"], hits["pred_hit"]) == (sum(near(x, p) for g, p in sets for x in g), sum(near(y, g) for g, p in sets for y in p))
+    by = {r["aspect"]: (r["tp"], r["n_pred"], r["n_gold"]) for r in metrics.exact_prf(df, by_aspect=True).collect()}
+    of = lambda s, a: {x for x in s if x[0] == a}
+    assert by == {a: (sum(len(of(g & p, a)) for g, p in sets), sum(len(of(p, a)) for _, p in sets), sum(len(of(g, a)) for g, _ in sets)) for a in ("ADDITION", "QUANTITY")}
+    assert metrics.exact_prf(df.where("false")).first()["f1"] == 0.0 and metrics.relaxed_prf(df.where("false")).first()["f1"] == 0.0
+
+
+def test_bootstrap(spark):
+    import hashlib
+
     flat = spark.createDataFrame([(i, 1, 1, 1) for i in range(9)], "example_id int, tp int, n_pred int, n_gold int")
     ci = metrics.bootstrap_f1(flat, rounds=20).first()
     assert (ci["rounds"], ci["low"], ci["high"]) == (20, 1.0, 1.0)
+    rows = [(i * 7, i % 2, 1 + i % 3, 1) for i in range(13)]
+    want = []
+    for r in range(30):
+        drawn = [rows[int(hashlib.md5(f"42|{r}|{s}".encode()).hexdigest()[:8], 16) % 13] for s in range(13)]
+        want.append(2 * sum(x[1] for x in drawn) / sum(x[2] + x[3] for x in drawn))
+    df = spark.createDataFrame(rows, "example_id int, tp int, n_pred int, n_gold int")
+    for most in (metrics.BROADCAST_EXAMPLES, 1):
+        before, metrics.BROADCAST_EXAMPLES = metrics.BROADCAST_EXAMPLES, most
+        try:
+            got = metrics.bootstrap_f1(df, rounds=30).first()
+        finally:
+            metrics.BROADCAST_EXAMPLES = before
+        assert (got["mean"], got["low"], got["high"]) == tuple(round(float(x), 6) for x in (np.mean(want), np.quantile(want, 0.025), np.quantile(want, 0.975)))
 
 
 def test_kappa(spark):

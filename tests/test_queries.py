@@ -27,15 +27,10 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
 
-def test_whole_queries_read_all_words(spark, con):
+def test_queries_read_all_words(spark, con):
     want = dict(con.sql("SELECT doc_id, len(regexp_extract_all(text, '\\S+')) FROM documents").fetchall())
     assert max(want.values()) > 128
-    got = {r["example_id"]: r["count"] for r in QUERIES["word_tokens_whole"](spark, DIR).groupBy("example_id").count().collect()}
+    got = {r["example_id"]: r["count"] for r in QUERIES["word_tokens"](spark, DIR).groupBy("example_id").count().collect()}
     assert got == {k: n for k, n in want.items() if n}
-    total = QUERIES["label_distribution_whole"](spark, DIR).agg({"n": "sum"}).first()[0]
-    assert total == sum(want.values())
-
-
-@pytest.mark.parametrize("name", ["bootstrap_ci_1000", "bootstrap_ci_1000_whole"])
-def test_bootstrap_draws_1000_rounds(spark, name):
-    assert QUERIES[name](spark, DIR).first()["rounds"] == 1000
+    assert QUERIES["label_distribution"](spark, DIR).agg({"n": "sum"}).first()[0] == sum(want.values())
+    assert QUERIES["bootstrap_ci"](spark, DIR).first()["rounds"] == 1000
