@@ -58,3 +58,8 @@ def annotate(df: DataFrame, key_col: str, prompt_col: str, make: Callable[[], ob
 
     slim = df.select(F.col(key_col).cast("string").alias("key"), F.col(prompt_col).alias("prompt"))
     return slim.mapInPandas(run, "key string, answer string, error string")
+
+
+def failed(answered: DataFrame) -> DataFrame:
+    """The dead letters of ``annotate``: keys whose batch failed for good, with the error's class; they are asked again in a later run."""
+    return answered.where("error is not null").select("key", "error")

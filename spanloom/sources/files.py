@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +62,12 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_channels(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The channel dimension of a YAML file, ``active`` being true by default; for small files, read on the driver."""
+    """The channel dimension of a (small) YAML file at any path that Spark reads, ``active`` being true by default."""
     import yaml  # optional dependency
 
     names = [f.split()[0] for f in schema.split(", ")]
-    listed = (yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}).get("channels", [])
+    text = spark.read.text(path, wholetext=True).first()
+    listed = (yaml.safe_load(text[0] if text else "") or {}).get("channels", [])
     rows = [tuple(True if n == "active" and c.get(n) is None else c.get(n) for n in names) for c in listed]
     return spark.createDataFrame(rows, schema)
 
@@ -88,6 +88,18 @@ def append(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("append").format(form).save(path)
 
 
+def backup(spark: SparkSession, path: str, name: str = "backup") -> str | None:
+    """A table's files as they are, copied to ``path.name`` before they are replaced; None where there is no table yet."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    source, target = hadoop.Path(path.rstrip("/")), hadoop.Path(f"{path.rstrip('/')}.{name}")
+    files = source.getFileSystem(conf)
+    if not files.exists(source):
+        return None
+    files.delete(target, True)
+    hadoop.FileUtil.copy(files, source, files, target, False, conf)
+    return target.toString()
+
+
 def overwrite(df: DataFrame, path: str, form: str = "parquet", version: str | None = None) -> str:
     """Replace a table, or write it as a version of its own beside the others, which keeps the old ones."""
     target = f"{path.rstrip('/')}/version={version}" if version else path
@@ -104,12 +116,21 @@ def write_document(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_label_maps(folder: str, scheme: dict[str, int]) -> None:
-    """``label2id.json`` and ``id2label.json`` of a label scheme, on the driver."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    (out / "label2id.json").write_text(json.dumps(scheme, ensure_ascii=False), encoding="utf-8")
-    (out / "id2label.json").write_text(json.dumps({str(v): k for k, v in scheme.items()}, ensure_ascii=False), encoding="utf-8")
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file at any path that Spark writes, by the driver."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_label_maps(spark: SparkSession, folder: str, scheme: dict[str, int]) -> None:
+    """``label2id.json`` and ``id2label.json`` of a label scheme."""
+    folder = folder.rstrip("/")
+    write_text(spark, f"{folder}/label2id.json", json.dumps(scheme, ensure_ascii=False))
+    write_text(spark, f"{folder}/id2label.json", json.dumps({str(v): k for k, v in scheme.items()}, ensure_ascii=False))
 
 
 def export_review(df: DataFrame, path: str, columns: Sequence[str] = ()) -> None:

@@ -84,7 +84,17 @@ def channel_details(fetch, ids: list[str], wait=time.sleep) -> Iterator[dict]:
         yield from pages(fetch, "channels", {"id": ",".join(group)}, 50, wait=wait)
 
 
-_READ = {"videos": channel_videos, "threads": video_threads}
+def channel_search(fetch, query: str, most: int = 50, wait=time.sleep) -> Iterator[dict]:
+    """Channels that a search finds."""
+    yield from pages(fetch, "search", {"q": query, "type": "channel"}, 50, most, wait=wait)
+
+
+_READ = {
+    "videos": channel_videos,
+    "threads": video_threads,
+    "search": channel_search,
+    "details": lambda fetch, ids, most: channel_details(fetch, ids.split(",")),
+}
 
 
 class _Key(InputPartition):
@@ -97,7 +107,8 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [_Key(k) for k in json.loads(self.options["keys"])]
+        keys = json.loads(self.options["keys"])
+        return [_Key(k) for k in (map(",".join, batches(keys)) if self.options["kind"] == "details" else keys)]
 
     def read(self, partition):
         module, _, name = self.options["client"].rpartition(".")
@@ -107,7 +118,7 @@ class _Reader(DataSourceReader):
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged")`` with options ``kind`` (videos, threads), ``keys`` (JSON list), ``client`` (dotted name) and ``most``."""
+    """``spark.read.format("paged")`` with options ``kind`` (videos, threads, search, details), ``keys`` (JSON list), ``client`` (dotted name) and ``most``."""
 
     @classmethod
     def name(cls) -> str:

@@ -7,9 +7,10 @@ the same folder again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,8 +26,13 @@ def _batches(spark: SparkSession, sink: str) -> DataFrame | None:
         raise
 
 
-def append_new(sink: str, key: str, order_col: str, dead_letters: str | None = None, valid: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: rows with new keys go to ``sink/batch=N``, rows that are not valid to ``dead_letters/batch=N``."""
+def append_new(sink: str, key: str, order_col: str, dead_letters: str | None = None, valid: str | None = None, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: rows with new keys go to ``sink/batch=N/bucket=H``, rows that are not valid to ``dead_letters/batch=N``.
+
+    The bucket is the key's hash: a batch reads the known keys of its own buckets only, which are
+    pruned as partitions. Take more buckets the smaller batches are beside the sink.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -34,9 +40,14 @@ def append_new(sink: str, key: str, order_col: str, dead_letters: str | None = N
         if valid and dead_letters:
             batch.where(~F.coalesce(F.expr(valid), F.lit(False))).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
         written = _batches(spark, sink)
-        # A replayed batch must not see its own first attempt.
-        known = written.where(F.col("batch") != number).select(key) if written is not None else spark.createDataFrame([], batch.select(key).schema)
-        new_rows(good, known, key, order_col).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        if written is None:
+            known = spark.createDataFrame([], batch.select(key).schema)
+        else:
+            met = [r[0] for r in good.select(bucket).distinct().collect()]  # ``buckets`` numbers at most
+            # A replayed batch must not see its own first attempt.
+            known = written.where((F.col("batch") != number) & F.col("bucket").isin(met)).select(key)
+        fresh = new_rows(good, known, key, order_col).withColumn("bucket", bucket)
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch={number}")
 
     return write
 
@@ -48,12 +59,19 @@ def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def counted(df: DataFrame, name: str, **counts: Column) -> DataFrame:
+    """``df`` with counters that are filled while it is written, in one pass: of a batch by an ``Observation`` of
+    that name, of a stream in its progress under ``observedMetrics``."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
 def progress(query: StreamingQuery) -> list[dict]:
     """Rows read by each batch so far."""
-    return [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in map(lambda x: x if isinstance(x, dict) else __import__("json").loads(x.json), query.recentProgress)]
+    reports = (p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress)
+    return [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in reports]
 
 
 def windowed_counts(events: DataFrame, ts_col: str, key_col: str, size: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Event counts and sums by (tumbling or sliding) window and key; batch or stream, with a watermark for late rows."""
+    """Event counts by (tumbling or sliding) window and key; batch or stream, with a watermark for late rows."""
     w = F.window(ts_col, size, slide) if slide else F.window(ts_col, size)
     return events.withWatermark(ts_col, late).groupBy(w.alias("w"), key_col).agg(F.count("*").alias("n"))
