@@ -12,16 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ascii_lower, broadcast_if, materialize
+from spanloom.llm.common import ascii_lower, broadcast_if, materialize, unused
 
-#: Runs of ASCII letters, digits and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, which are runs of ASCII letters, digits and anything beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Above so many windows the joins shuffle instead of broadcasting.
 BROADCAST_WINDOWS = 500_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """A text's words. Splitting is linear; ``regexp_extract_all`` copies the whole text for each match."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
 def _shingle(words: str, at: Column, k: int) -> Column:
@@ -53,17 +54,40 @@ def _tokens(windows: DataFrame, k: int) -> DataFrame:
     ).withColumn("token", _shingle("window", F.col("offset"), k))
 
 
+def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_text"), words_of(F.col(text_col)).alias("words"))
+
+
 def _positions(docs: DataFrame, id_col: str, text_col: str, ks: list[int]) -> DataFrame:
-    """A row for each word position (and shingle size), one at least for each document."""
-    words = docs.select(
-        F.col(id_col).alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_text"), words_of(F.col(text_col)).alias("words")
-    )
-    each = words.select("k_id", "k_text", "words", F.posexplode_outer("words").alias("pos", "word"))
+    """A row for each word position (and shingle size), one at least for each document.
+
+    ``words`` is the document's array by reference: it must not be shuffled with the rows.
+    """
+    each = _words(docs, id_col, text_col).select("k_id", "k_text", "words", F.posexplode_outer("words").alias("pos", "word"))
     tokens = [_shingle("words", F.col("pos"), k) for k in ks]
     token = tokens[0] if len(ks) == 1 else F.explode(F.array(*tokens))
     return each.select("k_id", "k_text", "words", "pos", token.alias("token"))
 
 
+def _near(docs: DataFrame, id_col: str, text_col: str, ks: list[int], prefixes: DataFrame) -> DataFrame:
+    """Positions with the windows whose prefix token stands there, each document's first one in any case."""
+    return _positions(docs, id_col, text_col, ks).join(F.broadcast(prefixes), "token", "left")
+
+
+def _near_shuffled(docs: DataFrame, id_col: str, text_col: str, ks: list[int], prefixes: DataFrame) -> DataFrame:
+    """The same for windows that are too many to broadcast.
+
+    Only ids, positions and tokens are shuffled with the prefixes. What meets is gathered by
+    document, which has few such places, and joined with the document's words once.
+    """
+    at = _positions(docs, id_col, text_col, ks).where("pos is not null").select("k_id", "k_text", "pos", "token")
+    met = at.join(prefixes, "token").select(F.col("k_id").alias("m_id"), F.col("k_text").alias("m_text"), F.struct("pos", "token", "offset", "window", "len", "items").alias("m"))
+    gathered = met.groupBy("m_id", "m_text").agg(F.collect_set("m").alias("ms"))
+    words = _words(docs, id_col, text_col)
+    joined = words.join(gathered, words["k_id"].eqNullSafe(gathered["m_id"]) & words["k_text"].eqNullSafe(gathered["m_text"]), "left")
+    return joined.select("k_id", "k_text", "words", F.explode_outer("ms").alias("m")).select("k_id", "k_text", "words", "m.*")
+
+
 def find_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -78,14 +102,15 @@ def find_hits(
     ``items`` is the array of ids, as sorted strings, of items with a window in
     the text. ``n_hit`` counts the words inside any occurrence of a window.
     """
-    windows = materialize(_windows(benchmark, item_id_col, item_text_col, size), "windows")
+    bound = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0))).first()[0] // 2 + benchmark.count()
+    windows = materialize(_windows(benchmark, item_id_col, item_text_col, size), "windows", bound)
     lens = [r["k"] for r in windows.select(F.least(F.lit(3), "len").alias("k")).distinct().collect()]
     ks = sorted(lens) or [3]
     n_windows = windows.count()
     tokens = _tokens(windows, ks[0])
     for k in ks[1:]:
         tokens = tokens.unionByName(_tokens(windows, k))
-    tokens = materialize(tokens, "window-tokens")
+    tokens = materialize(tokens, "window-tokens", size * n_windows)
     distinct = tokens.select("token").distinct()
     counts = (
         _positions(docs, id_col, text_col, ks)
@@ -101,16 +126,16 @@ def find_hits(
     )
     # A window with a token that no document has cannot occur.
     prefixes = materialize(
-        rarest.where("prefix.n > 0").select("prefix.token", "prefix.offset", "window", "len", "items"), "prefixes"
+        rarest.where("prefix.n > 0").select("prefix.token", "prefix.offset", "window", "len", "items"), "prefixes", n_windows
     )
     first = F.col("pos") - F.col("offset")
     occurs = F.when(
         (first >= 0) & (first + F.col("len") <= F.size("words")),
         F.slice("words", first + 1, F.col("len")) == F.col("window"),
     ).otherwise(False)
+    near = _near if n_windows <= BROADCAST_WINDOWS else _near_shuffled
     found = (
-        _positions(docs, id_col, text_col, ks)
-        .join(broadcast_if(prefixes, n_windows, BROADCAST_WINDOWS), "token", "left")
+        near(docs, id_col, text_col, ks, prefixes)
         .select("k_id", "k_text", F.size("words").alias("n_words"), "pos", "len", "items", first.alias("first"), occurs.alias("hit"))
         .where(F.coalesce("hit", F.lit(False)) | F.col("pos").isNull() | (F.col("pos") == 0))
         .select(
@@ -161,14 +186,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose share of hit words is at most ``max_share``; all columns stay as they are."""
+    """The rows of ``docs`` whose share of hit words is at most ``max_share``; all columns stay as they are.
+
+    Rows without text or without words stay, repeated rows stay or go together, a null id
+    is an id like any other. Without items all rows stay; an empty table gives none.
+    """
+    k_id, k_text = unused(docs, "hit_id", "hit_text")
     bad = (
         find_hits(docs, benchmark, size, id_col, text_col)
         .where(F.col("n_hit") > F.col("n_words") * F.lit(float(max_share)))
-        .select(F.col("k_id").alias("__k_id"), F.col("k_text").alias("__k_text"))
-    )
-    return docs.join(
-        bad,
-        docs[id_col].eqNullSafe(bad["__k_id"]) & (F.xxhash64(docs[text_col]) == bad["__k_text"]),
-        "left_anti",
+        .select(F.col("k_id").alias(k_id), F.col("k_text").alias(k_text))
     )
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.xxhash64(F.col(text_col)) == F.col(k_text)), "left_anti")
