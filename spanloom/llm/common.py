@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.storage import discard, materialize, shared_dir  # noqa: F401
+
+T = TypeVar("T")
+
 #: The ten ASCII blanks' trim set: U+0020 and U+0009 to U+000D.
 ASCII_BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,34 +27,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind them as it takes for ``df`` to have no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    Only where the session has none (tests, one machine) a temporary folder is
-    made and set, so a cluster never falls back to a machine-local path.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs only the tasks it was running.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+_kept: dict[tuple, object] = {}
+
+
+def worker_keeps(make: Callable[[str], T], path: str) -> T:
+    """What a Python worker keeps from task to task: one object, the last operator's; another operator's goes first."""
+    key = (make, path)
+    if key not in _kept:
+        release()
+        _kept[key] = make(path)
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what the process keeps, and give freed memory back."""
+    _kept.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back: workers are reused by later stages, and idle ones stay."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task's function that begins without what other operators kept in its worker, and leaves nothing behind."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import broadcast_if, materialize, shuffle_partitions
+from spanloom.llm.common import broadcast_if, discard, lean, materialize, shuffle_partitions, slices, unused
 from spanloom.llm.components import Forest, connected_components
 
 WORDS = 5
@@ -36,12 +36,19 @@ HASHES = 8
 #: Equal minimum hashes that make a pivot worth verifying; a heuristic for groups only.
 AGREE = 3
 GROUP_SIZE = 64
+#: Hashes of longer words (in bytes) are not kept.
+LONG_WORD = 64
+#: Texts, and sets, that are Python objects at a time.
+GROUP_TEXTS = 512
+GROUP_SETS = 256
 SKETCH_BITS = 20
 SLICES = 64
 #: Above so many ids, texts are found by a shuffle join instead of a broadcast.
 BROADCAST_IDS = 1_000_000
 #: A group with more queries is brought together with them in so many tasks.
 QUERIES_A_TASK = 4096
+#: Copies of a component's row where there are too many to broadcast.
+SALTS = 32
 NO_ID = -(2**63)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -56,9 +63,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of the runs of five words of a text."""
+    """Sorted distinct 64-bit hashes of the runs of five words of a text; hashes of up to ``most`` words are kept."""
 
-    def __init__(self, words: int = WORDS, most: int = 250_000):
+    def __init__(self, words: int = WORDS, most: int = 100_000):
         self.words, self.most, self.known = words, most, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -69,12 +76,10 @@ class Shingler:
         try:
             ids = [known[w] for w in words]
         except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            ids = [known[w] for w in words]
+            new = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(known)}
+            ids = [known[w] if w in known else new[w] for w in words]
+            if len(known) < self.most:  # the first ones met stay: they are the frequent ones
+                known.update(kv for kv in new.items() if len(kv[0]) <= LONG_WORD)
         w = np.array(ids, np.uint64)
         k = min(self.words, len(w))
         h = np.full(len(w) - k + 1, k, np.uint64)
@@ -120,16 +125,16 @@ def _least_both(n: Column, low: Column, high: Column, percent: int) -> Column:
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: id, set size, node and signature of each document; of kind 1: slices of each task's token counts."""
+    """Of ``doc_id, text, key``. Rows of kind 0: id, key, set size, node and signature of each document; of kind 1: slices of each task's token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(), np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "doc_id", "n", "node", "signature", "counts"]
-        for batch in batches:
+        names = ["kind", "doc_id", "key", "n", "node", "signature", "counts"]
+        for batch in slices(batches, GROUP_TEXTS):
             n, node, signature = [], [], []
             for text in batch.column(1):
                 tokens = shingles(text.as_py())
@@ -139,15 +144,15 @@ def _profile(docs: DataFrame) -> DataFrame:
                 np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * rows, pa.int32()), batch.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()),
+                [pa.array([0] * rows, pa.int32()), batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(node, pa.int64()),
                  pa.array(signature, pa.list_(pa.int64())), pa.nulls(rows, pa.binary())], names)
         step = len(counts) // SLICES
         if counts.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.nulls(SLICES, pa.int64()),
+                [pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.nulls(SLICES, pa.int64()),
                  pa.nulls(SLICES, pa.list_(pa.int64())), pa.array([counts[i * step : (i + 1) * step].astype("<u4").tobytes() for i in range(SLICES)])], names)
 
-    return docs.mapInArrow(run, "kind int, doc_id bigint, n int, node bigint, signature array<bigint>, counts binary")
+    return docs.mapInArrow(lean(run), "kind int, doc_id bigint, key bigint, n int, node bigint, signature array<bigint>, counts binary")
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
@@ -162,7 +167,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sums.keys(), pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in sums.values()])], ["n", "counts"])
 
-    rows = profile.where("kind = 1").select("n", "counts").repartition(SLICES, "n").mapInArrow(run, "n int, counts binary").collect()
+    rows = profile.where("kind = 1").select("n", "counts").repartition(SLICES, "n").mapInArrow(lean(run), "n int, counts binary").collect()
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint32)
     for r in rows:
         out[r["n"]] = np.frombuffer(r["counts"], "<u4")
@@ -177,18 +182,17 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                nodes, tokens = [], []
-                for node, text in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
-                    found = shingles(text)
-                    if len(found) and _node(found) == node:  # else another row of the same id
-                        nodes.append(node)
-                        tokens.append(found.tobytes())
-                if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
-
-    found = rows.mapInArrow(run, "node bigint, tokens binary")
+        for part in slices(batches, GROUP_TEXTS):
+            nodes, tokens = [], []
+            for node, text in zip(*(c.to_pylist() for c in part.columns)):
+                found = shingles(text)
+                if len(found) and _node(found) == node:  # else another row of the same id
+                    nodes.append(node)
+                    tokens.append(found.tobytes())
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
+
+    found = rows.mapInArrow(lean(run), "node bigint, tokens binary")
     return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
@@ -237,7 +241,7 @@ def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, group, forest = None, [], None, Forest()
-        for batch in batches:
+        for batch in slices(batches, GROUP_SETS):
             u, v = [], []
             for g, part, kind, node, root, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, part) != key:
@@ -256,7 +260,7 @@ def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return rows.mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -264,26 +268,26 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 * 2 ** SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(), shared.value.astype(np.uint64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                found, nodes, sizes = [], [], []
-                for text in batch.column(0).slice(start, 512).to_pylist():
-                    tokens = shingles(text)
-                    if len(tokens):
-                        order = np.minimum(counts[tokens >> np.uint64(64 - SKETCH_BITS)], (1 << 24) - 1) << np.uint64(40) | tokens >> np.uint64(24)
-                        k = _prefix_length(len(tokens), percent)
-                        found.append(tokens[np.argsort(order, kind="stable")[:k]])
-                        nodes.append(_node(tokens))
-                        sizes.append(len(tokens))
-                if found:
-                    k = [len(f) for f in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), k)), pa.array(np.repeat(np.array(sizes, np.int32), k))],
-                        ["token", "node", "n"],
-                    )
-
-    return docs.select("text").mapInArrow(run, "token bigint, node bigint, n int")
+        shingles, counts = Shingler(), shared.value
+        for part in slices(batches, GROUP_TEXTS):
+            found, nodes, sizes = [], [], []
+            for text in part.column(0).to_pylist():
+                tokens = shingles(text)
+                if len(tokens):
+                    many = counts[tokens >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
+                    order = np.minimum(many, (1 << 24) - 1) << np.uint64(40) | tokens >> np.uint64(24)
+                    k = _prefix_length(len(tokens), percent)
+                    found.append(tokens[np.argsort(order, kind="stable")[:k]])
+                    nodes.append(_node(tokens))
+                    sizes.append(len(tokens))
+            if found:
+                k = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), k)), pa.array(np.repeat(np.array(sizes, np.int32), k))],
+                    ["token", "node", "n"],
+                )
+
+    return docs.select("text").mapInArrow(lean(run), "token bigint, node bigint, n int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,18 +328,26 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     A null or blank text has an empty set and is linked with nothing, not
     even its like. A null id is larger than all others. Rows that repeat an id are texts
-    of their own. An empty table gives no rows; other columns are not read.
+    of their own. An empty table gives no rows; other columns are not read. An id that is no number is an error.
     """
+    return _link(_slim(docs, id_col, text_col), percent).drop("key")
+
+
+def _link(docs: DataFrame, percent: int) -> DataFrame:
+    """``link_components`` of ``doc_id, text, key``, with the ``key`` of each row."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    docs = _slim(docs, id_col, text_col)
     profile = materialize(_profile(docs), "profile")
     slim = profile.where("kind = 0")
+    # Bounds that the sizes of the written tables go by.
+    rows, tokens_in_all = slim.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sets_rows = tokens_in_all // 50  # as many tokens are about as large as a row of the other tables
     nodes = materialize(
         slim.where("node is not null")
         .groupBy("node")
         .agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("signature").alias("signature")),
         "nodes",
+        rows,
     )
     reps = nodes.select("node", F.coalesce("low", F.lit(NO_ID)).alias("rep"))
 
@@ -345,12 +357,13 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     stars = materialize(
         keyed.join(pivots, ["j", "h"]).where("node != grp").groupBy("node", "grp").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE).drop("agree"),
         "stars",
+        HASHES * rows,
     )
     centers = stars.select(F.col("grp").alias("node"), F.col("grp").alias("root"), "grp").distinct()
     wanted = stars.select("node").unionByName(centers.select("node")).distinct()
-    sets = materialize(_sets(docs, wanted.join(reps, "node")), "star-sets")
-    first_links = materialize(_open(stars.withColumn("root", F.col("node")), centers, sets, percent, n), "links")
-    grouped = connected_components(first_links)
+    star_sets = materialize(_sets(docs, wanted.join(reps, "node")), "star-sets", sets_rows)
+    first_links = materialize(_open(stars.withColumn("root", F.col("node")), centers, star_sets, percent, n), "links", HASHES * rows)
+    grouped = connected_components(first_links, rows=HASHES * rows)
 
     # The token-group matrix: groups of about GROUP_SIZE nodes at most with one home.
     homes = stars.groupBy("node").agg(F.min("grp").alias("home")).unionByName(centers.select("node", F.col("node").alias("home")))
@@ -361,9 +374,9 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         F.coalesce("root", "node").alias("root"),
         F.when(F.col("many") == 1, F.col("node")).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.floor(F.col("many") / GROUP_SIZE) + 1))).alias("grp"),
     )
-    members = materialize(members, "members")
+    members = materialize(members, "members", rows)
     prefixes = _prefixes(docs, _sketch(profile), percent).repartition(n, "token").sortWithinPartitions("token", "node")
-    tokens = materialize(prefixes.mapInArrow(_shared, "token bigint, node bigint, n int"), "tokens")
+    tokens = materialize(prefixes.mapInArrow(lean(_shared), "token bigint, node bigint, n int"), "tokens", tokens_in_all // 4)
     placed = tokens.join(broadcast_if(members, members.count(), BROADCAST_IDS), "node", "left").select(
         "token", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("grp", "node").alias("own")
     )
@@ -382,22 +395,30 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     low = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100)).cast("long")
     high = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent)).cast("long")
     asked = met.where(low <= high).where(F.col("both") >= _least_both(F.col("n"), low, high, percent)).select("node", "root", "grp")
-    asked = materialize(asked, "asked")
+    asked = materialize(asked, "asked", HASHES * rows)
     met_groups = asked.select("grp").distinct()
     opened = met_groups.join(members, "grp", "left").select(
         F.coalesce("node", "grp").alias("node"), F.coalesce("root", "node", "grp").alias("root"), "grp"
     )
     wanted = asked.select("node").unionByName(opened.select("node")).distinct()
-    sets = materialize(_sets(docs, wanted.join(reps, "node")), "query-sets")
-    more_links = _open(asked, opened, sets, percent, n)
-    components = materialize(connected_components(first_links.unionByName(more_links)), "components")
-
-    ids = components.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
-    found = nodes.select("node", "low").join(components, "node", "left").join(ids, "root", "left").select(
+    query_sets = materialize(_sets(docs, wanted.join(reps, "node")), "query-sets", sets_rows)
+    more_links = _open(asked, opened, query_sets, percent, n)
+    components = materialize(connected_components(first_links.unionByName(more_links), rows=HASHES * rows), "components", rows)
+    discard(stars, star_sets, first_links, members, tokens, asked, query_sets)
+
+    # A large component's root is a hot key: its one row is broadcast, or copied for each salt.
+    ids = materialize(components.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id")), "component-ids", rows)
+    if (many := ids.count()) <= BROADCAST_IDS:
+        named = components.join(broadcast_if(ids, many, BROADCAST_IDS), "root")
+    else:
+        salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        named = components.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"])
+    found = nodes.select("node", "low").join(named.select("node", "component_id"), "node", "left").select(
         "node", F.coalesce("component_id", "low").alias("component_id")
     )
-    return slim.select("doc_id", "n", "node").join(found, "node", "left").select(
+    return slim.select("doc_id", "key", "n", "node").join(found, "node", "left").select(
         "doc_id",
+        "key",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
@@ -406,14 +427,17 @@ def link_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 def keep_smallest(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their component; all columns stay as they are.
 
-    Of rows that repeat both id and text one stays. Documents without words, and
-    rows without id in a component without any id, stay.
+    Of rows that repeat both id and text one stays; of rows that repeat only the
+    id, those whose own component has that id. Documents without words, and
+    rows without id in a component without any id, stay. An empty table gives no rows.
     """
+    slim = _slim(docs, id_col, text_col)
+    own, text = unused(docs, "own_id", "text_key")
     kept = (
-        link_components(docs, percent, id_col, text_col)
+        _link(slim, percent)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"))
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias(own), F.col("key").alias(text))
         .distinct()
     )
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__text": F.xxhash64(F.col(text_col))})
-    return keyed.join(kept, "__id", "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    keyed = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text: F.xxhash64(F.col(text_col))})
+    return keyed.join(kept, [own, text], "left_semi").dropDuplicates([own, text]).select(*docs.columns)

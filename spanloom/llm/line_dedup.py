@@ -4,8 +4,9 @@ Only 128-bit line hashes, ids and positions are shuffled, never line texts. Line
 of one document and key collapse first, then counts are taken per key and salt, so a
 line that a third of all documents hold arrives as a few pre-aggregated rows.
 Those are range-partitioned by hash with a secondary sort by document, and the
-first row of each hash names the document that keeps its line. What comes back
-per document is its keep bitmap in run-length form: the runs of dropped lines.
+first row of each hash names the document that keeps its line, wherever in it the
+line stands. What comes back per document is its keep bitmap in run-length form:
+the runs of positions of dropped lines, all others being kept.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ASCII_BLANKS, ascii_lower, shuffle_partitions
+from spanloom.llm.common import ASCII_BLANKS, ascii_lower, materialize, shuffle_partitions, unused
+from spanloom.storage import LEAST_FILES
 
 SALTS = 16
+#: Up to so many repeated lines, they are broadcast to the lines; beyond, copied for each salt.
+BROADCAST_LINES = 500_000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -47,14 +51,21 @@ def drop_runs(
         .agg(F.count("*").alias("n"), F.max("k_id").alias("last"))
     )
     of_key = Window.partitionBy("h1", "h2")
-    frequent = (
+    frequent = materialize(
         counted.repartitionByRange(n, "h1")
         .withColumn("n_docs", F.sum("n").over(of_key))
         .withColumn("first", F.row_number().over(of_key.orderBy(F.col("last").desc_nulls_last(), "salt")))
         .where((F.col("n_docs") >= min_docs) & (F.col("first") == 1))
         .select("h1", "h2", F.col("last").alias("keeper"))
+        .coalesce(max(LEAST_FILES, n // 8)),  # one line of five at most
+        "repeated-lines",
     )
-    dropped = lines.join(frequent, ["h1", "h2"]).where(~F.col("k_id").eqNullSafe(F.col("keeper")))
+    if frequent.count() <= BROADCAST_LINES:
+        met = lines.join(F.broadcast(frequent), ["h1", "h2"])
+    else:  # a line that many documents hold meets its copies in as many tasks
+        copies = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = lines.withColumn("salt", F.pmod(F.xxhash64("k_id"), F.lit(SALTS)).cast("int")).join(copies, ["h1", "h2", "salt"])
+    dropped = met.where(~F.col("k_id").eqNullSafe(F.col("keeper")))
     of_doc = Window.partitionBy("k_id", "k_text").orderBy("pos")
     return (
         dropped.select("k_id", "k_text", "pos")
@@ -86,25 +97,22 @@ def dedup_lines(
     """
     runs = drop_runs(docs, min_chars, min_docs, id_col, text_col)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    own, text, k_id, k_text, gone = unused(docs, "own_id", "text_key", "lost_id", "lost_text", "lost_runs")
     keep = F.array_join(
         F.filter(
             lines,
-            lambda _, i: ~F.exists("__runs", lambda r: (i >= r["start"]) & (i < r["start"] + r["length"])),
+            lambda _, i: ~F.exists(gone, lambda r: (i >= r["start"]) & (i < r["start"] + r["length"])),
         ),
         "\n",
     )
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(
-        *names, F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text")
-    )
-    flags = runs.select(F.col("k_id").alias("__k_id"), F.col("k_text").alias("__k_text"), F.col("runs").alias("__runs"))
-    joined = keyed.join(
-        flags, keyed["__id"].eqNullSafe(flags["__k_id"]) & (keyed["__text"] == flags["__k_text"]), "left"
-    )
-    lost = F.aggregate("__runs", F.lit(0).cast("long"), lambda a, r: a + r["length"])
+    keyed = docs.select(*names, F.col(id_col).alias(own), F.xxhash64(F.col(text_col)).alias(text))
+    flags = runs.select(F.col("k_id").alias(k_id), F.col("k_text").alias(k_text), F.col("runs").alias(gone))
+    joined = keyed.join(flags, F.col(own).eqNullSafe(F.col(k_id)) & (F.col(text) == F.col(k_text)), "left")
+    lost = F.aggregate(gone, F.lit(0).cast("long"), lambda a, r: a + r["length"])
     return joined.select(
         *[
-            (F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(keep) if c == text_col else F.col(c)).alias(c)
+            (F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(keep) if c == text_col else F.col(c)).alias(c)
             for c in names
         ],
         F.size(lines).cast("long").alias("n_lines"),

@@ -134,7 +134,7 @@ class Segmenter:
     def _agree(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 600_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._stands(a, b)
         return known

@@ -10,23 +10,30 @@ a bound.
 from __future__ import annotations
 
 import array
+import hashlib
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanloom.llm.common import slices, worker_keeps
 from spanloom.llm.piece_model import SPACE, PieceModel, Segmenter, words_of
 
 GROUP_TEXTS = 256
 
 
 class Codec:
-    """Encodes texts to piece ids and back."""
+    """Encodes texts to piece ids and back.
 
-    def __init__(self, path: str, max_words: int = 300_000, bpe: bool | None = None):
+    Words stay known up to ``max_words``, the first ones met, which are the frequent
+    ones; longer ones than ``max_chars`` are segmented each time, so memory is bounded.
+    """
+
+    def __init__(self, path: str, max_words: int = 120_000, bpe: bool | None = None, max_chars: int = 64):
         self.model = PieceModel(path)
-        self.segmenter, self.max_words = Segmenter(self.model, bpe), max_words
+        self.segmenter, self.max_words, self.max_chars = Segmenter(self.model, bpe), max_words, max_chars
         #: Unit (see ``units``) to the bytes of its ids.
         self.known: dict[str, bytes] = {}
         bytes_of = {i: b for b, i in self.model.byte_ids.items()}
@@ -58,8 +65,9 @@ class Codec:
             b"" if not text else b"".join(map(get, units)) if units else array.array("I", [i for w in words_of(text) for i in self.segmenter.segment(w)]).tobytes()
             for text, units in zip(texts, split)
         ]
-        if len(known) > self.max_words:  # the first ones met stay: they are the frequent ones
-            for unit in new:
+        full = len(known) > self.max_words
+        for unit in new:
+            if full or len(unit) > self.max_chars:
                 del known[unit]
         return out
 
@@ -72,10 +80,11 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(maxsize=1)
-def worker_codec(path: str) -> Codec:
-    """A worker process keeps its codec from task to task."""
-    return Codec(path)
+def _lists(found: list[bytes], nulls: list[bool] | None = None) -> pa.ListArray:
+    """Lists of ids from their bytes, without a Python object for each id."""
+    ends = np.cumsum([0] + [len(b) // 4 for b in found], dtype=np.int32)
+    mask = None if nulls is None else pa.array(nulls, pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=mask)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,14 +96,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model_path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, GROUP_TEXTS):
-                part = batch.slice(start, GROUP_TEXTS)
-                texts = part.column(1).to_pylist()
-                found = codec.encode_all([t or "" for t in texts])
-                ids = [None if t is None else memoryview(b).cast("I").tolist() for t, b in zip(texts, found)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        codec = worker_keeps(Codec, model_path)
+        for part in slices(batches, GROUP_TEXTS):
+            texts = part.column(1).to_pylist()
+            found = codec.encode_all([t or "" for t in texts])
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(found, [t is None for t in texts])], ["doc_id", "ids"])
 
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -104,42 +110,37 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     """``doc_id, text`` from ids; null ids give a null text. Ids that the model lacks raise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model_path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, GROUP_TEXTS):
-                part = batch.slice(start, GROUP_TEXTS)
-                texts = [None if i is None else codec.decode(i) for i in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        codec = worker_keeps(Codec, model_path)
+        for part in slices(batches, GROUP_TEXTS):
+            texts = [None if i is None else codec.decode(i) for i in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     slim = encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].alias("ids"))
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, decoded_sha256, same`` for every row: ids and what they decode to.
+    """``doc_id, ids, n_tokens, ids_crc32, decoded_sha256, same`` for every row: the ids, and what they decode to.
 
-    A null text counts as empty. ``ids_crc32`` is of the ids as little-endian
-    unsigned 32-bit integers. One pass: the ids do not leave the worker.
+    A null text counts as empty and has no ids. ``ids_crc32`` is of the ids as little-endian
+    unsigned 32-bit integers, ``decoded_sha256`` of the decoded text, and ``same`` says whether that is
+    the text itself. Repeated rows give a row each, an empty table gives none. One pass.
     """
-    import hashlib
-    import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(model_path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, GROUP_TEXTS):
-                part = batch.slice(start, GROUP_TEXTS)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                rows = []
-                for text, ids in zip(texts, codec.encode_all(texts)):
-                    back = codec.decode(memoryview(ids).cast("I"))
-                    rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
-                n, crc, sha, same = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)],
-                    ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "same"],
-                )
+        codec = worker_keeps(Codec, model_path)
+        for part in slices(batches, GROUP_TEXTS):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            found, rows = codec.encode_all(texts), []
+            for text, ids in zip(texts, found):
+                back = codec.decode(memoryview(ids).cast("I"))
+                rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
+            n, crc, sha, same = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), _lists(found), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)],
+                ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_sha256", "same"],
+            )
 
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, same boolean")
+    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, same boolean")

@@ -18,13 +18,13 @@ its state on, and the next round of the scan takes it up.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import slices, worker_keeps
 from spanloom.llm.piece_model import SPACE, PieceModel, Segmenter
 
 CHUNK_CHARS = 256
@@ -246,9 +246,7 @@ class CountTransducer:
         return self.count_all([text])[0]
 
 
-@lru_cache(maxsize=1)
-def worker_transducer(path: str) -> CountTransducer:
-    """A worker process keeps its transducer from task to task."""
+def transducer_of(path: str) -> CountTransducer:
     return CountTransducer(Segmenter(PieceModel(path)))
 
 
@@ -262,13 +260,11 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = worker_transducer(model_path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, GROUP_TEXTS):
-                part = batch.slice(start, GROUP_TEXTS)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                counts = [n for group in transducer.groups(texts) for n in transducer.count_all(group)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+        transducer = worker_keeps(transducer_of, model_path)
+        for part in slices(batches, GROUP_TEXTS):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            counts = [n for group in transducer.groups(texts) for n in transducer.count_all(group)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     # Only (id, bytes) pairs return beside the counts: the text does not come back from Python.
     slim = docs.select(

@@ -15,7 +15,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize, shuffle_partitions
+from spanloom.llm.common import materialize, shuffle_partitions, slices, worker_keeps
 
 BLOCK_IDS = 1 << 14
 SEGMENT_IDS = 1 << 18
@@ -75,11 +74,12 @@ class UnitEncoder:
 
     The library splits text before every single blank that stands between
     other characters, and around a single line feed; texts with other runs of
-    white space, or with a special token's string, go to the library whole. The
-    words kept are bounded in number: the first ones met, which are the frequent ones.
+    white space, or with a special token's string, go to the library whole. Up to
+    ``max_units`` words are kept, the first ones met, which are the frequent ones; none
+    of more than ``max_chars`` characters is, so memory is bounded.
     """
 
-    def __init__(self, path: str, max_units: int = 600_000):
+    def __init__(self, path: str, max_units: int = 600_000, max_chars: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -92,7 +92,7 @@ class UnitEncoder:
         self.regular = re.compile(rf"(?!.*(?:{special}))\n?\S+" if special else r"\n?\S+").fullmatch
         #: None for a unit whose text must go to the library whole.
         self.known: dict[str, bytes | None] = {}
-        self.max_units = max_units
+        self.max_units, self.max_chars = max_units, max_chars
 
     def _run(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,18 +117,13 @@ class UnitEncoder:
                 out.append(first + b"".join(map(get, units[1:])))
             except TypeError:  # a unit without ids of its own
                 out.append(self._run([text])[0])
-        if len(self.known) > self.max_units:
-            for u in new:
+        full = len(self.known) > self.max_units
+        for u in new:
+            if full or len(u) > self.max_chars:
                 del self.known[u]
         return out
 
 
-@lru_cache(maxsize=1)
-def worker_encoder(path: str) -> UnitEncoder:
-    """A worker process keeps its encoder from task to task."""
-    return UnitEncoder(path)
-
-
 def write_token_ids(
     docs: DataFrame, tokenizer_path: str, end_id: int, bits: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -142,7 +137,7 @@ def write_token_ids(
     n = shuffle_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = worker_encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = worker_keeps(UnitEncoder, tokenizer_path), TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         done = segment = pending = 0
         doc_ids: list = []
@@ -160,16 +155,14 @@ def write_token_ids(
             names = [x.split()[0] for x in SEGMENT_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
-                for i, ids in zip(rows.column(0).to_pylist(), encoder.encode_all([t or "" for t in rows.column(1).to_pylist()])):
-                    held.append(ids + end)
-                    doc_ids.append(i)
-                    lengths.append(len(ids) // 4 + 1)
-                    pending += lengths[-1]
-                    if pending >= SEGMENT_IDS or len(lengths) >= SEGMENT_DOCS:
-                        yield flush()
+        for rows in slices(batches, 256):
+            for i, ids in zip(rows.column(0).to_pylist(), encoder.encode_all([t or "" for t in rows.column(1).to_pylist()])):
+                held.append(ids + end)
+                doc_ids.append(i)
+                lengths.append(len(ids) // 4 + 1)
+                pending += lengths[-1]
+                if pending >= SEGMENT_IDS or len(lengths) >= SEGMENT_DOCS:
+                    yield flush()
         if held:
             yield flush()
 
