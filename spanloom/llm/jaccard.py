@@ -2,9 +2,9 @@
 
 1. Documents with equal sets are one node. A fixed-size sketch counts the tokens
    of all documents; frequent tokens come last in the common order of tokens.
-2. Similar nodes are grouped: nodes that share minimum hashes have one pivot of
-   the bucket as their home, and a home's nodes are dealt into groups of bounded
-   size. Nodes are verified against their pivots, which gives first components.
+2. Similar nodes are grouped: nodes that share minimum hashes have a pivot of
+   theirs as their home, and a home's nodes are dealt into groups of bounded
+   size. Nodes that share several with a pivot are verified against it, which gives first components.
 3. The token-group matrix holds for each group the union of its members' prefix
    tokens. A query node meets the groups that share a prefix token with it and
    have a member of another component, which loses no link; the number of
@@ -35,7 +35,9 @@ WORDS = 5
 HASHES = 8
 #: Equal minimum hashes that make a pivot worth verifying; a heuristic for groups only.
 AGREE = 3
+#: A group of similar nodes has at most about so many nodes, or so many tokens where that is more nodes.
 GROUP_SIZE = 64
+GROUP_TOKENS = 1 << 17
 #: Hashes of longer words (in bytes) are not kept.
 LONG_WORD = 64
 #: Texts, and sets, that are Python objects at a time.
@@ -223,7 +225,7 @@ class _Group:
 def _open(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """Links (``u, v``) between queries (``node, root, grp``) and the members (``node, root, grp``) of their groups.
 
-    Members come first in each (group, part) and are about ``GROUP_SIZE`` at most;
+    Members come first in each (group, part) and are bounded by ``GROUP_SIZE`` and ``GROUP_TOKENS``;
     queries are then streamed. A group with very many queries is dealt over several
     parts. A link goes out only where the part's earlier links do not lead from
     component to component already, so there are fewer links than rows.
@@ -353,9 +355,10 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
 
     # Groups: stars around pivots.
     keyed = nodes.select("node", F.posexplode("signature").alias("j", "h"))
-    pivots = keyed.groupBy("j", "h").agg(F.min("node").alias("grp"), F.count("*").alias("many")).where("many > 1").drop("many")
+    pivots = keyed.groupBy("j", "h").agg(F.min("node").alias("grp"), F.count("*").alias("many")).where("many > 1")
+    near = keyed.join(pivots, ["j", "h"])
     stars = materialize(
-        keyed.join(pivots, ["j", "h"]).where("node != grp").groupBy("node", "grp").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE).drop("agree"),
+        near.where("node != grp").groupBy("node", "grp").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE).drop("agree"),
         "stars",
         HASHES * rows,
     )
@@ -365,14 +368,18 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
     first_links = materialize(_open(stars.withColumn("root", F.col("node")), centers, star_sets, percent, n), "links", HASHES * rows)
     grouped = connected_components(first_links, rows=HASHES * rows)
 
-    # The token-group matrix: groups of about GROUP_SIZE nodes at most with one home.
+    # The token-group matrix: groups of bounded size with one home.
     homes = stars.groupBy("node").agg(F.min("grp").alias("home")).unionByName(centers.select("node", F.col("node").alias("home")))
     homes = homes.groupBy("node").agg(F.min("home").alias("home"))
-    many = homes.groupBy("home").agg(F.count("*").alias("many"))
+    # Nodes of no star are at home with those that share their most frequent minimum hash.
+    others = near.groupBy("node").agg(F.max(F.struct("many", "grp")).alias("b")).select("node", F.col("b.grp").alias("other"))
+    homes = others.join(homes, "node", "full").select("node", F.coalesce("home", "other").alias("home")).join(nodes.select("node", "n"), "node")
+    deals = F.least(F.count("*") / GROUP_SIZE, F.sum("n") / GROUP_TOKENS)
+    many = homes.groupBy("home").agg(F.count("*").alias("many"), (F.floor(deals) + 1).alias("deals"))
     members = homes.join(many, "home").join(grouped, "node", "left").select(
         "node",
         F.coalesce("root", "node").alias("root"),
-        F.when(F.col("many") == 1, F.col("node")).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.floor(F.col("many") / GROUP_SIZE) + 1))).alias("grp"),
+        F.when(F.col("many") == 1, F.col("node")).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("deals")))).alias("grp"),
     )
     members = materialize(members, "members", rows)
     prefixes = _prefixes(docs, _sketch(profile), percent).repartition(n, "token").sortWithinPartitions("token", "node")

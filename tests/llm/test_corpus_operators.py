@@ -94,6 +94,21 @@ def test_jaccard_on_odd_rows(odd, none):
     assert ids == [-1, -1, 1, 2, 3, 4, 5, 7, 8, 9, 9]
 
 
+def test_one_of_each_for_repeated_ids(spark):
+    a, b = " ".join("abcdefgh"), " ".join("stuvwxyz")
+    rows = [(2, a, 1), (5, b, 2), (5, a, 3), (5, a, 3), (7, b, 4), (9, "x", 5), (9, None, 6), (None, "y z", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, own_id int").selectExpr("*", "1 as text_key", "2 as key")
+    kept = jaccard.keep_smallest(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "", r["own_id"]) for r in kept.collect()) == [(-1, "y z", 7), (2, a, 1), (5, b, 2), (9, "", 6), (9, "x", 5)]
+
+
+def test_jaccard_names_of_many_components(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", -1)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert found(jaccard.link_components(docs)) == brute_components(rows)
+
+
 def test_jaccard_threshold_is_exact(spark):
     a = [f"a{i}" for i in range(11)]  # 7 shingles
     rows = [(1, " ".join(a)), (2, " ".join(a[:10])), (3, " ".join(a[:9])), (4, " ".join(a[1:9])), (5, "one two"), (6, "One  two"), (7, "one")]
@@ -185,6 +200,31 @@ def test_decontamination_against_brute_force(spark, docs, odd):
     assert decontaminate.decontaminate(odd.where("false"), benchmark).count() == 0
 
 
+def test_decontamination_of_many_windows(spark, docs, odd, monkeypatch):
+    """Windows that are too many to broadcast: the same rows."""
+    texts = corpus(60, seed=3)
+    benchmark = spark.createDataFrame([*texts[:12], (100, "fox jumps"), (101, "x")], "item_id bigint, text string")
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").unionByName(odd.select("doc_id", "text"))
+    plain = lambda: sorted(map(repr, decontaminate.decontaminate(df, benchmark).collect()))
+    want = plain()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", -1)
+    assert plain() == want
+    named = odd.selectExpr("*", "1 as hit_id", "2 as hit_text", "3 as k_text")
+    assert decontaminate.drop_contaminated(named, benchmark).columns == named.columns
+    assert decontaminate.drop_contaminated(named, benchmark.where("false")).count() == named.count()
+    assert decontaminate.drop_contaminated(named.where("false"), benchmark).count() == 0
+
+
+def test_line_dedup_of_many_lines(spark, docs, monkeypatch):
+    """Repeated lines that are too many to broadcast: the same rows, whatever the columns' names."""
+    df = docs.selectExpr("*", "1 as own_id", "2 as text_key", "3 as lost_runs", "4 as salt", "5 as h1", "6 as k_id")
+    plain = lambda: sorted(map(repr, line_dedup.dedup_lines(df, min_chars=20).collect()))
+    want = plain()
+    assert any("n_dropped=0" not in r for r in want)
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    assert plain() == want and line_dedup.dedup_lines(df).columns == [*df.columns, "n_lines", "n_dropped"]
+
+
 def test_shards(odd, none, docs):
     got = sorted(sharding.assign_shards(docs, 7).collect(), key=lambda r: (r["shard"], r["slot"]))
     assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in docs.collect())
@@ -198,6 +238,17 @@ def test_shards(odd, none, docs):
     assert sharding.assign_shards(none, 3).count() == 0
 
 
-def test_written_shards(odd, tmp_path, spark):
-    sharding.write_shards(odd, str(tmp_path / "out"), 3)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
+def test_written_shards(odd, none, tmp_path, spark):
+    """The files hold the rows that the shards are said to have, repeated rows and rows without id or text included."""
+    rows = [(1, "same")] * 6 + [(1, "other"), (None, None), (None, "x")]
+    for k, df in enumerate((spark.createDataFrame(rows, "doc_id bigint, text string"), odd)):
+        path = str(tmp_path / f"out{k}")
+        sharding.write_shards(df, path, 3)
+        got = spark.read.parquet(path)
+        key = lambda r: (r["doc_id"] or -1, zlib.crc32((r["text"] or "").encode()))
+        files = sorted((r["shard_no"], *key(r)) for r in got.collect())
+        assert files == sorted((r["shard"], r["doc_id"] or -1, r["text_crc32"]) for r in sharding.assign_shards(df, 3).collect())
+        assert got.columns[:-1] == df.columns
+    sharding.write_shards(none, str(tmp_path / "none"), 3)
+    with pytest.raises(ValueError):
+        sharding.write_shards(odd.withColumnRenamed("shard", "Shard_No"), str(tmp_path / "no"), 3)
