@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import shuffle_partitions
+from spanloom.llm.common import lean, materialize, shuffle_partitions, slices
 
 WINDOW = 7
 MIN_BLOCK = 3
@@ -107,35 +108,6 @@ def likeness(a: str, b: str) -> float:
     return 0.0
 
 
-def _in_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Rows in id blocks of near-equal counts, each block followed by the row that comes next in descending order.
-
-    Only block bounds (one id for each partition) come to the driver.
-    """
-    n = shuffle_partitions(docs.sparkSession)
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), rank.alias("rank"), F.col(text_col).alias("text"))
-    parts = [k / n for k in range(1, n)]
-    bounds = slim.agg(F.percentile_approx("rank", F.array(*map(F.lit, parts)), F.lit(100_000)).alias("b")).first()["b"] if parts else []
-    bounds = sorted(set(bounds or []))
-    block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("rank"))) if bounds else F.lit(0)
-    tops = sorted(slim.groupBy(block.alias("block")).agg(F.max("rank").alias("top")).collect())
-    if not tops:
-        return slim.select("doc_id", "rank", "text", F.lit(0).alias("block"), F.lit(False).alias("guard")), n
-    # The row after the last of a block is the top one of the next lower block; after the last of all, the top one.
-    after = {block: tops[k - 1]["top"] for k, (block, _) in enumerate(tops)}
-    of = {}
-    for b, top in after.items():
-        of.setdefault(top, []).append(b)
-    wanted = F.create_map(*[x for top, bs in of.items() for x in (F.lit(top), F.array(*map(F.lit, bs)))])
-    guards = (
-        slim.where(F.col("rank").isin([*of]))
-        .select("doc_id", "rank", "text", F.explode(F.element_at(wanted, F.col("rank"))).alias("block"), F.lit(True).alias("guard"))
-    )
-    rows = slim.select("doc_id", "rank", "text", block.alias("block"), F.lit(False).alias("guard")).unionByName(guards)
-    return rows, n
-
-
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness, a row for every row of ``docs``.
 
@@ -145,36 +117,57 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text's first ones, or all of them. A null text counts as empty, two empty texts are
     alike (1.0); a null id comes last, and rows that repeat an id follow each
     other in order of text hash. An empty table gives no rows; other columns are
-    not read. Rows are streamed in order; a worker holds two texts at a time.
-    """
+    not read. Ids are cast to bigint: one that is no number raises.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row that waits for the next one
-        closed = None
-        for batch in batches:
-            rows = []
-            for doc_id, text, block, guard in zip(*(c.to_pylist() for c in batch.columns)):
-                text = text or ""
-                if guard:  # the first guard ends its block, more of them are rows of the same id
-                    if closed != block and held is not None:
-                        rows.append(_row(held, text))
-                        held = None
-                    closed = block
-                    continue
-                own = (doc_id, text, fingerprint(text))
-                if held is not None:
-                    rows.append(_row(held, text, own[2]))
-                held = own
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
-
-    rows, n = _in_blocks(docs, id_col, text_col)
-    ordered = (
-        rows.repartitionById(n, F.col("block"))
-        .sortWithinPartitions("block", "guard", F.col("rank").desc(), F.xxhash64("text"))
-        .select("doc_id", "text", "block", "guard")
-    )
-    return ordered.mapInArrow(run, SCHEMA)
+    Texts are shuffled once, to ranges of ids, and streamed in order; a worker holds two at
+    a time. A range's last row waits for the first one of the next range that has
+    rows: those rows, two a range, are put aside and meet in a join afterwards.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), rank.alias("rank"), F.col(text_col).alias("text"))
+    ordered = slim.repartitionByRange(n, F.col("rank").desc()).sortWithinPartitions(F.col("rank").desc(), F.xxhash64("text")).select("doc_id", "text")
+    rows = materialize(ordered.mapInArrow(lean(_stream), f"{SCHEMA}, part int, role int, text string"), "fingerprints")
+    heads = rows.where(F.col("role") == HEAD).select(F.col("part").alias("next"), F.col("text").alias("following"))
+    # A row a range, of numbers only, in one place; behind the last range comes the first.
+    parts = heads.select(F.col("next").alias("part"))
+    every = Window.orderBy("part")
+    after = parts.select("part", F.coalesce(F.lead("part").over(every), F.first("part").over(every)).alias("next"))
+    open_ends = rows.where(F.col("role") == TAIL).select("doc_id", "text", "part").join(F.broadcast(after), "part").join(heads, "next").select("doc_id", "text", "following")
+    return rows.where(F.col("role") == DONE).select(*_NAMES).unionByName(open_ends.mapInArrow(lean(_close), SCHEMA))
+
+
+DONE, HEAD, TAIL = 0, 1, 2
+
+
+def _batch(rows: list[tuple], part: int, role: int, text: str | None = None) -> pa.RecordBatch:
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)]
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([*columns, pa.array([part] * n, pa.int32()), pa.array([role] * n, pa.int32()), pa.array([text] * n, pa.string())], [*_NAMES, "part", "role", "text"])
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one range in order: those whose next one is in it, and its first and last text."""
+    part, held = TaskContext.get().partitionId(), None
+    for batch in slices(batches, 256):
+        rows = []
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            own = (doc_id, text or "", fingerprint(text))
+            if held is None:
+                yield _batch([(doc_id, *[None] * 6)], part, HEAD, own[1])
+            else:
+                rows.append(_row(held, own[1], own[2]))
+            held = own
+        if rows:
+            yield _batch(rows, part, DONE)
+    if held is not None:
+        yield _batch([(held[0], *[None] * 6)], part, TAIL, held[1])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 64):
+        rows = [_row((doc_id, text, fingerprint(text)), following) for doc_id, text, following in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _NAMES)
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
