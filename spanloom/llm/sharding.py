@@ -9,7 +9,7 @@ never a text, and only one row per partition and per shard is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import materialize, shuffle_partitions
@@ -17,21 +17,15 @@ from spanloom.llm.common import materialize, shuffle_partitions
 ROW_BYTES = 8
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``.
-
-    A null text has 0 bytes (size 8, CRC 0); a null id sorts first. Repeated rows
-    each get a slot of their own, rows of one id in order of CRC and size. An
-    empty table gives no rows. Other columns of ``docs`` are not read. A text
-    larger than a shard's share leaves the next shards' slices short or empty,
-    since texts are never cut.
-    """
+def _placed(docs: DataFrame, n_shards: int, id_col: str, text_col: str, *carried: Column) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot`` and the ``carried`` columns for every row."""
     n = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(text).alias("text_crc32"),
+        *carried,
     )
     slim = materialize(
         slim.repartitionByRange(n, "doc_id", "text_crc32", "size").withColumn("block", F.spark_partition_id()), "shards"
@@ -59,33 +53,38 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
         .withColumn("shard", F.expr(f"cast(first_byte * {n_shards} div total as int)"))
     )
     heads = placed.groupBy("shard").agg(F.min("nth").alias("head"))
-    return placed.join(F.broadcast(heads), "shard").select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("nth") - F.col("head")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    return placed.join(F.broadcast(heads), "shard").withColumn("slot", (F.col("nth") - F.col("head")).cast("long"))
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``.
+
+    A null text has 0 bytes (size 8, CRC 0); a null id sorts first. Repeated rows
+    each get a slot of their own, rows of one id in order of CRC and size. An
+    empty table gives no rows. Other columns of ``docs`` are not read. A text
+    larger than a shard's share leaves the next shards' slices short or empty,
+    since texts are never cut.
+    """
+    return _placed(docs, n_shards, id_col, text_col).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the rows of ``docs`` as one folder per shard, in slot order within each file."""
-    key = F.col(text_col)
-    keyed = docs.withColumns(
-        {"__id": F.col(id_col), "__crc": F.crc32(F.coalesce(key, F.lit("")).cast("binary"))}
-    )
-    places = assign_shards(docs, n_shards, id_col, text_col).groupBy("doc_id", "text_crc32").agg(
-        F.min("shard").alias("__shard"), F.min("slot").alias("__slot")
-    )
-    joined = keyed.join(
-        places, keyed["__id"].eqNullSafe(places["doc_id"]) & (keyed["__crc"] == places["text_crc32"])
-    ).select(*[keyed[c] for c in docs.columns], F.col("__shard").alias("shard_no"), "__slot")
+    """Write the rows of ``docs`` as one folder ``shard_no=K`` per shard, rows in slot order within each file.
+
+    Every row goes to the shard that ``assign_shards`` names for it, repeated rows
+    and rows without id or text included; columns stay as they are, whatever their names (one
+    called ``shard_no`` is an error). An empty table writes no folder.
+    """
+    if "shard_no" in (c.lower() for c in docs.columns):
+        raise ValueError("shard_no names the folders")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     (
-        joined.repartitionByRange(shuffle_partitions(docs.sparkSession), "shard_no", "__slot")
-        .sortWithinPartitions("shard_no", "__slot")
-        .drop("__slot")
+        _placed(docs, n_shards, id_col, text_col, row)
+        .repartitionByRange(shuffle_partitions(docs.sparkSession), "shard", "slot")
+        .sortWithinPartitions("shard", "slot")
+        .select("row.*", F.col("shard").alias("shard_no"))
         .write.partitionBy("shard_no")
         .parquet(path)
     )
