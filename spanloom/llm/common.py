@@ -41,12 +41,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 _kept: dict[tuple, object] = {}
 
 
-def worker_keeps(make: Callable[[str], T], path: str) -> T:
+def worker_keeps(make: Callable[..., T], *args) -> T:
     """What a Python worker keeps from task to task: one object, the last operator's; another operator's goes first."""
-    key = (make, path)
+    key = (make, *args)
     if key not in _kept:
         release()
-        _kept[key] = make(path)
+        _kept[key] = make(*args)
     return _kept[key]
 
 

@@ -83,13 +83,17 @@ class Segmenter:
         self.model, self.bpe = model, model.is_bpe if bpe is None else bpe
         self.ids = model.ids
         self.longest = max(len(p) for p in self.ids)
+        self.lengths = [len(p) for p in model.pieces]
+        #: What can still grow into a piece.
+        self.open = frozenset(p[:k] for p in self.ids for k in range(1, len(p)))
         #: Characters that are pieces; any other one is spelled in bytes and ends what is around it.
         self.chars = frozenset(p for p in self.ids if len(p) == 1)
         self.foreign = re.compile("([^" + re.escape("".join(sorted(self.chars))) + "])")
         self.pairs: dict[tuple[int, int], bool] = {}
         if self.bpe:
             self._order()
-        self.word, self.last, self.score = "", [-1], [0.0]
+        #: Of the last word: the best piece that ends at each place, its score, and the starts of what could still grow there.
+        self.word, self.last, self.score, self.live = "", [-1], [0.0], [[]]
 
     def _order(self) -> None:
         """Rank pieces by the time of their merge and find the pair that each is merged from."""
@@ -141,28 +145,36 @@ class Segmenter:
 
     def forward(self, word: str) -> list[int]:
         """Back pointers of ``word``, whose characters are all pieces; values of the prefix shared with the last call stay."""
-        old, last, score = self.word, self.last, self.score
+        old, last, score, live = self.word, self.last, self.score, self.live
         n, k = len(word), 0
         for x, y in zip(old, word):
             if x != y:
                 break
             k += 1
-        del last[k + 1 :], score[k + 1 :]
-        ids, longest, scores = self.ids, self.longest, self.model.scores
+        del last[k + 1 :], score[k + 1 :], live[k + 1 :]
+        get, opened, bpe, scores = self.ids.get, self.open, self.bpe, self.model.scores
+        pairs = self.pairs
+        stable = self.stable if bpe else ()
         for end in range(k + 1, n + 1):
-            best, high = -1, 0.0
-            for start in range(max(0, end - longest), end):
-                piece = ids.get(word[start:end])
-                if piece is None:
+            best, high, grows = -1, 0.0, []
+            for start in (*live[end - 1], end - 1):
+                part = word[start:end]
+                if part in opened:
+                    grows.append(start)
+                if bpe and best >= 0 or (piece := get(part)) is None:
                     continue
-                if self.bpe:
-                    if piece in self.stable and (start == 0 or self._agree(last[start], piece)):
+                if bpe:
+                    if piece in stable:
+                        if start:
+                            fits = pairs.get((last[start], piece))
+                            if not (self._agree(last[start], piece) if fits is None else fits):
+                                continue
                         best = piece
-                        break
                 elif best < 0 or score[start] + scores[piece] > high:
                     best, high = piece, score[start] + scores[piece]
             last.append(best)
             score.append(high)
+            live.append(grows)
         self.word = word
         return last
 
@@ -170,11 +182,13 @@ class Segmenter:
         """Piece ids of a word whose characters are all pieces."""
         if self.bpe and SPACE * 2 in word:  # the pieces of blanks share one score: merge by hand
             return self.merge(word)
-        last, out, end = self.forward(word), [], len(word)
+        last, out, end, lengths = self.forward(word), [], len(word), self.lengths
         while end:
-            out.append(last[end])
-            end -= len(self.model.pieces[last[end]])
-        return out[::-1]
+            piece = last[end]
+            out.append(piece)
+            end -= lengths[piece]
+        out.reverse()
+        return out
 
     def merge(self, word: str) -> list[int]:
         """The merges in the order of the model's scores, leftmost first: what ``forward`` must equal."""
@@ -202,6 +216,8 @@ class Segmenter:
 
     def segment(self, word: str) -> list[int]:
         """Piece ids of any word; a character that is no piece becomes its bytes' pieces."""
+        if word and not self.foreign.search(word):
+            return self.known(word)
         out: list[int] = []
         for part in self.foreign.split(word):
             if not part:

@@ -18,7 +18,7 @@ def tokenizer_file(name: str) -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.sentencepieces import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), max_words=300_000)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from spanloom.llm.common import slices, worker_keeps
 from spanloom.llm.piece_model import SPACE, PieceModel, Segmenter, words_of
 
-GROUP_TEXTS = 256
+#: Texts whose words are sorted together: the more, the more prefixes are shared.
+GROUP_TEXTS = 1024
 
 
 class Codec:
@@ -119,16 +120,17 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 120_000) -> DataFrame:
     """``doc_id, ids, n_tokens, ids_crc32, decoded_sha256, same`` for every row: the ids, and what they decode to.
 
     A null text counts as empty and has no ids. ``ids_crc32`` is of the ids as little-endian
     unsigned 32-bit integers, ``decoded_sha256`` of the decoded text, and ``same`` says whether that is
-    the text itself. Repeated rows give a row each, an empty table gives none. One pass.
+    the text itself. Repeated rows give a row each, an empty table gives none. One pass; a worker
+    keeps the ids of up to ``max_words`` words, which changes its memory and time only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_keeps(Codec, model_path)
+        codec = worker_keeps(Codec, model_path, max_words)
         for part in slices(batches, GROUP_TEXTS):
             texts = [t or "" for t in part.column(1).to_pylist()]
             found, rows = codec.encode_all(texts), []
