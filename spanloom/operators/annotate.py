@@ -69,6 +69,10 @@ def aspect_set(out: Column) -> Column:
 
 def agreement(a: Column, b: Column) -> Column:
     """full, partial, none; error where a pass is missing."""
+    return X.let(F.struct(a.alias("a"), b.alias("b")), lambda p: _agreement(p["a"], p["b"]))
+
+
+def _agreement(a: Column, b: Column) -> Column:
     x, y = aspect_set(a), aspect_set(b)
     return (
         F.when(a.isNull() | b.isNull(), "error")
@@ -98,7 +102,15 @@ def _mode(kinds: Sequence[Column]) -> Column:
 
 
 def vote(a: Column, b: Column, c: Column, skipped: Column) -> Column:
-    """Majority of three passes: ``final, method, needs_review, true_votes, false_votes, agreement_1v2, agreement_1v3, agreement_2v3``."""
+    """Majority of three passes: ``final, method, needs_review, true_votes, false_votes, agreement_1v2, agreement_1v3, agreement_2v3``.
+
+    The passes are computed once, however often the rules look at them.
+    """
+    passes = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), skipped.alias("skipped"))
+    return X.let(passes, lambda p: _vote(p["a"], p["b"], p["c"], p["skipped"]))
+
+
+def _vote(a: Column, b: Column, c: Column, skipped: Column) -> Column:
     outs = [a, b, c]
     given = reduce(lambda x, y: x + y, [F.when(o.isNotNull(), 1).otherwise(0) for o in outs])
     yes = reduce(lambda x, y: x + y, [F.when(F.coalesce(o["has_modification"], F.lit(False)), 1).otherwise(0) for o in outs])
@@ -144,8 +156,12 @@ def clean_spans(final: Column, text: Column, examples: int = 5) -> Column:
 
     The text is collapsed once, and each span looked up once.
     """
+    return X.let(F.struct(final.alias("final"), X.collapse(text).alias("text")), lambda r: _cleaned(r["final"], r["text"], examples))
+
+
+def _cleaned(final: Column, collapsed: Column, examples: int) -> Column:
     mods = final["modifications"]
-    flagged = X.let(X.collapse(text), lambda t: F.transform(mods, lambda m: F.struct(m.alias("m"), X.bare_occurs(m["span"], t).alias("ok"))))
+    flagged = F.transform(mods, lambda m: F.struct(m.alias("m"), X.bare_occurs(m["span"], collapsed).alias("ok")))
     parts = lambda f, ok: F.transform(F.filter(f, lambda x: x["ok"] == ok), lambda x: x["m"])
     both = X.let(flagged, lambda f: F.struct(parts(f, True).alias("kept"), parts(f, False).alias("lost")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import let
 from spanloom.schemas import ANNOTATION, BIO
 
 #: Signs of a modification in the synthetic prose: question words, keywords and spam by syllable.
@@ -57,15 +58,13 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(flag.isNotNull(), F.struct(flag.alias("has_modification"), kind.alias("thread_type"), F.when(flag, mods).otherwise(none).alias("modifications"))).cast(ANNOTATION)
 
     kind = lambda k: F.element_at(F.array(*map(F.lit, ("statement", "question", "mixed"))), (k % 3 + 1).cast("int"))
-    rows = docs.join(labels, "doc_id", "left")
-    return rows.select(
-        "doc_id",
-        "text",
-        output(F.col("quality") == 1, kind(F.col("doc_id")), found).alias("out1"),
-        output(F.col("n_chars") % 3 != 0, kind(F.col("n_chars")), F.slice(found, 1, 2)).alias("out2"),
-        output(F.when(F.col("doc_id") % 4 != 0, F.col("toxic") == 0), kind(F.col("n_chars") + 1), F.slice(found, 1, 1)).alias("out3"),
-        (F.col("doc_id") % 4 == 0).alias("pass3_skipped"),
+    passes = lambda f: F.struct(
+        output(F.col("quality") == 1, kind(F.col("doc_id")), f).alias("out1"),
+        output(F.col("n_chars") % 3 != 0, kind(F.col("n_chars")), F.slice(f, 1, 2)).alias("out2"),
+        output(F.when(F.col("doc_id") % 4 != 0, F.col("toxic") == 0), kind(F.col("n_chars") + 1), F.slice(f, 1, 1)).alias("out3"),
     )
+    rows = docs.join(labels, "doc_id", "left").select("doc_id", "text", let(found, passes).alias("o"))
+    return rows.select("doc_id", "text", "o.*", (F.col("doc_id") % 4 == 0).alias("pass3_skipped"))
 
 
 A_SQL = """
