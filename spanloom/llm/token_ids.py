@@ -28,6 +28,13 @@ from spanloom.llm.common import materialize, shuffle_partitions, slices, worker_
 BLOCK_IDS = 1 << 14
 SEGMENT_IDS = 1 << 18
 SEGMENT_DOCS = 1 << 14
+#: Texts whose new words are encoded together, each once, and words that the library gets in a row.
+GROUP_TEXTS = 1024
+UNITS_IN_A_ROW = 256
+#: A blank as the first character of a byte-level piece.
+BLANK = "\u0120"
+#: White space but the blank and the line feed.
+ODD_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 SEGMENT_SCHEMA = (
     "part int, segment int, first_id bigint, n_ids bigint, block_ids int, plane_bits int, "
     "doc_ids array<bigint>, doc_lengths array<bigint>, plane_ends array<bigint>, payload binary"
@@ -88,8 +95,13 @@ class UnitEncoder:
         self.plain = (
             type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None
         )
-        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = "|".join(map(re.escape, self.special))
         self.regular = re.compile(rf"(?!.*(?:{special}))\n?\S+" if special else r"\n?\S+").fullmatch
+        #: Ids of pieces that begin with a blank.
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for piece, i in vocabulary.items() if piece[:1] == BLANK]] = True
         #: None for a unit whose text must go to the library whole.
         self.known: dict[str, bytes | None] = {}
         self.max_units, self.max_chars = max_units, max_chars
@@ -97,6 +109,20 @@ class UnitEncoder:
     def _run(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of regular units. Those behind a blank are encoded many in a row: only their first pieces begin with one."""
+        found = {}
+        if lines := [u for u in units if u[0] == "\n"]:
+            found.update(zip(lines, self._run(lines)))
+            units = [u for u in units if u[0] != "\n"]
+        for i in range(0, len(units), UNITS_IN_A_ROW):
+            part = units[i : i + UNITS_IN_A_ROW]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            found.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+        return found
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.plain:
@@ -105,10 +131,14 @@ class UnitEncoder:
         seen: set[str] = set()
         for units in split:
             seen.update(units[1:])
-        new = [u for u in seen if u not in self.known]
-        regular = [u for u in new if self.regular(u)]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(regular, self._run([u if u[0] == "\n" else " " + u for u in regular])))
+        new = list(seen.difference(self.known))
+        joined = "\n".join(texts)
+        # Without special tokens and odd white space only empty units and lone line feeds are irregular.
+        usual = not any(x in joined for x in (*self.special, *ODD_BLANKS))
+        regular = [u for u in new if u and u != "\n"] if usual else [u for u in new if self.regular(u)]
+        if len(regular) < len(new):
+            self.known.update(dict.fromkeys(new))
+        self.known.update(self._units(regular))
         firsts, get, out = self._run([units[0] for units in split]), self.known.__getitem__, []
         for text, units, first in zip(texts, split, firsts):
             try:
@@ -155,7 +185,7 @@ def write_token_ids(
             names = [x.split()[0] for x in SEGMENT_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        for rows in slices(batches, 256):
+        for rows in slices(batches, GROUP_TEXTS):
             for i, ids in zip(rows.column(0).to_pylist(), encoder.encode_all([t or "" for t in rows.column(1).to_pylist()])):
                 held.append(ids + end)
                 doc_ids.append(i)
