@@ -81,6 +81,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels"), rated_per_grade=6000), least=0.6)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.divergence import audit_sources
+
+    return audit_sources(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_jaccard": op9_jaccard,
     "op10_quality": op10_quality,
+    "op13_divergence": op13_divergence,
 }
 
 _OP2_SQL = r"""
@@ -163,4 +170,26 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
 
-ORACLE_SQL = {"op9_jaccard": _OP9_SQL, "op2_decontaminate": _OP2_SQL, "op3_shards": _OP3_SQL, "op5_line_dedup": _OP5_SQL}
+_OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS MATERIALIZED (SELECT row, lang, source, unnest(words) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+every AS (SELECT lang, term, sum(n) AS n FROM cell GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM every),
+p AS MATERIALIZED (
+  SELECT *, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM cell),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.v, 0) AS v
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, CAST(v AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY v DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY v DESC, item) <= 50
+"""
+
+ORACLE_SQL = {"op13_divergence": _OP13_SQL, "op9_jaccard": _OP9_SQL, "op2_decontaminate": _OP2_SQL, "op3_shards": _OP3_SQL, "op5_line_dedup": _OP5_SQL}
