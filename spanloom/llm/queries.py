@@ -81,6 +81,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels"), rated_per_grade=6000), least=0.6)
 
 
+def op11_copartition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.copartition import crc_bucket, report_pair, write_pair
+    from spanloom.storage import new_folder
+
+    sales, lines = table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines")
+    b = F.coalesce(crc_bucket(F.col("sale_id"), 150, "pair"), F.lit(151))
+    starts = (b - (b % 5 == 1).cast("int"), F.coalesce(crc_bucket(F.col("item_id"), 150), F.lit(0)))
+    return report_pair(write_pair(sales, lines, new_folder(spark, "pair"), "sale_id", starts, files=152, names=("sales", "sale_lines")))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.divergence import audit_sources
 
@@ -98,6 +108,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_jaccard": op9_jaccard,
     "op10_quality": op10_quality,
+    "op11_copartition": op11_copartition,
     "op13_divergence": op13_divergence,
 }
 
