@@ -91,6 +91,15 @@ def op11_copartition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_pair(write_pair(sales, lines, new_folder(spark, "pair"), "sale_id", starts, files=152, names=("sales", "sale_lines")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = train(docs.where(~held_out), table(spark, sf_dir, "labels"), toxic_docs=4000, clean_docs=12000)
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.divergence import audit_sources
 
@@ -109,6 +118,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_quality": op10_quality,
     "op11_copartition": op11_copartition,
+    "op12_toxicity": op12_toxicity,
     "op13_divergence": op13_divergence,
 }
 
