@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import discard, lean, materialize, slices
+from spanloom.llm.common import discard, lean, materialize, release, slices
 
 #: Decay of a subsequence's weight for each character that it spans.
 DECAY = 0.7
@@ -41,11 +41,13 @@ TOXIC, VARIANT = 3.0, 0.1
 KEPT_TOKENS = 400_000
 #: Texts that are Python objects at a time, strings of one length that are scored at a time.
 GROUP_TEXTS, GROUP_UNITS = 64, 2048
+#: Subsequences whose weights are gathered at a time: for each landmark, and summed up.
+GATHERED, SUMMED = 1 << 22, 1 << 18
 
 #: A sentence ends at a line's end, or at a mark behind a word of two letters at least.
 _SENTENCE = re.compile(r"\n+|(?<=\w\w[.!?])\s+")
-#: Three or more single characters with blanks between them.
-_SPELLED = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
+#: Three or more single letters with blanks between them.
+_SPELLED = re.compile(r"(?<!\S)\w(?:[^\S\n]+\w){2,}(?!\w)")
 _RUN = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -129,7 +131,7 @@ def likeness(strings: list[str], triples: Triples) -> np.ndarray:
     """Normalized kernel of each string (of 3 to WINDOW characters) with each of the landmarks."""
     table = np.vstack([triples.weights.T, np.zeros((1, len(triples.weights)))])
     out = np.zeros((len(strings), table.shape[1]))
-    for rows, s in _by_length(strings, 1 << 18):
+    for rows, s in _by_length(strings, GATHERED // table.shape[1]):
         place, weigh = triples.lookup(s)
         out[rows] = np.einsum("ntm,t->nm", table[place], weigh) / np.sqrt(self_likeness(s))[:, None]
     return out
@@ -198,7 +200,7 @@ class ToxicModel:
         out = np.full(len(strings), self.bias)
         if self.triples is None:
             return out
-        for rows, s in _by_length(strings, 1 << 18):
+        for rows, s in _by_length(strings, SUMMED):
             place, weigh = self.triples.lookup(s)
             sums = self.weights[place] @ weigh
             like = np.flatnonzero(sums > 0)
@@ -313,6 +315,7 @@ def train(
     margin, label = got.column(0).to_numpy(), got.column(1).to_numpy()
     model.slope, model.offset = _calibrate(margin, label, np.where(label == 1, 1 / share[1], 1 / share[0]))
     discard(sample, counts)
+    release()
     return model
 
 
