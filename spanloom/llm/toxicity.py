@@ -193,7 +193,9 @@ class ToxicModel:
         weight = np.repeat([TOXIC, VARIANT, 1.0], [len(positive), len(made), len(negative)])
         y = np.repeat([1.0, -1.0], [len(positive) + len(made), len(negative)])
         w, bias = fit_svm(x, y, weight)
-        return cls(triples, np.append((whiten @ w) @ triples.weights, 0.0), bias)
+        folded = np.append((whiten @ w) @ triples.weights, 0.0)
+        triples.weights = np.empty((0, 0))  # what goes to the tasks is one weight a subsequence
+        return cls(triples, folded, bias)
 
     def margins(self, strings: list[str]) -> np.ndarray:
         """Signed distances; strings that are more unlike than like the landmarks' toxic ones count as the bias."""
