@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from spanloom.functions import text as X
 from spanloom.schemas import ASPECTS
@@ -146,54 +149,130 @@ def locate_all(df: DataFrame, text_col: str, mods_col: str, out: str = "located"
     return rows.withColumn(out, made).drop("_known", "_exact", "_loose")
 
 
-#: Inner words of a span by which texts are looked up, at most.
-KEY_WORDS = 3
+#: Characters of spans that one automaton holds, and rows of spans that are broadcast.
+AUTOMATON_CHARS, BROADCAST_SPANS = 16_000_000, 1_000_000
+_automata: dict[str, object] = {}
 
 
-def find_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``example_id, text`` and the columns of ``spans`` (one is ``span``) for each span that a text holds.
+def _automaton(key: str, listed: Sequence[str]):
+    """The automaton of a list of strings, compiled once in each worker; the last one is kept."""
+    if key not in _automata:
+        import ahocorasick
 
-    A text that holds a span has its inner words (all but the first and the last, which
-    may stand inside longer words of the text) as words of its own, one after another. Up to three of
-    them are the key of an equi-join with the texts' positions, of which only ids and
-    hashes are shuffled; what meets is then looked up in the text itself. A span of fewer than three words has no inner word
-    and is not looked for. Repeated rows of an id are texts of their own.
+        _automata.clear()
+        made = ahocorasick.Automaton()
+        for i, span in enumerate(listed):
+            made.add_word(span, i)
+        if listed:
+            made.make_automaton()
+        _automata[key] = made
+    return _automata[key]
+
+
+def span_finder(spark: SparkSession, listed: Sequence[str]) -> Callable[[Column | str], Column]:
+    """A column function: the numbers of the strings that stand in a text, in one scan of it, whatever their length.
+
+    The strings are broadcast and compiled to an Aho-Corasick automaton in each worker, so a text costs its length and its hits.
     """
-    w = words("span")
-    k = F.least(F.lit(KEY_WORDS), F.size("_w") - 2)
-    wanted = spans.withColumn("_w", w).where(F.size("_w") > 2).withColumn("_k", k)
-    wanted = wanted.withColumn("_key", F.xxhash64("_k", F.array_join(F.slice("_w", 2, F.col("_k")), " "))).drop("_w", "_k")
-    rows = docs.select(F.col(id_col).alias("example_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_text"))
-    places = rows.select("example_id", "_text", words("text").alias("_w"))
-    places = places.select("example_id", "_text", "_w", F.posexplode("_w").alias("_i", "_x"))
-    keys = F.array(*[F.when(F.col("_i") + n <= F.size("_w"), F.xxhash64(F.lit(n), F.concat_ws(" ", *[F.get("_w", F.col("_i") + j) for j in range(n)]))) for n in range(1, KEY_WORDS + 1)])
-    places = places.select("example_id", "_text", F.explode(keys).alias("_key"))
-    met = places.join(wanted.select("_key"), "_key", "left_semi").distinct()
-    found = met.join(wanted, "_key").drop("_key").withColumnRenamed("example_id", "_id").withColumnRenamed("_text", "_t")
-    joined = rows.join(found, F.col("example_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t"))).drop("_id", "_t", "_text")
-    return joined.where(F.contains("text", "span")).distinct()
-
-
-def align(df: DataFrame, tokens_col: str, spans_col: str, scheme: str = "BIO", out: str = "tags", aligned: str | None = None) -> DataFrame:
+    shared, key = spark.sparkContext.broadcast(list(listed)), uuid.uuid4().hex
+
+    @F.arrow_udf("array<int>")
+    def find(texts: pa.Array) -> pa.Array:
+        automaton = _automaton(key, shared.value)
+        found = [sorted({i for _, i in automaton.iter(t)}) if t and len(automaton) else [] for t in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return find
+
+
+def find_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """``example_id, text`` and the columns of ``spans`` (one is ``span``) for each row of spans that a text holds.
+
+    Spans of any length are found, inside words too; empty and null ones, and null texts, are not. Repeated rows of either side stay
+    repeated. Spans of up to ``chars`` characters in all are one automaton; more are dealt to several by their
+    hash, each of which scans the texts once, so that none outgrows a worker. The texts are not shuffled, and only the text goes to Python.
+    """
+    spark = docs.sparkSession
+    wanted = spans.where(F.length("span") > 0)
+    kinds = wanted.groupBy("span").agg(F.count("*").alias("_c"))
+    total, rows_of_spans = kinds.agg(F.coalesce(F.sum(F.length("span")), F.lit(0)), F.coalesce(F.sum("_c"), F.lit(0))).first()
+    passes = max(1, -(-total // chars))
+    rows, found = docs.select(F.col(id_col).alias("example_id"), F.col(text_col).alias("text")), None
+    for k in range(passes):
+        listed = sorted(r[0] for r in kinds.where(F.pmod(F.xxhash64("span"), F.lit(passes)) == k).select("span").toLocalIterator())
+        numbers = spark.createDataFrame(list(enumerate(listed)), "_n int, _span string")
+        here = wanted.join(F.broadcast(numbers), F.col("span") == F.col("_span")).drop("_span")  # ``chars`` characters at most
+        here = F.broadcast(here) if rows_of_spans <= BROADCAST_SPANS else here
+        hits = X.unnest(rows.withColumn("_hits", span_finder(spark, listed)("text")), "_hits", "example_id", "text", item="_n")
+        one = hits.join(here, "_n").drop("_n")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _owners(starts: pa.Array, ends: pa.Array, span_starts: pa.Array, span_ends: pa.Array, ords: pa.Array) -> pa.Array:
+    """For each token twice the place of the first span that overlaps it, and 1 more for the first token of a span; -1 for none.
+
+    Tokens and spans are both in order of their places, so a span's tokens are one stretch, found by bisection: a row costs its tokens, its
+    spans and what these cover. Tokens that are out of order are put in order first.
+    """
+    out = []
+    for t0, t1, s0, s1, names in zip(*(_lists(c) for c in (starts, ends, span_starts, span_ends, ords))):
+        if t0 is None or s0 is None:
+            out.append(None)
+            continue
+        real = np.flatnonzero(t1 > t0)  # special tokens have no place
+        real = real[np.argsort(t0[real], kind="stable")]
+        begin, end = t0[real], t1[real]
+        first, last = np.searchsorted(np.maximum.accumulate(end) if len(end) else end, s0, "right"), np.searchsorted(begin, s1, "left")
+        codes, seen = np.full(len(real), -1, np.int32), set()
+        for k in range(len(s0)):  # in order of priority
+            part = slice(first[k], max(first[k], last[k]))
+            mine = np.flatnonzero((codes[part] < 0) & (end[part] > s0[k])) + part.start
+            if len(mine):
+                codes[mine] = 2 * k
+                if names[k] not in seen:
+                    codes[mine[real[mine].argmin()]] += 1
+                    seen.add(names[k])
+        whole = np.full(len(t0), -1, np.int32)
+        whole[real] = codes
+        out.append(whole)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """The lists of a column as arrays over its flat values; None for null."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for i, null in enumerate(column.is_null().to_pylist()):
+        yield None if null else values[offsets[i] : offsets[i + 1]]
+
+
+def align(df: DataFrame, tokens_col: str, spans_col: str, scheme: str = "BIO", out: str = "tags", aligned: str | None = None, owners: str | None = None) -> DataFrame:
     """Adds ``out``: a tag for each token of an array of (start, end, ...), from an array of spans (ord, start, end, aspect).
 
-    ``aligned`` names a column for the number of spans that have a token of their own. Special tokens are (0, 0) and get ``O``.
+    ``aligned`` names a column for the number of spans that have a token of their own, ``owners`` one for their ords. Special tokens are (0, 0) and get ``O``.
 
     A token belongs to the first span, by ``ord``, that overlaps it; a span's first own token
-    begins it (BIO). Row-local: no token is exploded or shuffled.
+    begins it (BIO). Row-local: no token is exploded or shuffled, and rows without spans don't leave the JVM.
     """
     spans = F.array_sort(F.transform(spans_col, lambda s: F.struct(s["ord"].alias("ord"), s["start"].alias("start"), s["end"].alias("end"), s["aspect"].alias("aspect"))))
     none = F.array().cast("array<struct<ord: bigint, start: int, end: int, aspect: string>>")
-    own = lambda t, ss: F.get(F.filter(ss, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])), F.lit(0))
-    rows = df.withColumn("_own", X.let(F.coalesce(spans, none), lambda ss: F.transform(tokens_col, lambda t: own(t, ss))))
-    ords = F.transform("_own", lambda s: s["ord"])
-    first = lambda s, i, os: F.array_position(os, s["ord"]) == i + 1
-    kind = (lambda s, i, os: F.when(first(s, i, os), "B-").otherwise("I-")) if scheme == "BIO" else (lambda s, i, os: F.lit("I-"))
-    tags = X.let(ords, lambda os: F.transform("_own", lambda s, i: F.when(s.isNull(), "O").otherwise(F.concat(kind(s, i, os), s["aspect"]))))
-    rows = rows.withColumn(out, tags)
+    rows = df.withColumn("_spans", F.coalesce(spans, none))
+    some = lambda c, f: F.when(F.size("_spans") > 0, F.transform(c, f))
+    codes = _owners(
+        some(tokens_col, lambda t: t["start"].cast("int")), some(tokens_col, lambda t: t["end"].cast("int")),
+        some("_spans", lambda s: s["start"].cast("int")), some("_spans", lambda s: s["end"].cast("int")), some("_spans", lambda s: s["ord"].cast("long")),
+    )
+    rows = rows.withColumn("_codes", codes)
+    kind = (lambda c: F.when(c % 2 == 1, "B-").otherwise("I-")) if scheme == "BIO" else (lambda c: F.lit("I-"))
+    tags = F.transform("_codes", lambda c: F.when(c < 0, "O").otherwise(F.concat(kind(c), F.get("_spans", F.shiftright(c, 1))["aspect"])))
+    rows = rows.withColumn(out, F.coalesce(tags, F.transform(tokens_col, lambda t: F.lit("O"))))
+    begun = F.coalesce(F.filter("_codes", lambda c: (c >= 0) & (c % 2 == 1)), F.array().cast("array<int>"))
     if aligned:
-        rows = rows.withColumn(aligned, F.size(F.array_distinct(F.filter(ords, lambda o: o.isNotNull()))))
-    return rows.drop("_own")
+        rows = rows.withColumn(aligned, F.size(begun))
+    if owners:
+        rows = rows.withColumn(owners, F.transform(begun, lambda c: F.get("_spans", F.shiftright(c, 1))["ord"]))
+    return rows.drop("_spans", "_codes")
 
 
 def alignment_stats(rows: DataFrame) -> DataFrame:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import hashlib
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
-from spanloom.operators.datasets import numbered as number_rows
-from spanloom.operators.spans import covering, decode_lenient, within
+from spanloom.operators.spans import decode_lenient, meeting
 from spanloom.schemas import ASPECTS, IGNORE
-from spanloom.storage import materialize
-
-#: Rows of four numbers that a bootstrap broadcasts.
-BROADCAST_EXAMPLES = 1_000_000
 
 _KEY = "example_id"
 
@@ -76,11 +75,9 @@ def averages(by_aspect: DataFrame) -> DataFrame:
 
 def relaxed_counts(df: DataFrame, *keep: str) -> DataFrame:
     """``n_gold, n_pred, gold_hit, pred_hit`` of each row: hit is a span that shares a token with one of its aspect on the other side."""
-    size = F.size("gold")
-    covered = covering(covering(df, "gold_spans", size, "_gc"), "pred_spans", size, "_pc")
-    hits = lambda spans, cover: X.let(cover, lambda v: F.size(F.filter(spans, lambda s: F.exists(within(v, s), lambda c: c["aspect"] == s["aspect"]))).cast("long"))
+    hits = lambda side: F.size(F.filter(side, lambda x: F.exists(x["met"], lambda c: c["aspect"] == x["s"]["aspect"]))).cast("long")
     n = lambda c: F.size(c).cast("long")
-    return covered.select(*keep, n("gold_spans").alias("n_gold"), n("pred_spans").alias("n_pred"), hits("gold_spans", "_pc").alias("gold_hit"), hits("pred_spans", "_gc").alias("pred_hit"))
+    return _met(df).select(*keep, n("gold_spans").alias("n_gold"), n("pred_spans").alias("n_pred"), hits("_gold").alias("gold_hit"), hits("_pred").alias("pred_hit"))
 
 
 def relaxed_scores() -> list[Column]:
@@ -88,9 +85,15 @@ def relaxed_scores() -> list[Column]:
     return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1")]
 
 
-def relaxed_prf(df: DataFrame) -> DataFrame:
-    """Micro scores where a span counts that shares a token with one of its aspect on the other side."""
+def relaxed_prf(df: DataFrame, by_aspect: bool = False) -> DataFrame:
+    """Micro scores where a span counts that shares a token with one of its aspect on the other side, of all or of each aspect that occurs."""
     names = ("n_gold", "n_pred", "gold_hit", "pred_hit")
+    if by_aspect:
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        hit = lambda x: F.exists(x["met"], lambda c: c["aspect"] == x["s"]["aspect"]).cast("long")
+        of = lambda side, *n: F.transform(side, lambda x: F.struct(x["s"]["aspect"].alias("aspect"), *[v(x).alias(k) for k, v in zip(names, n)]))
+        each = F.concat(of("_gold", lambda x: one, lambda x: none, hit, lambda x: none), of("_pred", lambda x: none, lambda x: one, lambda x: none, hit))
+        return X.unnest(_met(df).withColumn("_x", each), "_x", item="x").select("x.*").groupBy("aspect").agg(*_sums(*names)).select("aspect", *names, *relaxed_scores())
     return relaxed_counts(df).agg(*_sums(*names)).select(*names, *relaxed_scores())
 
 
@@ -120,25 +123,23 @@ def _tally(df: DataFrame, kinds: Column) -> DataFrame:
     return df.select(F.explode_outer(kinds).alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _covered(df: DataFrame) -> DataFrame:
-    size = F.size("gold")
-    return covering(covering(df, "gold_spans", size, "_gc"), "pred_spans", size, "_pc")
+def _met(df: DataFrame) -> DataFrame:
+    """``_gold`` and ``_pred``: each side's spans with those of the other side that they share a token with."""
+    return meeting(meeting(df, "gold_spans", "pred_spans", "_gold"), "pred_spans", "gold_spans", "_pred")
 
 
 def errors_simple(df: DataFrame) -> DataFrame:
     """``kind, n``: examples that are right, and the kinds of wrong spans in the others."""
-    same = lambda cover, s: F.exists(within(cover, s), lambda c: c == s)
 
-    def kind(cover: Column, s: Column) -> Column:
-        near = within(cover, s)
-        return F.when(F.size(near) == 0, "false_negative").when(F.exists(near, lambda c: c["aspect"] == s["aspect"]), "span_boundary").otherwise("aspect_confusion")
+    def kind(x: Column) -> Column:
+        own = F.exists(x["met"], lambda c: c["aspect"] == x["s"]["aspect"])
+        return F.when(F.size(x["met"]) == 0, "false_negative").when(own, "span_boundary").otherwise("aspect_confusion")
 
-    unlike = lambda spans, cover: X.let(cover, lambda v: F.filter(spans, lambda s: ~same(v, s)))
-    rows = _covered(df).withColumns({"_missed": unlike("gold_spans", "_pc"), "_extra": unlike("pred_spans", "_gc")})
-    lone = X.let("_gc", lambda v: F.filter("_extra", lambda s: F.size(within(v, s)) == 0))
+    unlike = lambda side: F.filter(side, lambda x: ~F.exists(x["met"], lambda c: c == x["s"]))
+    rows = _met(df).withColumns({"_missed": unlike("_gold"), "_extra": unlike("_pred")})
+    lone = F.filter("_extra", lambda x: F.size(x["met"]) == 0)
     right = F.when((F.size("_missed") == 0) & (F.size("_extra") == 0), "correct")
-    missed = X.let("_pc", lambda v: F.transform("_missed", lambda s: kind(v, s)))
-    return _tally(rows, F.concat(F.array(right), missed, F.transform(lone, lambda s: F.lit("false_positive"))))
+    return _tally(rows, F.concat(F.array(right), F.transform("_missed", kind), F.transform(lone, lambda s: F.lit("false_positive"))))
 
 
 def errors_boundary(df: DataFrame, tokens_col: str | None = None, prefixes: str = "", shares: bool = False) -> DataFrame:
@@ -149,9 +150,9 @@ def errors_boundary(df: DataFrame, tokens_col: str | None = None, prefixes: str
     too where the token at the boundary (of the array ``tokens_col``) begins with one of ``prefixes``.
     With ``shares`` a column ``share`` tells the part of all gold spans (of all predicted ones for ``false_positive``).
     """
-    rows = _covered(df)
+    rows = _met(df)
     order = lambda s, c: F.struct((c["aspect"] != s["aspect"]).alias("other"), c["start"].alias("start"), c["end"].alias("end"))
-    pairs = X.let("_pc", lambda v: F.transform("gold_spans", lambda s: F.struct(s.alias("s"), F.array_min(F.transform(within(v, s), lambda c: order(s, c))).alias("p"))))
+    pairs = F.transform("_gold", lambda x: F.struct(x["s"].alias("s"), F.array_min(F.transform(x["met"], lambda c: order(x["s"], c))).alias("p")))
     rows = rows.withColumn("_pairs", pairs)
     texts = F.col(tokens_col) if tokens_col else F.array().cast("array<string>")
 
@@ -167,7 +168,7 @@ def errors_boundary(df: DataFrame, tokens_col: str | None = None, prefixes: str
         letter = F.substring(F.get(ws, edge), 1, 1) if tokens_col and prefixes else F.lit(None).cast("string")
         return F.array(kind, F.when(by_one, "off_by_one"), F.when(by_one & letter.isin(*(prefixes or [""])), "prefix_error"))
 
-    extra = X.let("_gc", lambda v: F.transform(F.filter("pred_spans", lambda s: F.size(within(v, s)) == 0), lambda s: F.lit("false_positive")))
+    extra = F.transform(F.filter("_pred", lambda x: F.size(x["met"]) == 0), lambda s: F.lit("false_positive"))
     counts = _tally(rows, F.concat(F.flatten(X.let(texts, lambda ws: F.transform("_pairs", lambda x: kinds(x, ws)))), extra))
     if not shares:
         return counts
@@ -328,25 +329,54 @@ def either_holds(a: Column, b: Column) -> Column:
     return (a["aspect"] == b["aspect"]) & (F.contains(a["span"], b["span"]) | F.contains(b["span"], a["span"]))
 
 
+def _poisson_bounds() -> np.ndarray:
+    """Where the distribution function of Poisson(1) lies on a scale of 2 ** 16: a draw's weight is the number of bounds up to it."""
+    found, upto, k = [], 0.0, 0
+    while (bound := int(65536 * (upto := upto + math.exp(-1) / math.factorial(k)))) < 65536 and k < 8:
+        found.append(bound)
+        k += 1
+    return np.array(found)
+
+
+BOUNDS = _poisson_bounds()
+#: Rounds whose draws come from one hash, and examples whose weights stand in memory at a time.
+DRAWS, DRAWN = 8, 512
+
+
+def draw_weights(keys: Sequence[str], rounds: int, seed: str) -> np.ndarray:
+    """How often each example is drawn in each round: Poisson(1) by the hash of seed, example and round, examples x rounds."""
+    blocks = -(-rounds // DRAWS)
+    heads = [f"{seed}|{key}|".encode() for key in keys]
+    tails = [str(k).encode() for k in range(blocks)]
+    drawn = np.frombuffer(b"".join([hashlib.md5(h + t).digest() for h in heads for t in tails]), ">u2").reshape(len(keys), blocks * DRAWS)
+    return np.searchsorted(BOUNDS, drawn[:, :rounds], "right")
+
+
 def bootstrap_f1(
     stats: DataFrame, rounds: int = 1000, seed: str = "42", low: float = 0.025, high: float = 0.975,
     top: Sequence[tuple[str, float]] = (("tp", 2.0),), bottom: Sequence[str] = ("n_pred", "n_gold"),
 ) -> DataFrame:
-    """Percentile interval of a micro F1 from the examples' sums (``example_id`` and counts).
+    """Percentile interval of a micro F1 from the examples' sums (``example_id`` and whole counts; null counts are 0).
 
     The score of a round is the weighted sum of ``top`` over the sum of ``bottom``: 2 * tp / (n_pred + n_gold) by
-    default. Examples are numbered by id and drawn by hash, the same in every engine. Their
-    sums are written once and, up to ``BROADCAST_EXAMPLES``, broadcast to the draws, which are then added
-    up per round where they are made; beyond, draws and examples meet in a shuffle join.
+    default. How often a round draws an example is Poisson(1) by a hash of both, the bootstrap's multinomial without its fixed total,
+    so examples need no numbers and no order: each task adds all rounds' weighted sums up in one pass, and only those
+    (rounds x counts for a task) are shuffled. Rows of one id are drawn together.
     """
     names = [*dict.fromkeys([n for n, _ in top] + list(bottom))]
-    stats = materialize(stats.select(_KEY, *names), "bootstrap")
-    n = stats.count()
-    numbered = number_rows(stats, _KEY).select("i", *names)
-    numbered = F.broadcast(numbered) if n <= BROADCAST_EXAMPLES else numbered
-    draws = stats.sparkSession.range(rounds * n).select((F.col("id") / max(n, 1)).cast("long").alias("round"), (F.col("id") % max(n, 1)).alias("slot"))
-    draws = draws.withColumn("i", X.hash_index(F.concat_ws("|", "round", "slot"), max(n, 1), seed))
-    sums = draws.join(numbered, "i").groupBy("round").agg(*[F.sum(c).alias(c) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((rounds, len(names)), np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, DRAWN):
+                part = batch.slice(k, DRAWN)
+                counts = np.stack([part.column(1 + i).to_numpy() for i in range(len(names))], 1)
+                sums += draw_weights(part.column(0).to_pylist(), rounds, seed).T @ counts
+        yield pa.RecordBatch.from_arrays([pa.array(range(rounds), pa.int32()), *(pa.array(sums[:, i]) for i in range(len(names)))], ["round", *names])
+
+    slim = stats.select(F.col(_KEY).cast("string").alias(_KEY), *[F.coalesce(F.col(n).cast("long"), F.lit(0).cast("long")).alias(n) for n in names])
+    drawn = slim.mapInArrow(run, ", ".join(["round int", *(f"`{n}` long" for n in names)]))
+    sums = drawn.groupBy("round").agg(*[F.sum(c).alias(c) for c in names])
     above, below = reduce(add, [F.col(c) * w for c, w in top]), reduce(add, [F.col(c) for c in bottom])
     return sums.select(ratio(above, below).alias("f1")).agg(
         F.count("*").alias("rounds"), F.round(F.avg("f1"), 6).alias("mean"),

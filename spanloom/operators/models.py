@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.taggers import Batch, viterbi_batch
+
 
 def viterbi(emissions: np.ndarray, transitions: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[int]:
     """The best tag path of (places, tags) scores; on ties the smallest tag."""
@@ -27,11 +29,20 @@ def viterbi(emissions: np.ndarray, transitions: np.ndarray, begin: np.ndarray, e
 
 
 def decode_paths(df: DataFrame, scores_col: str, transitions: np.ndarray, begin: np.ndarray, end: np.ndarray) -> DataFrame:
-    """Adds ``path``: the best tags of an array<array<double>> of scores."""
-
-    @F.pandas_udf("array<int>")
-    def best(scores: pd.Series) -> pd.Series:
-        return pd.Series([viterbi(np.array([list(r) for r in s], float).reshape(-1, len(begin)), transitions, begin, end) for s in scores])
+    """Adds ``path``: the best tags of an array<array<double>> of scores, null for null; a batch's rows are decoded together."""
+
+    @F.arrow_udf("array<int>")
+    def best(scores: pa.Array) -> pa.Array:
+        listed = [None if s is None else np.array(s, float).reshape(-1, len(begin)) for s in scores.to_pylist()]
+        full = [i for i, s in enumerate(listed) if s is not None and len(s)]
+        sizes = np.array([len(listed[i]) for i in full], np.int64)
+        full = [full[k] for k in np.argsort(-sizes, kind="stable")]
+        out: list = [None if s is None else [] for s in listed]
+        if full:
+            batch = Batch(np.empty((0, 0)), np.empty(0), np.array([len(listed[i]) for i in full]), np.array(full))
+            for i, path in zip(full, viterbi_batch(np.concatenate([listed[i] for i in full]), batch, transitions, begin, end)):
+                out[i] = path
+        return pa.array(out, pa.list_(pa.int32()))
 
     return df.withColumn("path", best(scores_col))
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from spanloom.functions import text as X
 
@@ -66,15 +69,35 @@ def rows_of(df: DataFrame, spans_col: str = "spans", key: str = _KEY) -> DataFra
     return X.unnest(df, spans_col, key, item="s").select(key, "s.*")
 
 
-def covering(df: DataFrame, spans_col: str, size: Column, out: str) -> DataFrame:
-    """Adds ``out``: for each of ``size`` tokens the span it is in, or null; spans are in order and apart, as the decoders give them."""
-    rows = df.withColumn("_b", F.concat(F.array(F.lit(0)), F.transform(spans_col, lambda s: s["end"] + 1)))
-    none = F.lit(None).cast("struct<aspect: string, start: int, end: int>")
-    part = lambda b, s, n: F.when(s.isNull(), F.array_repeat(none, n - b)).otherwise(F.concat(F.array_repeat(none, s["start"] - b), F.array_repeat(s, s["end"] - s["start"] + 1)))
-    parts = X.let(size, lambda n: F.zip_with("_b", spans_col, lambda b, s: part(b, s, n)))
-    return rows.withColumn(out, F.flatten(parts)).drop("_b")
+@F.arrow_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("n", IntegerType())])))
+def _stretches(starts: pa.Array, ends: pa.Array, other_starts: pa.Array, other_ends: pa.Array) -> pa.Array:
+    """For each span of a row the stretch of the other side's spans that share a token with it.
 
+    Both sides are in order and apart, so two sorted searches over a whole batch find all stretches: rows are kept apart by adding
+    a row's number times more than any place to its places.
+    """
+    apart = 1 + max((int(c.values.to_numpy(zero_copy_only=False).max(initial=0)) for c in (ends, other_ends)), default=0)
 
-def within(cover: Column | str, span: Column) -> Column:
-    """What stands at the tokens of a span; inside a lambda ``cover`` must be a ``let`` value."""
-    return F.filter(F.slice(cover, span["start"] + 1, span["end"] - span["start"] + 1), lambda c: c.isNotNull())
+    def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        size = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat + np.repeat(np.arange(len(size)) * apart, size), size
+
+    (begin, size), (end, _), (other_begin, other_size), (other_end, _) = map(places, (starts, ends, other_starts, other_ends))
+    first = np.searchsorted(other_end, begin, "left")
+    n = np.searchsorted(other_begin, end, "right") - first
+    first = first - np.repeat(np.cumsum(other_size) - other_size, size)
+    values = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["first", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values)
+
+
+def meeting(df: DataFrame, spans_col: str, other_col: str, out: str) -> DataFrame:
+    """Adds ``out``: for each span of an array a struct (s, met) of it and the other array's spans that share a token with it, in order.
+
+    Spans are in order and apart, as the decoders give them; a null array has none. Linear in the spans, whatever the length of the text.
+    """
+    some = lambda c: F.coalesce(F.col(c), F.array().cast(SPANS))
+    at = lambda c, k: F.transform(some(c), lambda s: s[k])
+    rows = df.withColumn("_at", _stretches(at(spans_col, "start"), at(spans_col, "end"), at(other_col, "start"), at(other_col, "end")))
+    made = F.zip_with(some(spans_col), "_at", lambda s, x: F.struct(s.alias("s"), F.slice(some(other_col), x["first"] + 1, x["n"]).alias("met")))
+    return rows.withColumn(out, made).drop("_at")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PythonException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
@@ -59,15 +60,22 @@ def encode(df: DataFrame, text_col: str, make: Callable[[], Tokenizer], out: str
     return df.withColumn(out, tokens(text_col))
 
 
-def model_columns(tokens: Column | str, tags: Column, scheme: Mapping[str, int]) -> list[Column]:
-    """``input_ids, attention_mask, labels`` for a model: padding is masked, special tokens have the ignored label."""
+def model_columns(tokens: Column | str, tags: Column, scheme: Mapping[str, int], pad_token: str = "[PAD]", second: Column | None = None) -> list[Column]:
+    """``input_ids, attention_mask, token_type_ids, labels`` for a model: padding (``pad_token``) is masked, special tokens have the ignored label.
+
+    The type of a token is 0, and 1 from the character ``second`` on, where a text's second part begins; special tokens have type 0.
+    """
     field = lambda name: F.transform(tokens, lambda t: t[name])
-    masked = F.transform(tokens, lambda t: F.when(t["special"] & (t["token"] == "[PAD]"), 0).otherwise(1))
-    return [field("id").alias("input_ids"), masked.alias("attention_mask"), label_ids(tags, scheme, field("special")).alias("labels")]
+    masked = F.transform(tokens, lambda t: F.when(t["special"] & (t["token"] == pad_token), 0).otherwise(1))
+    kind = F.transform(tokens, lambda t: F.when(~t["special"] & (t["start"] >= second), 1).otherwise(0)) if second is not None else F.transform(tokens, lambda t: F.lit(0))
+    return [field("id").alias("input_ids"), masked.alias("attention_mask"), kind.alias("token_type_ids"), label_ids(tags, scheme, field("special")).alias("labels")]
 
 
 def align_examples(examples: DataFrame, tokens_col: str = "tokens", scheme: str = "BIO", gold: bool = False, reply_col: str | None = None, shift_col: str | None = None) -> DataFrame:
-    """Adds ``tags``, ``aligned``, ``truncated``, ``hallucinated`` to rows of a text's tokens and ``modifications`` (span, aspect).
+    """Adds ``tags``, ``aligned``, ``truncated``, ``hallucinated``, ``failed`` to rows of a text's tokens and ``modifications`` (span, aspect).
+
+    ``failed`` lists the spans that no token is tagged for (span, aspect, reason): ``not_found`` in the text, ``truncated`` behind the last
+    token, or ``no_token`` where others own its tokens.
 
     With ``reply_col`` and ``shift_col`` spans are looked for in the reply only, so that nothing in the question
     before it matches, and moved by the prefix's length. ``gold`` rows also look
@@ -82,24 +90,37 @@ def align_examples(examples: DataFrame, tokens_col: str = "tokens", scheme: str
         rows = L.locate_all(rows, "text", "modifications", "_f", skip_blank=True)
         rows = rows.withColumn("_m", F.zip_with("_m", "_f", lambda m, f: F.when(m["start"].isNull(), f).otherwise(m))).drop("_f")
     rows = rows.withColumn("_found", F.filter("_m", lambda m: m["start"].isNotNull()))
-    rows = L.align(rows, tokens_col, "_found", scheme, "tags", "aligned")
+    rows = L.align(rows, tokens_col, "_found", scheme, "tags", "aligned", "_owners")
     last = F.coalesce(F.array_max(F.transform(tokens_col, lambda t: t["end"])), F.lit(0))
     cut = F.lit(0) if gold else X.let(last, lambda end: F.size(F.filter("_found", lambda m: m["start"] >= end)))
     rows = rows.withColumn("truncated", cut)
-    return rows.withColumn("hallucinated", F.size("_m") - F.col("aligned") - F.col("truncated")).drop("_m", "_found")
+    lost = lambda m, end: F.when(m["start"].isNull(), "not_found").when(F.lit(not gold) & (m["start"] >= end), "truncated").otherwise("no_token")
+    failed = X.let(last, lambda end: F.transform(F.filter("_m", lambda m: ~F.array_contains("_owners", m["ord"])), lambda m: F.struct(m["span"].alias("span"), m["aspect"].alias("aspect"), lost(m, end).alias("reason"))))
+    rows = rows.withColumn("failed", failed)
+    return rows.withColumn("hallucinated", F.size("_m") - F.col("aligned") - F.col("truncated")).drop("_m", "_found", "_owners")
+
+
+def failed_spans(aligned: DataFrame, id_col: str, most: int | None = None) -> DataFrame:
+    """``id, span, aspect, reason`` of the spans that alignment failed; with ``most`` the first of each reason, for a report."""
+    rows = X.unnest(aligned, "failed", id_col, pos="ord", item="f").select(id_col, "ord", "f.*")
+    if most is None:
+        return rows.drop("ord")
+    first = Window.partitionBy("reason").orderBy(id_col, "ord")
+    return rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n", "ord")
 
 
 def align_for_models(examples: DataFrame, makers: Mapping[str, Callable[[DataFrame], DataFrame]], **how) -> tuple[DataFrame, dict[str, str]]:
     """Gold rows for several tokenizers, with a column ``model``; and the errors of those that could not be made.
 
-    A maker adds ``tokens`` to the examples. One that fails when it is tried on no rows is left out.
+    A maker adds ``tokens`` to the examples. It is tried on one example; one that its tokenizer's library, a missing file or
+    missing module fails is left out. What fails otherwise (a lost cluster, a wrong column) fails the call.
     """
     out, errors = None, {}
     for name, add in makers.items():
         try:
+            add(examples.limit(1)).select("tokens").collect()
             made = align_examples(add(examples), scheme="IO", gold=True, **how).withColumn("model", F.lit(name))
-            made.limit(0).collect()
-        except Exception as e:  # one model's failure is not the others'
+        except (PythonException, ImportError, OSError, ValueError) as e:  # one model's failure is not the others'
             errors[name] = str(e)
             continue
         out = made if out is None else out.unionByName(made, allowMissingColumns=True)

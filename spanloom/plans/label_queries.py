@@ -118,26 +118,28 @@ def pending_limit(spark, sf_dir):
 
 
 def _against(spark, sf_dir):
-    """The first pass as gold, the second of other rows as the teacher's, in two tables."""
+    """The first pass as gold, the second of other rows as the teacher's, in two tables; every third row's teacher has a word more, every seventh's another word."""
     rows = annotations(spark, sf_dir)
     gold = rows.where("out1 is not null").select("doc_id", N.span_pairs(F.col("out1")).alias("gold"))
-    silver = rows.where("doc_id % 5 <> 0").select("doc_id", N.span_pairs(F.col("out2")).alias("silver"))
+    wrong = lambda p: p.withField("span", F.when(F.col("doc_id") % 7 == 0, "other").when(F.col("doc_id") % 3 == 0, F.concat(p["span"], F.lit(" more"))).otherwise(p["span"]))
+    silver = rows.where("doc_id % 5 <> 0").select("doc_id", F.transform(N.span_pairs(F.col("out2")), wrong).alias("silver"))
     return gold, silver
 
 
 _AGAINST = f"""{A_SQL},
-g AS (SELECT doc_id, unnest(m1) AS m FROM passes WHERE f1 IS NOT NULL),
-s AS (SELECT doc_id, unnest(m2) AS m FROM passes WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND doc_id % 5 <> 0),
-j AS (SELECT coalesce(g.m.a, s.m.a) AS aspect, g.m IS NOT NULL AS g, s.m IS NOT NULL AS s FROM g FULL JOIN s ON g.doc_id = s.doc_id AND g.m = s.m),
-c AS (SELECT KEY count(*) FILTER (WHERE g AND s) AS tp, count(*) FILTER (WHERE s) AS n_pred, count(*) FILTER (WHERE g) AS n_gold FROM j GROUP_BY),
-p AS (SELECT *, coalesce(tp / nullif(CAST(n_pred AS DOUBLE), 0), 0) AS p, coalesce(tp / nullif(CAST(n_gold AS DOUBLE), 0), 0) AS r FROM c)
-SELECT KEY tp, n_pred, n_gold, tp AS matches, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1,
-  round(p, 6) AS relaxed_precision, round(r, 6) AS relaxed_recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS relaxed_f1 FROM p"""
+g AS (SELECT doc_id, m.a AS aspect, m.w AS w FROM (SELECT doc_id, unnest(m1) AS m FROM passes WHERE f1 IS NOT NULL)),
+s AS (SELECT doc_id, m.a AS aspect, CASE WHEN doc_id % 7 = 0 THEN 'other' WHEN doc_id % 3 = 0 THEN m.w || ' more' ELSE m.w END AS w FROM (SELECT doc_id, unnest(m2) AS m FROM passes WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND doc_id % 5 <> 0)),
+j AS (SELECT coalesce(g.aspect, s.aspect) AS aspect, g.w IS NOT NULL AS g, s.w IS NOT NULL AS s, g.w IS NOT NULL AND s.w = g.w AS same, g.w IS NOT NULL AND s.w IS NOT NULL AND list_has_any(string_split(g.w, ' '), string_split(s.w, ' ')) AS near
+  FROM g FULL JOIN s ON g.doc_id = s.doc_id AND g.aspect = s.aspect),
+c AS (SELECT KEY count(*) FILTER (WHERE same) AS tp, count(*) FILTER (WHERE near) AS matches, count(*) FILTER (WHERE s) AS n_pred, count(*) FILTER (WHERE g) AS n_gold FROM j GROUP_BY),
+p AS (SELECT *, coalesce(tp / nullif(CAST(n_pred AS DOUBLE), 0), 0) AS p, coalesce(tp / nullif(CAST(n_gold AS DOUBLE), 0), 0) AS r, coalesce(matches / nullif(CAST(n_pred AS DOUBLE), 0), 0) AS rp, coalesce(matches / nullif(CAST(n_gold AS DOUBLE), 0), 0) AS rr FROM c)
+SELECT KEY tp, n_pred, n_gold, matches, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1,
+  round(rp, 6) AS relaxed_precision, round(rr, 6) AS relaxed_recall, round(coalesce(2 * rp * rr / nullif(rp + rr, 0), 0), 6) AS relaxed_f1 FROM p"""
 
 
 @query("WITH " + _AGAINST.replace("KEY ", "").replace("GROUP_BY", ""))
 def teacher_vs_gold(spark, sf_dir):
-    """The teacher's spans against gold by a join on the key; here every aspect has one word, so exact and relaxed matches are the same."""
+    """The teacher's spans against gold by a join on the key."""
     return M.pair_scores(M.against_gold(*_against(spark, sf_dir), "doc_id"))
 
 

@@ -70,14 +70,13 @@ def word_tokens(spark, sf_dir):
     return X.unnest(tokens(spark, sf_dir), "tokens", "example_id", pos="pos", item="t").select("example_id", "pos", "t.*")
 
 
-_SPANS = """
-spans AS MATERIALIZED (SELECT example_id, item_id AS ord, CAST(instr(text, span) - 1 AS INT) AS s, CAST(instr(text, span) - 1 + length(span) AS INT) AS e, ['SUBSTITUTION', 'QUANTITY', 'TECHNIQUE', 'ADDITION'][item_id % 4 + 1] AS aspect FROM found)"""
-_ALIGN = f"""WITH {K_SQL}, {B_SQL},{_SPANS},
-near AS MATERIALIZED (SELECT * FROM toks WHERE example_id IN (SELECT example_id FROM spans)),
-met AS MATERIALIZED (SELECT t.example_id, t.pos, t.start, t."end", s.ord, s.aspect, s.s, s.e FROM near t JOIN spans s ON s.example_id = t.example_id),
-own AS (SELECT example_id, pos, min({{'ord': ord, 'aspect': aspect}}) AS o FROM met WHERE start < e AND "end" > s GROUP BY example_id, pos),
-tagged AS (SELECT example_id, pos, o.aspect AS aspect, row_number() OVER (PARTITION BY example_id, o.ord ORDER BY pos) AS n FROM own)
-SELECT t.example_id, CAST(t.pos AS INT) AS pos, t.token, coalesce(KIND || g.aspect, 'O') AS tag FROM toks t LEFT JOIN tagged g ON t.example_id = g.example_id AND t.pos = g.pos"""
+#: Tokens are made once, with a number of their own; what meets spans is a small table that is joined to them by that number.
+_ALIGN = f"""WITH {K_SQL}, {B_SQL},
+words AS MATERIALIZED (SELECT example_id * 1000000 + pos AS k, example_id, CAST(pos AS INT) AS pos, token, start, "end" FROM toks),
+spans AS MATERIALIZED (SELECT example_id, item_id AS ord, CAST(instr(text, span) - 1 AS INT) AS s, CAST(instr(text, span) - 1 + length(span) AS INT) AS e, ['SUBSTITUTION', 'QUANTITY', 'TECHNIQUE', 'ADDITION'][item_id % 4 + 1] AS aspect FROM found),
+own AS MATERIALIZED (SELECT w.k, min({{'ord': ord, 'aspect': aspect}}) AS o FROM spans s JOIN words w ON w.example_id = s.example_id WHERE w.start < s.e AND w."end" > s.s GROUP BY w.k),
+tagged AS MATERIALIZED (SELECT k, KIND || o.aspect AS tag FROM (SELECT k, o, row_number() OVER (PARTITION BY k // 1000000, o.ord ORDER BY k) AS n FROM own))
+SELECT example_id, pos, token, coalesce(tag, 'O') AS tag FROM words LEFT JOIN tagged USING (k)"""
 
 
 def _spans(spark, sf_dir):
@@ -95,7 +94,7 @@ def _aligned(spark, sf_dir, scheme):
     return X.unnest(tagged.withColumn("t", F.arrays_zip("tokens", "tags")), "t", "example_id", pos="pos", item="t").select("example_id", "pos", F.col("t.tokens.token").alias("token"), F.col("t.tags").alias("tag"))
 
 
-@query(_ALIGN.replace("KIND", "CASE WHEN g.n = 1 THEN 'B-' ELSE 'I-' END"))
+@query(_ALIGN.replace("KIND", "CASE WHEN n = 1 THEN 'B-' ELSE 'I-' END"))
 def align_bio(spark, sf_dir):
     return _aligned(spark, sf_dir, "BIO")
 
@@ -175,12 +174,12 @@ def io_to_bio(spark, sf_dir):
     return _exploded(_io(spark, sf_dir).withColumn("bio", S.io_to_bio(F.col("tags"))), "bio")
 
 
-@query(f"""WITH {K_SQL}, b AS MATERIALIZED (SELECT t.example_id, t.pos, t.start, t."end", length(t.token) % 3 AS label FROM toks t),
-g AS MATERIALIZED (SELECT example_id, pos, start + pos % 2 AS start, "end" + 2 AS "end" FROM toks),
-near AS (SELECT g.example_id, g.pos, g.start, g."end", b.label, b.start AS s, b."end" AS e FROM (SELECT *, unnest([-1, 0, 1, 2]) AS d FROM g) g JOIN b ON b.example_id = g.example_id AND b.pos = g.pos + g.d),
-h AS (SELECT example_id, pos, label, count(*) AS n FROM near WHERE start < e AND "end" > s AND label <> 0 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY example_id, pos ORDER BY n DESC, label) AS k FROM h)
-SELECT g.example_id, CAST(g.pos AS INT) AS pos, CAST(coalesce(r.label, 0) AS INT) AS label FROM g LEFT JOIN r ON r.example_id = g.example_id AND r.pos = g.pos AND k = 1""")
+@query(f"""WITH {K_SQL},
+b AS MATERIALIZED (SELECT example_id * 1000000 + pos AS k, start AS s, "end" AS e, length(token) % 3 AS label FROM toks),
+g AS MATERIALIZED (SELECT example_id * 1000000 + pos AS k, start + pos % 2 AS start, "end" + 2 AS "end" FROM toks),
+near AS (SELECT g.k, b.label, count(*) AS n FROM (SELECT *, unnest([-1, 0, 1, 2]) AS d FROM g) g JOIN b ON b.k = g.k + g.d WHERE start < e AND "end" > s AND label <> 0 GROUP BY g.k, b.label),
+r AS MATERIALIZED (SELECT k, max({{'n': n, 'l': -label}}) AS top FROM near GROUP BY k)
+SELECT k // 1000000 AS example_id, CAST(k % 1000000 AS INT) AS pos, CAST(coalesce(-r.top.l, 0) AS INT) AS label FROM g LEFT JOIN r USING (k)""")
 def label_transfer(spark, sf_dir):
     """Words' labels to tokens that begin up to one character later and end two later, which touch no more than the next two words."""
     t = word_tokens(spark, sf_dir)

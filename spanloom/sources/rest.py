@@ -13,7 +13,7 @@ import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 class HttpError(Exception):
@@ -97,6 +97,11 @@ _READ = {
 }
 
 
+def _client(dotted: str) -> Callable[[str, dict], dict]:
+    module, _, name = dotted.rpartition(".")
+    return getattr(importlib.import_module(module), name)
+
+
 class _Key(InputPartition):
     def __init__(self, key: str):
         super().__init__(key)
@@ -111,14 +116,77 @@ class _Reader(DataSourceReader):
         return [_Key(k) for k in (map(",".join, batches(keys)) if self.options["kind"] == "details" else keys)]
 
     def read(self, partition):
-        module, _, name = self.options["client"].rpartition(".")
-        fetch = getattr(importlib.import_module(module), name)
+        fetch = _client(self.options["client"])
         for item in _READ[self.options["kind"]](fetch, partition.value, int(self.options.get("most", 50))):
             yield partition.value, json.dumps(item, ensure_ascii=False)
 
 
+#: What is asked for each key of a stream: the service's kind of request, and the name of the parameter that holds the key.
+_STREAMED = {"threads": ("commentThreads", "videoId"), "search": ("search", "q"), "videos": ("playlistItems", "playlistId")}
+
+
+class _Page(InputPartition):
+    def __init__(self, key: str, token: str):
+        super().__init__((key, token))
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Pages of all keys as a stream. An offset has each key's next page token (none once it is read through) and the pages of its batch.
+
+    So a batch that is made again asks for the same pages, and a query that is started again goes on behind the last ones. A trigger
+    admits ``pages`` pages at most, dealt to the keys in turn. To plan them the driver asks for a page's
+    following token only; the pages themselves are read by the tasks, one each.
+    """
+
+    def __init__(self, options: dict):
+        self.keys, self.admitted = json.loads(options["keys"]), int(options.get("pages", 10))
+        self.size = int(options.get("page_size", 50))
+        self.kind, self.name = _STREAMED[options["kind"]]
+        self.client, self.now = options["client"], None
+
+    def ask(self, key: str, token: str, **more) -> dict:
+        params = {self.name: key, "maxResults": self.size, "pageToken": token or None} | more
+        return with_retry(lambda: _client(self.client)(self.kind, params))
+
+    def initialOffset(self) -> dict:
+        return {"next": {k: "" for k in self.keys}, "pages": []}
+
+    def latestOffset(self) -> dict:
+        now = self.now or self.initialOffset()
+        following, taken = dict(now["next"]), []
+        for key in self.keys:  # keys that the checkpoint doesn't know yet
+            following.setdefault(key, "")
+        while len(taken) < self.admitted and (open_keys := [k for k in self.keys if following[k] is not None]):
+            for key in open_keys[: self.admitted - len(taken)]:
+                try:
+                    token = self.ask(key, following[key], fields="nextPageToken").get("nextPageToken")
+                except HttpError as e:
+                    if e.status not in (403, 404):
+                        raise
+                    following[key] = None  # forbidden or missing: nothing to read
+                    continue
+                taken.append([key, following[key]])
+                following[key] = token or None
+        if taken or following != now["next"]:
+            self.now = {"next": following, "pages": taken}
+        return self.now or now
+
+    def partitions(self, start: dict, end: dict) -> list[_Page]:
+        # After a restart Spark plans the last batch once more, which tells where the stream is.
+        self.now = self.now or end
+        return [_Page(k, t) for k, t in end["pages"]]
+
+    def read(self, partition: _Page) -> Iterator[tuple[str, str]]:
+        key, token = partition.value
+        for item in self.ask(key, token).get("items", []):
+            yield key, json.dumps(item, ensure_ascii=False)
+
+
 class PagedSource(DataSource):
-    """``spark.read.format("paged")`` with options ``kind`` (videos, threads, search, details), ``keys`` (JSON list), ``client`` (dotted name) and ``most``."""
+    """``spark.read.format("paged")`` with options ``kind`` (videos, threads, search, details), ``keys`` (JSON list), ``client`` (dotted name) and ``most``.
+
+    ``spark.readStream`` takes kinds videos (keys are playlists), threads and search, and ``pages`` (a trigger) and ``page_size`` for ``most``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -130,6 +198,9 @@ class PagedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedSource)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.operators.threads import new_rows
+from spanloom.sources.versioned import VersionedTable
 
 
 def _batches(spark: SparkSession, sink: str) -> DataFrame | None:
@@ -35,6 +36,13 @@ def append_new(sink: str, key: str, order_col: str, dead_letters: str | None = N
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # the dead letters, the buckets and the rows that are written must be of one reading
+        try:
+            put(batch, number)
+        finally:
+            batch.unpersist()
+
+    def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         good = batch.where(valid) if valid else batch
         if valid and dead_letters:
@@ -59,6 +67,41 @@ def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+#: The state store that keeps keys on the executors' disks, with changes in the checkpoint.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_of_keys(stream: DataFrame, key: str, time_col: str | None = None, remember: str | None = None) -> DataFrame:
+    """The rows of a stream whose key has not come before; null is a key.
+
+    The keys are the stream's state: no batch reads the sink. With ``remember`` a key is forgotten when the event
+    time ``time_col`` has moved on by that much, and rows that come later than that are left out; else keys are kept for good.
+    Which of a key's rows in one batch is kept is left to Spark; a batch that is replayed gives the same keys.
+    """
+    if remember is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(time_col, remember).dropDuplicatesWithinWatermark([key])
+
+
+def start_keyed(rows: DataFrame, table: VersionedTable, name: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append a stream with state to a versioned table, each batch once; the state is kept in RocksDB.
+
+    Without ``every`` it stops when all that is there has been read. Stopped at any point and started again on its checkpoint, it goes on where the
+    last whole batch ended: a batch that had been published is not published again.
+    """
+    conf = rows.sparkSession.conf
+    before = conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # a query takes the session's settings along when it starts
+    try:
+        writer = rows.writeStream.foreachBatch(table.sink(name)).option("checkpointLocation", checkpoint).queryName(name)
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        if before is None:
+            conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
 def counted(df: DataFrame, name: str, **counts: Column) -> DataFrame:
     """``df`` with counters that are filled while it is written, in one pass: of a batch by an ``Observation`` of
     that name, of a stream in its progress under ``observedMetrics``."""

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 import re
 
@@ -169,11 +170,46 @@ def test_tokens_and_alignment(spark):
 
 
 def test_find_spans(spark):
-    docs = spark.createDataFrame([(1, "so xadd a cup of sugary sweets"), (2, "add a cup of sugar"), (2, "add a\ncup"), (3, None), (4, "a cup of")], "doc_id bigint, text string")
-    wanted = spark.createDataFrame([(1, "add a cup of sugar"), (2, "a cup of"), (3, "add a cup"), (4, "cup"), (5, None), (6, "zz zz zz")], "item_id bigint, span string")
-    got = {(r["example_id"], r["item_id"]) for r in align.find_spans(docs, wanted, "doc_id", "text").collect()}
-    texts = [(1, "so xadd a cup of sugary sweets"), (2, "add a cup of sugar"), (4, "a cup of")]
-    assert got == {(i, k) for i, t in texts for k, s in ((1, "add a cup of sugar"), (2, "a cup of"), (3, "add a cup")) if s in t}
+    texts = [(1, "so xadd a cup of sugary sweets"), (2, "add two eggs now please"), (2, "add a\ncup"), (2, "add a\ncup"), (3, None), (4, "a cup of"), (5, ""), (6, "é😢 zz zz zzz")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    listed = [(1, "add a cup of sugar"), (2, "a cup of"), (3, "add a cup"), (4, "cup"), (5, None), (6, "zz zz zz"), (7, "two eggs"), (8, "eggs"), (9, "two eggs now"), (10, ""), (11, "😢"), (12, "a"), (8, "eggs")]
+    wanted = spark.createDataFrame(listed, "item_id bigint, span string")
+    want = sorted((i, k) for i, t in texts for k, s in listed if t and s and s in t)
+    for chars in (1 << 20, 20):  # one automaton, and several
+        got = sorted((r["example_id"], r["item_id"]) for r in align.find_spans(docs, wanted, "doc_id", "text", chars).collect())
+        assert got == want
+    assert align.find_spans(docs, wanted.where("span = ''"), "doc_id", "text").count() == 0
+
+
+def test_align_against_loops(spark):
+    draw, rows = random.Random(4), []
+    for i in range(150):
+        ends = sorted(draw.sample(range(1, 60), draw.randrange(0, 12)))
+        words = [(max(0, e - draw.randrange(1, 4)), e) for e in ends]
+        words = [(0, 0)] + [(max(a, b0), b) for (a, b), b0 in zip(words, [0] + ends)] + [(0, 0)]
+        spans_ = [(draw.randrange(6), a, a + draw.randrange(0, 15), draw.choice("AB")) for a in (draw.randrange(60) for _ in range(draw.randrange(0, 8)))]
+        rows.append((i, words if draw.random() > 0.05 else None, spans_ if draw.random() > 0.05 else None))
+    df = spark.createDataFrame(rows, "i int, tokens array<struct<start: int, end: int>>, spans array<struct<ord: bigint, start: int, end: int, aspect: string>>")
+    for r, (_, words, spans_) in zip(align.align(df, "tokens", "spans", aligned="n", owners="o").orderBy("i").collect(), rows):
+        if words is None:
+            assert r["tags"] is None
+            continue
+        seen, want = set(), []
+        for a, b in words:
+            own = next((s for s in sorted(spans_ or []) if a < s[2] and b > s[1] and b > a), None)
+            want.append("O" if own is None else ("I-" if own[0] in seen else "B-") + own[3])
+            seen |= {own[0]} if own else set()
+        assert r["tags"] == want and r["n"] == len(seen) and set(r["o"]) == seen
+
+
+def test_align_is_linear(spark):
+    n = 80_000
+    df = spark.range(1).select(
+        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((k * 5).alias("start"), (k * 5 + 4).alias("end"))).alias("tokens"),
+        F.transform(F.sequence(F.lit(0), F.lit(n // 10 - 1)), lambda k: F.struct(k.cast("long").alias("ord"), (k * 50).alias("start"), (k * 50 + 9).alias("end"), F.lit("A").alias("aspect"))).alias("spans"),
+    )
+    tags = align.align(df, "tokens", "spans").first()["tags"]
+    assert tags == ["B-A", "I-A", *["O"] * 8] * (n // 10)
 
 
 def by_hand(text, reply, shift, mods, words, gold):
@@ -302,11 +338,12 @@ def test_decoders(spark, kind):
     df = spark.createDataFrame(list(enumerate(seqs)), "example_id int, tags array<string>")
     for r in getattr(spans, f"decode_{kind}")(df).collect():
         assert sorted((s["aspect"], s["start"], s["end"]) for s in r["spans"]) == decode(r["tags"], kind), r["tags"]
-    covered = spans.covering(spans.decode_lenient(df), "spans", F.size("tags"), "c").collect()
-    for r in covered:
-        assert len(r["c"]) == len(r["tags"])
-        for k, c in enumerate(r["c"]):
-            assert [s for s in r["spans"] if s["start"] <= k <= s["end"]] == ([c] if c else [])
+    both = spans.decode_lenient(spans.decode_lenient(df, "tags", "a").withColumn("other", F.reverse("tags")), "other", "b")
+    both = both.withColumn("b", F.when(F.col("example_id") % 9 > 0, F.col("b")))
+    for r in spans.meeting(both, "a", "b", "m").collect():
+        assert [x["s"] for x in r["m"]] == r["a"]
+        for x in r["m"]:
+            assert x["met"] == [y for y in r["b"] or [] if y["start"] <= x["s"]["end"] and y["end"] >= x["s"]["start"]]
 
 
 def test_io_to_bio(spark):
@@ -383,18 +420,22 @@ def test_bootstrap(spark):
     ci = metrics.bootstrap_f1(flat, rounds=20).first()
     assert (ci["rounds"], ci["low"], ci["high"]) == (20, 1.0, 1.0)
     rows = [(i * 7, i % 2, 1 + i % 3, 1) for i in range(13)]
+    bounds = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
     want = []
     for r in range(30):
-        drawn = [rows[int(hashlib.md5(f"42|{r}|{s}".encode()).hexdigest()[:8], 16) % 13] for s in range(13)]
-        want.append(2 * sum(x[1] for x in drawn) / sum(x[2] + x[3] for x in drawn))
-    df = spark.createDataFrame(rows, "example_id int, tp int, n_pred int, n_gold int")
-    for most in (metrics.BROADCAST_EXAMPLES, 1):
-        before, metrics.BROADCAST_EXAMPLES = metrics.BROADCAST_EXAMPLES, most
-        try:
-            got = metrics.bootstrap_f1(df, rounds=30).first()
-        finally:
-            metrics.BROADCAST_EXAMPLES = before
+        times = []
+        for key, *_ in rows:
+            u = int(hashlib.md5(f"42|{key}|{r // 8}".encode()).hexdigest()[4 * (r % 8) :][:4], 16)
+            times.append(sum(u >= int(65536 * b) for b in bounds))
+        below = sum(t * (x[2] + x[3]) for t, x in zip(times, rows))
+        want.append(2 * sum(t * x[1] for t, x in zip(times, rows)) / below if below else 0.0)
+    df = spark.createDataFrame([*rows, (999, None, None, None)], "example_id int, tp int, n_pred int, n_gold int")
+    for parts in (1, 3):
+        got = metrics.bootstrap_f1(df.repartition(parts), rounds=30).first()
         assert (got["mean"], got["low"], got["high"]) == tuple(round(float(x), 6) for x in (np.mean(want), np.quantile(want, 0.025), np.quantile(want, 0.975)))
+    times = metrics.draw_weights([str(k) for k in range(2000)], 40, "7")  # as often as Poisson(1) says
+    assert abs(times.mean() - 1) < 0.02 and abs((times == 0).mean() - math.exp(-1)) < 0.01 and abs(times.var() - 1) < 0.03
+    assert metrics.bootstrap_f1(df.where("false"), rounds=9).first()["mean"] in (None, 0.0)
 
 
 def test_kappa(spark):
