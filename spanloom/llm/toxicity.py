@@ -14,6 +14,7 @@ most like insults first. A text is as toxic as the most toxic of its strings.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -43,6 +44,8 @@ KEPT_TOKENS = 400_000
 GROUP_TEXTS, GROUP_UNITS = 64, 2048
 #: Subsequences whose weights are gathered at a time: for each landmark, and summed up.
 GATHERED, SUMMED = 1 << 22, 1 << 18
+#: Entries of a table of all possible subsequences, which is looked up faster than a sorted list.
+DENSE = 1 << 22
 
 #: A sentence ends at a line's end, or at a mark behind a word of two letters at least.
 _SENTENCE = re.compile(r"\n+|(?<=\w\w[.!?])\s+")
@@ -62,6 +65,8 @@ def tokens(text: str) -> set[str]:
 
 def units(token: str) -> list[str]:
     """What of a token is scored: it without marks at its ends, and its runs of letters, in signs for both ends; long ones in windows."""
+    if token.isalpha():
+        return windows(token) if len(token) > 2 else []
     bare = _EDGE.sub("", token)
     runs = _RUN.findall(bare)
     return [w for u in dict.fromkeys((bare, *runs)) if len(u) > 2 for w in windows(u)] if runs else []
@@ -116,15 +121,35 @@ class Triples:
             for t, w in one.items():
                 row[at[t]] = w / math.sqrt(sum(x * x for x in one.values()))
 
-    def lookup(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For rows of code points: the number of each of their subsequences (or one behind the last), and what a place weighs."""
+    def spelled(self, s: np.ndarray) -> np.ndarray:
+        """The names of all subsequences of rows of code points; characters outside the alphabet are its last."""
         n = len(self.alphabet) + 1
         at = np.searchsorted(self.alphabet, s).clip(max=n - 2)
-        at = np.where(self.alphabet[at] == s, at, n - 1).astype(np.int64)
-        i, j, k = np.array(list(itertools.combinations(range(s.shape[1]), 3))).T
-        t = (at[:, i] * n + at[:, j]) * n + at[:, k]
+        at = np.where(self.alphabet[at] == s, at, n - 1)
+        i, j, k, _ = _places(s.shape[1])
+        return (at[:, i] * n + at[:, j]) * n + at[:, k]
+
+    def lookup(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of code points: the number of each of their subsequences (or one behind the last), and what a place weighs."""
+        t = self.spelled(s)
         place = np.searchsorted(self.names, t).clip(max=len(self.names) - 1)
-        return np.where(self.names[place] == t, place, len(self.names)), DECAY ** (k - i + 1.0)
+        return np.where(self.names[place] == t, place, len(self.names)), _places(s.shape[1])[3]
+
+    def table(self, weights: np.ndarray) -> np.ndarray | None:
+        """Weights by name instead of by number, where the alphabet is small enough for that."""
+        size = (len(self.alphabet) + 1) ** 3
+        if size > DENSE:
+            return None
+        out = np.zeros(size)
+        out[self.names] = weights[:-1]
+        return out
+
+
+@functools.cache
+def _places(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of all subsequences of a string of that length, and what each weighs."""
+    i, j, k = np.array(list(itertools.combinations(range(size), 3))).T
+    return i, j, k, DECAY ** (k - i + 1.0)
 
 
 def likeness(strings: list[str], triples: Triples) -> np.ndarray:
@@ -180,6 +205,11 @@ class ToxicModel:
     bias: float = -1.0
     slope: float = 4.0
     offset: float = 0.0
+    #: The weights by subsequence, made where they are used.
+    dense: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None}
 
     @classmethod
     def fit(cls, landmarks: list[str], positive: list[str], made: list[str], negative: list[str]) -> ToxicModel:
@@ -197,17 +227,26 @@ class ToxicModel:
         triples.weights = np.empty((0, 0))  # what goes to the tasks is one weight a subsequence
         return cls(triples, folded, bias)
 
+    @property
+    def least(self) -> float:
+        """The margin of what is clean beyond doubt: strings outside the machine's margin count alike."""
+        return max(self.bias, -1.0)
+
     def margins(self, strings: list[str]) -> np.ndarray:
-        """Signed distances; strings that are more unlike than like the landmarks' toxic ones count as the bias."""
-        out = np.full(len(strings), self.bias)
+        """Signed distances of strings, ``least`` for those below it."""
+        out = np.full(len(strings), self.least)
         if self.triples is None:
             return out
+        if self.dense is None:
+            self.dense = self.triples.table(self.weights)
         for rows, s in _by_length(strings, SUMMED):
-            place, weigh = self.triples.lookup(s)
-            sums = self.weights[place] @ weigh
-            like = np.flatnonzero(sums > 0)
-            if len(like):
-                out[np.array(rows)[like]] += sums[like] / np.sqrt(self_likeness(s[like]))
+            weigh = _places(s.shape[1])[3]
+            sums = (self.weights[self.triples.lookup(s)[0]] if self.dense is None else self.dense[self.triples.spelled(s)]) @ weigh
+            # K(s, s) is no less than the squares of its subsequences' weights, so the others can't come above ``least``.
+            near = np.flatnonzero(self.bias + np.maximum(sums, 0) / math.sqrt(weigh @ weigh) > self.least)
+            if len(near):
+                exact = self.bias + sums[near] / np.sqrt(self_likeness(s[near]))
+                out[np.array(rows)[near]] = np.maximum(exact, self.least)
         return out
 
     def probability(self, margin: float) -> float:
@@ -225,11 +264,15 @@ class Scorer:
         new = set().union(*found).difference(self.kept)
         if len(self.kept) + len(new) > KEPT_TOKENS:
             self.kept, new = {}, set().union(*found)
-        parts = [(t, units(t)) for t in new]
-        scored = iter(self.model.margins([u for _, us in parts for u in us]).tolist())
-        for t, us in parts:
-            self.kept[t] = max((next(scored) for _ in us), default=self.model.bias)
-        return [max(map(self.kept.__getitem__, f), default=self.model.bias) for f in found]
+        plain = [t for t in new if t.isalpha() and 2 < len(t) < WINDOW - 1]  # these are one string each
+        other = [(t, units(t)) for t in new.difference(plain)]
+        scored = self.model.margins([*(BEGIN + t + END for t in plain), *(u for _, us in other for u in us)]).tolist()
+        self.kept.update(zip(plain, scored))
+        at = len(plain)
+        for t, us in other:
+            self.kept[t] = max(scored[at : at + len(us)], default=self.model.least)
+            at += len(us)
+        return [max(map(self.kept.__getitem__, f), default=self.model.least) for f in found]
 
 
 def _unit_counts(rated: DataFrame) -> DataFrame:
@@ -311,7 +354,7 @@ def train(
         if k == ROUNDS:
             break
         worst = usable.select("unit").mapInArrow(_unit_margins(model), "unit string, margin double").orderBy(F.desc("margin"), "unit").limit(HARD)
-        hard = [r["unit"] for r in worst.collect() if r["margin"] > model.bias] or hard
+        hard = [r["unit"] for r in worst.collect() if r["margin"] > model.least] or hard
         negative |= set(hard)
     got = score(sample.select(F.col("i").alias("doc_id"), "text", "toxic"), model, carried=("toxic",)).select("margin", "toxic").toArrow()
     margin, label = got.column(0).to_numpy(), got.column(1).to_numpy()

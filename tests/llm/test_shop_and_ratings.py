@@ -132,7 +132,13 @@ def test_folded_weights_are_the_machine():
     model = toxicity.ToxicModel.fit(["\x02idiot\x03", "\x02table\x03"], ["\x02idiot\x03"], ["\x02idi*ot\x03"], ["\x02table\x03", "\x02idea\x03"])
     s = ["\x02idiooot\x03", "\x02stable\x03", "\x02zzz\x03"]
     sums = [sum(w * _kernel_one(x, name, model.triples) for name, w in zip(model.triples.names, model.weights)) / math.sqrt(_kernel(x, x)) for x in s]
-    assert np.allclose(model.margins(s), [model.bias + max(0, v) for v in sums])
+    assert np.allclose(model.margins(s), [max(model.least, model.bias + v) for v in sums])
+    exact = model.margins(s)
+    model.dense, toxicity.DENSE, kept = None, 0, toxicity.DENSE
+    try:
+        assert np.allclose(model.margins(s), exact)  # by the sorted list
+    finally:
+        toxicity.DENSE = kept
 
 
 def _kernel_one(s, name, triples):
