@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
+from spanloom.operators.datasets import first_examples
 from spanloom.schemas import ANNOTATION, ASPECTS, THREAD_TYPES
 
 
@@ -203,7 +204,7 @@ def route_passes(rows: DataFrame) -> DataFrame:
 def pending(rows: DataFrame, order_col: str, limit: int | None = None) -> DataFrame:
     """Rows that wait for some pass, with their ``route``; with ``limit`` the first of them, which is a run's share."""
     waiting = route_passes(rows).where(~F.col("route").isin("none", "skip"))
-    return waiting if limit is None else waiting.orderBy(order_col).limit(limit)
+    return first_examples(waiting, limit, order_col)
 
 
 def update_labels(records: DataFrame, answers: DataFrame, key: str, order_col: str) -> DataFrame:

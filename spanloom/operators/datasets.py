@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
 from spanloom.schemas import IGNORE
+from spanloom.storage import materialize
 
 
+#: Rows that one task may sort out.
+TOP_ROWS = 100_000
 #: Buckets of a hash within which rows are ranked, so that no task ranks all of them.
 HASH_DIGITS = 3
 
@@ -54,20 +57,18 @@ def leakage(df: DataFrame, group_col: str, split_col: str = "split") -> DataFram
     return pairs.groupBy("split_a", "split_b").agg(F.count("*").alias("n_common"))
 
 
-def numbered(df: DataFrame, key_col: str, buckets: int = 256) -> DataFrame:
-    """Adds ``i``: the row's place from 0 in the order of a distinct whole number, without gathering the rows.
+def numbered(df: DataFrame, key_col: str) -> DataFrame:
+    """Adds ``i``: the row's place from 0 in the order of a (distinct) key, without gathering the rows.
 
-    Ids are cut into equal ranges; only the ranges' counts are summed in one place.
+    Spark cuts the keys into ranges of about equal numbers of rows, wherever they lie; the rows are written once, since the cuts come from a sample,
+    and a running sum over the ranges' counts gives each its first place.
     """
-    low, high = df.agg(F.min(key_col), F.max(key_col)).first()
-    if low is None:
-        return df.withColumn("i", F.lit(0).cast("long"))
-    bucket = F.floor((F.col(key_col) - low).cast("double") * buckets / (high - low + 1))
-    rows = df.withColumn("_b", bucket)
+    rows = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key_col).withColumn("_b", F.spark_partition_id())
+    rows = materialize(rows, "numbered")
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_o"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy(key_col)) - 1 + F.col("_o")
-    return rows.join(F.broadcast(before), "_b").withColumn("i", place).drop("_b", "_o")  # ``buckets`` rows at most
+    return rows.join(F.broadcast(before), "_b").withColumn("i", place.cast("long")).drop("_b", "_o")  # a row for each range
 
 
 def downsample(df: DataFrame, positive: Column, ratio: float | None, key_col: str, seed: str = "42") -> DataFrame:
@@ -91,8 +92,13 @@ def fraction(df: DataFrame, share: float, key_col: str, seed: str = "42") -> Dat
 
 
 def first_examples(df: DataFrame, n: int | None, order_col: str) -> DataFrame:
-    """The first ``n`` rows, for a trial run or to see a model overfit; all for None."""
-    return df if n is None else df.orderBy(order_col).limit(n)
+    """The first ``n`` rows, for a trial run or to see a model overfit; all for None.
+
+    Up to ``TOP_ROWS`` they meet in one task, more are found by their places.
+    """
+    if n is None:
+        return df
+    return df.orderBy(order_col).limit(n) if n <= TOP_ROWS else numbered(df, order_col).where(F.col("i") < n).drop("i")
 
 
 def merge(original: DataFrame, enriched: DataFrame, unanimous: Column) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as X
 from spanloom.operators import align as L
 from spanloom.operators import metrics as M
+from spanloom.operators import models as D
 from spanloom.operators import spans as S
 from spanloom.operators import subwords as W
 from spanloom.operators import taggers as T
 from spanloom.operators import threads as R
-from spanloom.plans.adapters import K_SQL, SPANS_SQL, B_SQL, located, table, tags, tokens
+from spanloom.plans.adapters import B_SQL, K_SQL, SPANS_SQL, T_SQL, located, table, tags, threads, tokens
 from spanloom.schemas import BIO
 
 QUERIES, SQL = {}, {}
@@ -86,6 +87,47 @@ def last_change(spark, sf_dir):
     return R.last_wins(rows, "client_id", "at").select("client_id", "city", "segment")
 
 
+@query(f"""WITH {T_SQL}, top AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'c' || conv_id % 7 ELSE 'u' END AS author FROM turns WHERE k = 0),
+kept AS (SELECT * FROM top WHERE author <> 'c' || conv_id % 7 AND len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 3 AND regexp_matches(text, '[a-z]') AND NOT contains(lower(text), 'http')),
+r AS (SELECT t.conv_id, count(*) AS n, bool_or(t.creator) AS creator, sum(t.likes) AS likes FROM turns t WHERE t.k > 0 AND (t.creator OR (regexp_matches(t.text, '[a-z]') AND NOT contains(lower(t.text), 'http'))) GROUP BY t.conv_id)
+SELECT kept.conv_id || '_' || kept.turn AS thread_id, coalesce(r.n, 0) AS n_replies, coalesce(r.creator, false) AS has_creator_reply, CAST(kept.likes + coalesce(r.likes, 0) AS BIGINT) AS total_likes FROM kept LEFT JOIN r ON r.conv_id = kept.conv_id""")
+def api_threads(spark, sf_dir):
+    """Conversations in the service's nested form, parsed to threads; every fifth is its channel's own and dropped."""
+    own = F.col("channel_id")
+    comment = lambda c, author: F.struct(c["comment_id"].alias("id"), F.struct(c["text"].alias("textDisplay"), c["like_count"].alias("likeCount"), F.struct(author.alias("value")).alias("authorChannelId")).alias("snippet"))
+    rows = threads(spark, sf_dir)
+    by = F.when(F.col("thread_id") % 5 == 0, own).otherwise("u")
+    items = rows.select(
+        "channel_id", F.struct(comment(F.col("top_comment"), by).alias("topLevelComment")).alias("snippet"),
+        F.struct(F.transform("replies", lambda r: comment(r, F.when(r["is_creator"], own).otherwise("u"))).alias("comments")).alias("replies"),
+    )
+    parsed = R.parse_items(items, spam=("http",), script=(ord("a"), ord("z")))
+    return parsed.select("thread_id", F.size("replies").cast("long").alias("n_replies"), "has_creator_reply", F.col("total_likes").cast("long").alias("total_likes"))
+
+
+@query("""WITH s AS (SELECT source, count(*) / CAST((SELECT count(*) FROM documents) AS DOUBLE) AS share FROM documents GROUP BY source)
+SELECT source, format('{:.1f}%', share * 100) AS share, format('{:.1f} [{:.1f}, {:.1f}]', share * 100, share * 50, share * 200) AS interval FROM s""")
+def share_texts(spark, sf_dir):
+    """Shares of sources as text, alone and as if with an interval."""
+    total = F.sum("n").over(Window.partitionBy())
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / total)
+    return rows.select("source", X.percent_text("share").alias("share"), X.interval_text("share", F.col("share") / 2, F.col("share") * 2).alias("interval"))
+
+
+@query("SELECT c_custkey, 'UU' || substr(c_name, 3) AS playlist FROM customer")
+def upload_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", R.uploads_playlist(F.col("c_name")).alias("playlist"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, [l_quantity / 10, l_discount * 50, l_tax * 50]::DOUBLE[] AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS best, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS chance FROM e""")
+def score_chances(spark, sf_dir):
+    """The first largest of three scores, and its probability."""
+    scores = F.array(*[c.cast("double") for c in (F.col("l_quantity") / 10, F.col("l_discount") * 50, F.col("l_tax") * 50)])
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scores.alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", D.argmax("v").cast("long").alias("best"), F.round(F.array_max(D.softmax("v")), 6).alias("chance"))
+
+
 # Stored pages
 
 #: Paragraphs of an article end at their own end, at the next one's beginning or with the article.

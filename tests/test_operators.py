@@ -438,6 +438,20 @@ def test_bootstrap(spark):
     assert metrics.bootstrap_f1(df.where("false"), rounds=9).first()["mean"] in (None, 0.0)
 
 
+def test_places_of_far_keys(spark):
+    keys = [*range(500), 10**15, -7, 10**17]
+    random.Random(1).shuffle(keys)
+    df = spark.createDataFrame([(k, str(k)) for k in keys], "k bigint, v string")
+    got = {r["k"]: r["i"] for r in datasets.numbered(df, "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))} and datasets.numbered(df.where("false"), "k").count() == 0
+    before, datasets.TOP_ROWS = datasets.TOP_ROWS, 10
+    try:
+        assert sorted(r["k"] for r in datasets.first_examples(df, 30, "k").collect()) == sorted(keys)[:30]
+    finally:
+        datasets.TOP_ROWS = before
+    assert datasets.first_examples(df, None, "k").count() == len(keys) and sorted(r["k"] for r in datasets.first_examples(df, 3, "k").collect()) == sorted(keys)[:3]
+
+
 def test_kappa(spark):
     k = lambda rows: metrics.kappa(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()["kappa"]
     assert k([("x", "x"), ("y", "y")]) == 1.0 and k([("x", "x")] * 3) == 1.0 and k([("x", "y"), ("y", "x")]) == -1.0 and k([]) == 0.0
