@@ -10,9 +10,10 @@ Texts are cut into chunks of equal length, wherever that falls. What a chunk doe
 map from the incoming state to the outgoing one and a count. Behind the first
 place where the transducer is back at its start whatever came before (a blank after
 another character, a character spelled in bytes, the end of a text) the map is constant, so
-all chunks run side by side from there on; the part before it is run for the state that
-composition with the maps before asks for. A chunk without such a place hands
-its state on, and the next round of the scan takes it up.
+all chunks run side by side from there on. The maps of the parts before such places, and of chunks without one, are
+composed along the text: each is evaluated at the state that the map before gives, all of them side by side, beginning with a
+guess where that is not known yet, and again only where it turns out another. A chunk mostly forgets what
+came before it, so that two rounds do; a chain that never forgets costs as many rounds as chunks, and stays right.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ CHUNK_CHARS = 256
 GROUP_CHARS = 1 << 20
 GROUP_TEXTS = 512
 #: Fewer lanes than this are run one after the other.
-FEW_LANES = 48
+FEW_LANES = 12
 #: Ends a text; beyond all code points.
 END = 0x110000
 _CODE_BITS = 21
@@ -218,15 +219,16 @@ class CountTransducer:
         first = np.minimum(first, end)
         state = np.full(len(start), -1, np.int64)  # behind each chunk
         state[cut] = self._read(codes, keep, emitted, first[cut], end[cut], np.zeros(cut.sum(), np.int64))
-        # Composition: the part before that place, or the whole chunk, from the state that the chunk before hands on.
+        # Composition: the part before that place, or the whole chunk, is a map of the state that the chunk before hands on. All maps are
+        # taken at once, of the states that are known or of a guess, and again of those that turn out to be handed on, until none differs.
         todo = np.flatnonzero(first > start)
-        while len(todo):
-            ready = state[todo - 1] >= 0
-            now = todo[ready]
-            found = self._read(codes, keep, emitted, start[now], first[now], state[now - 1])
-            through = ~cut[now]
-            state[now[through]] = found[through]
-            todo = todo[~ready]
+        through, enter, differs = ~cut[todo], np.maximum(state[todo - 1], 0), np.ones(len(todo), bool)
+        while differs.any():
+            now = todo[differs]
+            found = self._read(codes, keep, emitted, start[now], first[now], enter[differs])
+            state[now[through[differs]]] = found[through[differs]]
+            handed = state[todo - 1]
+            differs, enter = handed != enter, handed
         total = np.concatenate(([0], np.cumsum(emitted, dtype=np.int64)[ends - 1]))
         return np.diff(total).tolist()
 

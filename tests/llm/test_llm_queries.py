@@ -1,6 +1,10 @@
 """The operators' queries against their SQL on the smallest tables."""
 
+import hashlib
+import zlib
+
 import compare
+import numpy as np
 import pytest
 
 from spanloom.llm.queries import ORACLE_SQL, QUERIES
@@ -13,5 +17,44 @@ def test_same_as_sql(spark, name):
     assert not compare.differences(spark, compare.connect(SF), SF, QUERIES[name], ORACLE_SQL[name])
 
 
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_token_counts_are_the_librarys(spark, texts):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {i: (len(t.encode()), n := len(library.encode(t)), n > 4096) for i, t in texts.items()}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op7_token_counts"](spark, SF).collect()} == want
+
+
+def test_token_ids_are_the_librarys(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, start, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, {}
+    for i in sorted(texts):
+        ids = [*library.encode(texts[i], add_special_tokens=False).ids, 2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op6_token_ids"](spark, SF).collect()} == want
+
+
+def test_pieces_are_the_librarys(spark, texts):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in QUERIES["op1_sentencepiece"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        ids = library.encode(t)
+        assert list(got[i]["ids"]) == ids and got[i]["n_tokens"] == len(ids)
+        assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
