@@ -104,6 +104,7 @@ def exit_status(report: DataFrame) -> int:
 def standard_gates(span_loss: Column, positive_rate: Column, final_rate: Column, agreement: Column, spread: Column) -> list[tuple[str, Column, Column]]:
     """The audit's limits: lost spans 15 and 5 %, positives 3 to 80 %, final ones 3 and 8 %, agreement 40 %, spread 20 points."""
     never = F.lit(False)
+    # The limits.
     return [
         ("hallucination", span_loss > 0.15, span_loss > 0.05),
         ("positive_rate", never, (positive_rate < 0.03) | (positive_rate > 0.80)),

@@ -22,6 +22,7 @@ IGNORE = -100
 AGREEMENTS = ("full", "partial", "none", "skipped", "error")
 VOTE_METHODS = ("unanimous", "majority", "no_majority", "gemini_unanimous", "insufficient")
 
+# The fields' names and kinds in the data format.
 COMMENT = "struct<comment_id: string, text: string, like_count: bigint>"
 REPLY = "struct<comment_id: string, text: string, like_count: bigint, is_creator: boolean>"
 MODIFICATION = "struct<span: string, aspect: string, source_comment: string, confidence: double>"

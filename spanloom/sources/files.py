@@ -108,7 +108,8 @@ def overwrite(df: DataFrame, path: str, form: str = "parquet", version: str | No
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """As ``read_csv`` reads it: quotes inside are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_document(df: DataFrame, path: str) -> None:

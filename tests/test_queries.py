@@ -13,8 +13,11 @@ def con():
     return compare.connect(DIR)
 
 
-def test_flagship():
+def test_flagship(spark):
+    import __spark_entry__ as entry
+
     assert FLAGSHIP in QUERIES and set(ORACLE_SQL) <= set(QUERIES)
+    assert entry.entry(spark).count() > 0 and set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -22,7 +25,11 @@ def test_same_as_sql(spark, con, name):
     assert not compare.differences(spark, con, DIR, QUERIES[name], ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+#: Queries without SQL that have tests of their own, in test_training.py.
+TESTED = {"crf_tagger", "subword_rows", "stream_keyed_state", "merged_changes"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - TESTED))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
