@@ -89,7 +89,10 @@ def append(df: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def backup(spark: SparkSession, path: str, name: str = "backup") -> str | None:
-    """A table's files as they are, copied to ``path.name`` before they are replaced; None where there is no table yet."""
+    """A table's files as they are, copied to ``path.name`` before they are replaced; None where there is no table yet.
+
+    The driver copies: this is for reports and small label files. ``versioned.VersionedTable`` keeps the versions before without a copy.
+    """
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
     source, target = hadoop.Path(path.rstrip("/")), hadoop.Path(f"{path.rstrip('/')}.{name}")
     files = source.getFileSystem(conf)
