@@ -122,7 +122,7 @@ SELECT count(*) AS rounds, round(avg(f1), 6) AS mean, round(quantile_cont(f1, 0.
 @query(f"WITH {SPANS_SQL}, {_STATS}, {_DRAWS.replace('SCORE', '2 * sum(w * tp) / CAST(nullif(sum(w * (n_pred + n_gold)), 0) AS DOUBLE)')}")
 def bootstrap_ci(spark, sf_dir):
     """The interval of exact F1 from 1000 rounds."""
-    rows = _scored(spark, sf_dir).where("size(gold_spans) + size(pred_spans) > 0")
+    rows = _scored(spark, sf_dir)
     return M.bootstrap_f1(M.example_counts(rows, "example_id"))
 
 
@@ -135,7 +135,7 @@ each_ AS (SELECT example_id, sum(is_gold) AS n_gold, sum(1 - is_gold) AS n_pred,
 {_DRAWS.replace('SCORE', 'sum(w * (gold_hit + pred_hit)) / CAST(nullif(sum(w * (n_pred + n_gold)), 0) AS DOUBLE)')}""")
 def bootstrap_relaxed(spark, sf_dir):
     """The interval of the share of spans, gold and predicted, that touch one of their aspect."""
-    rows = _scored(spark, sf_dir).where("size(gold_spans) + size(pred_spans) > 0")
+    rows = _scored(spark, sf_dir)
     return M.bootstrap_f1(M.relaxed_counts(rows, "example_id"), top=(("gold_hit", 1.0), ("pred_hit", 1.0)))
 
 
