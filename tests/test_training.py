@@ -57,6 +57,40 @@ def test_crf_against_all_paths():
         assert tuple(path) == max(itertools.product(range(3), repeat=len(path)), key=lambda p: score(model, features[i], np.array(p)))
 
 
+def test_crf_with_scores_far_apart():
+    model, features, tags = made_up(4)
+    for times in (1, 500):
+        far = taggers.TagModel.unpack(model.pack() * times, *model.emit.shape)
+        value, grad = far.loss_gradient(taggers.Batch.of(features, tags))
+        at = taggers.Batch.of(features, tags)
+        total = 0.0
+        for f, y in zip(features, tags):
+            if len(y):
+                paths = [score(far, f, np.array(p)) for p in itertools.product(range(3), repeat=len(y))]
+                total += max(paths) + np.log(np.exp(np.array(paths) - max(paths)).sum()) - score(far, f, y)
+        assert np.isclose(value, total) and np.isfinite(grad.pack()).all() and abs(grad.begin.sum()) < 1e-9 and len(at.sizes) == 4
+
+
+def test_perceptron_learns_row_by_row(spark):
+    """The rows that are decoded ahead give the model of one row after the other."""
+    rows, names, size = posts(spark, 60), list(BIO), 1 << 9
+    got = taggers.train_perceptron(rows, "i", "words", "gold", names, size=size, epochs=1, groups=1)
+    ordered = taggers.encode(rows, "i", "words", "gold", names, size).withColumn("at", F.xxhash64("id")).orderBy("at", "features", "tags").collect()
+    now, total, n = taggers.TagModel.zeros(size, len(names)), 0.0, 0
+    for r in ordered:
+        f, y = np.array(r["features"], np.int32).reshape(-1, taggers.TEMPLATES), np.array(r["tags"], np.int32)
+        if len(y):
+            guess = now.best(taggers.Batch.of([f], [y]))[0]
+            for path, sign in ((y, 1.0), (guess, -1.0)):
+                np.add.at(now.emit, (f.ravel(), np.repeat(path, taggers.TEMPLATES)), sign)
+                np.add.at(now.step, (path[:-1], path[1:]), sign)
+                now.begin[path[0]] += sign
+            total, n = total + now.pack(), n + 1
+    assert np.allclose(got.pack(), total / n)
+    null = spark.createDataFrame([(1, None, ["O"]), (2, ["a"], None), (3, ["a", "b"], ["O"]), (4, ["a"], [None]), (5, [], [])], "i int, words array<string>, gold array<string>")
+    assert {r["id"]: r["tags"] for r in taggers.encode(null, "i", "words", "gold", names, size).collect()} == {4: [0], 5: []}
+
+
 def test_many_paths_at_once(spark):
     rng = np.random.default_rng(1)
     step, begin, end = rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=3)
