@@ -71,7 +71,7 @@ def model_columns(tokens: Column | str, tags: Column, scheme: Mapping[str, int],
     return [field("id").alias("input_ids"), masked.alias("attention_mask"), kind.alias("token_type_ids"), label_ids(tags, scheme, field("special")).alias("labels")]
 
 
-def align_examples(examples: DataFrame, tokens_col: str = "tokens", scheme: str = "BIO", gold: bool = False, reply_col: str | None = None, shift_col: str | None = None) -> DataFrame:
+def align_examples(examples: DataFrame, tokens_col: str = "tokens", scheme: str = "BIO", gold: bool = False, reply_col: str | None = None, shift_col: str | None = None, loose: bool = True) -> DataFrame:
     """Adds ``tags``, ``aligned``, ``truncated``, ``hallucinated``, ``failed`` to rows of a text's tokens and ``modifications`` (span, aspect).
 
     ``failed`` lists the spans that no token is tagged for (span, aspect, reason): ``not_found`` in the text, ``truncated`` behind the last
@@ -81,13 +81,13 @@ def align_examples(examples: DataFrame, tokens_col: str = "tokens", scheme: str
     before it matches, and moved by the prefix's length. ``gold`` rows also look
     in the whole text for what the reply does not have, unmoved, and know no truncated spans: what
     owns no token is hallucinated. Blank spans and unknown aspects are left out where there is a reply,
-    and for gold; for plain rows a blank span is hallucinated.
+    and for gold; for plain rows a blank span is hallucinated. Without ``loose`` a span must stand in the text as it is.
     """
-    rows = L.locate_all(examples, reply_col or "text", "modifications", "_m", skip_blank=gold or reply_col is not None)
+    rows = L.locate_all(examples, reply_col or "text", "modifications", "_m", skip_blank=gold or reply_col is not None, loose=loose)
     if reply_col and shift_col:
         rows = rows.withColumn("_m", F.transform("_m", lambda m: m.withField("start", m["start"] + F.col(shift_col)).withField("end", m["end"] + F.col(shift_col))))
     if gold and reply_col:
-        rows = L.locate_all(rows, "text", "modifications", "_f", skip_blank=True)
+        rows = L.locate_all(rows, "text", "modifications", "_f", skip_blank=True, loose=loose)
         rows = rows.withColumn("_m", F.zip_with("_m", "_f", lambda m, f: F.when(m["start"].isNull(), f).otherwise(m))).drop("_f")
     rows = rows.withColumn("_found", F.filter("_m", lambda m: m["start"].isNotNull()))
     rows = L.align(rows, tokens_col, "_found", scheme, "tags", "aligned", "_owners")

@@ -368,3 +368,22 @@ def test_paged_stream_goes_on(spark, tmp_path):
     items = [i for n in whole for i in whole[n]]
     assert sorted(items) == sorted(f"{k}{p}-{j}" for k, n in (("a", 5), ("b", 3)) for p in range(n) for j in range(2))
     assert all(len(x) <= 4 for x in whole.values())
+
+
+# Thread-aware rows
+
+
+@pytest.mark.parametrize("name", ["align_thread_aware", "gold_alignment", "gold_models"])
+def test_spans_of_replies_as_they_are(spark, tmp_path, name):
+    """A reply has the question's span with other marks and blanks, which the statement doesn't count as found."""
+    import compare
+    import duckdb
+
+    from spanloom.queries import ORACLE_SQL, QUERIES
+
+    top = "Oneau, an la. Quequeier laeeeuxtre etreell and more"
+    rows = [(1, 0, "user", top), (1, 1, "assistant", "A reply: eau an la  Quequeier, laeeeuxtre etreell and so on"), (1, 2, "user", "nothing " * 20), (2, 0, "user", top), (2, 1, "assistant", "x " + top)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert not compare.differences(spark, con, str(tmp_path), QUERIES[name], ORACLE_SQL[name])
