@@ -387,3 +387,21 @@ def test_spans_of_replies_as_they_are(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert not compare.differences(spark, con, str(tmp_path), QUERIES[name], ORACLE_SQL[name])
+
+
+# Bootstrap by drawing with replacement
+
+
+def test_every_round_draws_as_many_as_there_are(spark):
+    import hashlib
+
+    rows = [(i * 7, i % 4, i % 3 + 2, i % 5 + 1) for i in range(40)] + [(1, 0, 0, 0)]
+    df = spark.createDataFrame(rows[::-1], "example_id long, tp int, n_pred int, n_gold int").repartition(5)
+    scores = []
+    for r in range(20):
+        drawn = [rows[int(hashlib.md5(f"42|{r}|{s}".encode()).hexdigest()[:8], 16) % 40] for s in range(40)]
+        scores.append(2 * sum(x[1] for x in drawn) / sum(x[2] + x[3] for x in drawn))
+    want = [20, *(round(float(x), 6) for x in (np.mean(scores), np.percentile(scores, 2.5), np.percentile(scores, 97.5)))]
+    for held in (100, 3):  # in every task, and by a shuffle join
+        assert list(metrics.resampled_f1(df, rounds=20, held=held).first()) == want
+    assert metrics.resampled_f1(df.where("false"), rounds=5).first()["rounds"] == 0
