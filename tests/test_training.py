@@ -405,3 +405,40 @@ def test_every_round_draws_as_many_as_there_are(spark):
     for held in (100, 3):  # in every task, and by a shuffle join
         assert list(metrics.resampled_f1(df, rounds=20, held=held).first()) == want
     assert metrics.resampled_f1(df.where("false"), rounds=5).first()["rounds"] == 0
+
+
+# Words and labels of whole batches
+
+
+def test_words_of_a_batch():
+    import re
+
+    import pyarrow as pa
+
+    # What splits: White_Space; what does not: a separator of information, a zero-width blank, what stands behind the basic plane.
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab\u00e9\u05d0\U0001f600 \t\n\x0b\x85\xa0\u2003\u3000\u3001\x1c\u200b", k=rng.randrange(30))) for _ in range(300)]
+    texts[3:6] = [None, "", "a"]
+    blank = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    want = [[{"start": m.start(), "end": m.end(), "token": m[0]} for m in re.finditer(f"(?:(?!{blank})[\\s\\S])+", t or "")] for t in texts]
+    for limit in (None, 2):
+        assert align._cut_words(pa.array(texts), limit).to_pylist() == [w[:limit] for w in want]
+        assert pa.concat_arrays([align._cut_words(p, limit) for p in align._in_parts(pa.array(texts), 50)]).to_pylist() == [w[:limit] for w in want]
+
+
+def test_labels_in_rows_as_by_join(spark):
+    rng, rows = random.Random(6), []
+    for i in range(60):
+        at, base = 0, []
+        for _ in range(rng.randrange(8)):
+            start = at + rng.randrange(3)
+            at = start + rng.randrange(1, 4)
+            base.append((start, at, rng.randrange(4)))
+        rows.append((i, base, [(s, s + rng.randrange(9)) for s in (rng.randrange(20) for _ in range(rng.randrange(6)))]))
+    df = spark.createDataFrame(rows, "example_id int, base array<struct<start: int, end: int, label: int>>, target array<struct<start: int, end: int>>")
+    got = {r["example_id"]: r["labels"] for r in align.transfer_in_rows(df, "base", "target").collect()}
+    base = df.select("example_id", F.explode("base").alias("b")).select("example_id", "b.*")
+    target = df.select("example_id", F.posexplode("target").alias("pos", "t")).select("example_id", "pos", "t.*").where("start < end")
+    want = {(r["example_id"], r["pos"]): r["label"] for r in align.transfer_labels(base, target).collect()}
+    assert len(want) > 50 and all(got[i][k] == label for (i, k), label in want.items())
+    assert "Exchange" not in align.transfer_in_rows(df, "base", "target")._jdf.queryExecution().toString()
