@@ -53,9 +53,15 @@ def encode(df: DataFrame, text_col: str, make: Callable[[], Tokenizer], out: str
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = make()
         for texts in batches:
-            parts = [run([t or "" for t in texts.slice(k, group).to_pylist()]) for k in range(0, len(texts), group)]
-            rows = [[dict(zip(("start", "end", "token", "id", "special"), t)) for t in one] for part in parts for one in part]
-            yield pa.array(rows, _ARROW)
+            made = []
+            for k in range(0, len(texts), group):  # as columns, so that a group's tokens are Python objects only while it is made
+                part = run([t or "" for t in texts.slice(k, group).to_pylist()])
+                offsets, columns = [0], list(zip(*(t for one in part for t in one))) or [()] * 5
+                for one in part:
+                    offsets.append(offsets[-1] + len(one))
+                fields = list(_ARROW.value_type)
+                made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)))
+            yield pa.concat_arrays(made) if made else pa.array([], _ARROW)
 
     return df.withColumn(out, tokens(text_col))
 
