@@ -442,3 +442,40 @@ def test_labels_in_rows_as_by_join(spark):
     want = {(r["example_id"], r["pos"]): r["label"] for r in align.transfer_labels(base, target).collect()}
     assert len(want) > 50 and all(got[i][k] == label for (i, k), label in want.items())
     assert "Exchange" not in align.transfer_in_rows(df, "base", "target")._jdf.queryExecution().toString()
+
+
+def test_spans_are_decoded_in_batches(spark):
+    """The decoders against tag after tag; no lambda walks over the tags."""
+    from spanloom.operators import spans
+
+    rng = random.Random(7)
+    rows = [(i, [rng.choice(["O", "B-A", "I-A", "B-BB", "I-BB", None] if i % 9 == 0 else ["O", "B-A", "I-A", "B-BB", "I-BB"]) for _ in range(rng.randrange(9))]) for i in range(300)] + [(-1, None), (-2, [])]
+
+    def walk(tags, begins, ends):
+        out, opened, before = [], None, "O"
+        for i, t in enumerate([*tags, "end"]):
+            begin = t == "end" or (t is not None and begins(t, before))
+            if begin or (t is not None and ends(t, before)):
+                if opened is not None:
+                    out.append((tags[opened][2:], opened, i - 1))
+                opened = i if begin and t != "end" else None
+            before = t
+        return out
+
+    lenient = lambda t, b: t != "O" and (t[0] == "B" or (b is not None and (b == "O" or t[2:] != b[2:])))
+    strict_end = lambda t, b: not (t[0] == "I" and t[2:] == ("" if b is None else b[2:]))
+    cases = ((spans.decode_lenient, lenient, lambda t, b: t == "O"), (spans.decode_strict, lambda t, b: t[0] == "B", strict_end), (spans.decode_io, lambda t, b: t != "O" and b is not None and t != b, lambda t, b: t == "O"))
+    df = spark.createDataFrame(rows, "i int, tags array<string>")
+    for decode, begins, ends in cases:
+        made = decode(df)
+        got = {r["i"]: None if r["spans"] is None else [tuple(s) for s in r["spans"]] for r in made.collect()}
+        assert got == {i: None if t is None else walk(t, begins, ends) for i, t in rows}
+        assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sub_words_are_columns(spark):
+    """Tokens of a row, of one without any and of a null text; a group at a time."""
+    make = lambda: lambda texts: [[(k, k + 1, c, ord(c), c == "x") for k, c in enumerate(t)] for t in texts]
+    df = spark.createDataFrame([(1, "ax"), (2, ""), (3, None), (4, "b")], "i int, text string").coalesce(1)
+    got = {r["i"]: [tuple(t) for t in r["tokens"]] for r in subwords.encode(df, "text", make, group=2).collect()}
+    assert got == {1: [(0, 1, "a", 97, False), (1, 2, "x", 120, True)], 2: [], 3: [], 4: [(0, 1, "b", 98, False)]}
