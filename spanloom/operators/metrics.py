@@ -199,9 +199,12 @@ def entity_counts(df: DataFrame, tag_col: str = "tags", spans_col: str = "spans"
 
 def zipped(gold: Column, pred: Column, fill: str | None = None) -> Column:
     """(gold, pred) structs by place, cut to the shorter sequence, or with ``fill`` for missing predictions."""
-    n = F.size(gold) if fill is not None else F.least(F.size(gold), F.size(pred))
-    more = F.concat(pred, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.size(gold) - F.size(pred)))) if fill is not None else pred
-    return F.zip_with(F.slice(gold, 1, n), F.slice(more, 1, n), lambda g, p: F.struct(g.alias("gold"), p.alias("pred")))
+    if fill is None:
+        n = F.least(F.size(gold), F.size(pred))
+        gold, pred = F.slice(gold, 1, n), F.slice(pred, 1, n)
+    else:
+        pred = F.slice(F.concat(pred, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.size(gold) - F.size(pred)))), 1, F.size(gold))
+    return F.zip_with(gold, pred, lambda g, p: F.struct(g.alias("gold"), p.alias("pred")))
 
 
 def unmasked(labels: Column, tags: Column, ignore: int = IGNORE) -> Column:

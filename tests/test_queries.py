@@ -41,3 +41,16 @@ def test_queries_read_all_words(spark, con):
     assert got == {k: n for k, n in want.items() if n}
     assert QUERIES["label_distribution"](spark, DIR).agg({"n": "sum"}).first()[0] == sum(want.values())
     assert QUERIES["bootstrap_ci"](spark, DIR).first()["rounds"] == 1000
+
+
+def test_masked_sequences_cut_texts_once(spark, tmp_path):
+    """No filter has the texts' words and tags made again; texts with no word, or one, have no row."""
+    import duckdb
+
+    plan = QUERIES["masked_sequences"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    texts = [None, "", " \n ", "one", "two words", " ".join("abcdefg"[: k % 7 + 1] for k in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert not compare.differences(spark, con, str(tmp_path), QUERIES["masked_sequences"], ORACLE_SQL["masked_sequences"])
