@@ -479,3 +479,28 @@ def test_sub_words_are_columns(spark):
     df = spark.createDataFrame([(1, "ax"), (2, ""), (3, None), (4, "b")], "i int, text string").coalesce(1)
     got = {r["i"]: [tuple(t) for t in r["tokens"]] for r in subwords.encode(df, "text", make, group=2).collect()}
     assert got == {1: [(0, 1, "a", 97, False), (1, 2, "x", 120, True)], 2: [], 3: [], 4: [(0, 1, "b", 98, False)]}
+
+
+def test_keyed_stream_state_goes_by_changes(spark, tmp_path, monkeypatch):
+    """Commits write changes, keys are not counted, and a checkpoint with whole stores goes on that way; the session keeps its settings."""
+    src, table = tmp_path / "in", VersionedTable(spark, str(tmp_path / "out"), "k", 4)
+    src.mkdir()
+    were = {k: spark.conf.get(k, None) for k in ingest.STATE}
+
+    def go(lines):
+        (src / f"{len(list(src.iterdir()))}.json").write_text(lines)
+        stream = spark.readStream.schema("k string, n int").json(str(src))
+        query = ingest.start_keyed(ingest.first_of_keys(stream, "k"), table, "s", str(tmp_path / "ck"))
+        query.awaitTermination()
+        last = query.recentProgress[-1]
+        last = last if isinstance(last, dict) else json.loads(last.json)
+        return last["stateOperators"][0]["numRowsTotal"], len(list((tmp_path / "ck" / "state").rglob("*.changelog")))
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "STATE", {k: v for k, v in ingest.STATE.items() if "providerClass" in k})
+        assert go('{"k": "a", "n": 1}\n{"k": null, "n": 2}\n') == (2, 0)
+    total, changes = go('{"k": "a", "n": 3}\n{"k": "b", "n": 4}\n{"k": null, "n": 5}\n')
+    assert total == 0 and changes > 0
+    assert go('{"k": "b", "n": 6}\n{"k": "c", "n": 7}\n')[1] > changes
+    assert sorted(((r["k"] or "", r["n"]) for r in table.read().collect())) == [("", 2), ("a", 1), ("b", 4), ("c", 7)]
+    assert {k: spark.conf.get(k, None) for k in ingest.STATE} == were
