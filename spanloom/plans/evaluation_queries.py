@@ -9,7 +9,7 @@ from spanloom.operators import datasets as D
 from spanloom.operators import metrics as M
 from spanloom.operators import spans as S
 from spanloom.operators.annotate import is_unanimous
-from spanloom.plans.adapters import G_SQL, SPANS_SQL, table, tags
+from spanloom.plans.adapters import G_SQL, SPANS_SQL, table, tagged_texts, tags
 from spanloom.schemas import BIO
 
 QUERIES, SQL = {}, {}
@@ -25,8 +25,8 @@ def query(sql: str | None = None):
     return put
 
 
-def _scored(spark, sf_dir):
-    return M.with_spans(tags(spark, sf_dir))
+def _scored(spark, sf_dir, worded=False):
+    return M.with_spans(tagged_texts(spark, sf_dir, worded))
 
 
 def _score(tp, n_pred, n_gold):
@@ -86,7 +86,7 @@ k AS (SELECT 'correct' AS kind FROM (SELECT DISTINCT example_id FROM tags) WHERE
   UNION ALL SELECT 'false_positive' FROM extra a WHERE NOT EXISTS (SELECT 1 FROM gold_spans b WHERE {_ANY}))
 SELECT kind, count(*) AS n FROM k GROUP BY kind""")
 def error_taxonomy_a(spark, sf_dir):
-    return M.errors_simple(_scored(spark, sf_dir))
+    return M.errors_simple(_scored(spark, sf_dir, worded=True))
 
 
 @query(f"""WITH {SPANS_SQL},
