@@ -10,8 +10,10 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spanloom.functions import text as X
 from spanloom.operators.spans import decode_lenient, meeting
@@ -129,18 +131,42 @@ def _met(df: DataFrame) -> DataFrame:
     return meeting(meeting(df, "gold_spans", "pred_spans", "_gold"), "pred_spans", "gold_spans", "_pred")
 
 
-def errors_simple(df: DataFrame) -> DataFrame:
-    """``kind, n``: examples that are right, and the kinds of wrong spans in the others."""
+_SIMPLE = ("correct", "false_negative", "span_boundary", "aspect_confusion", "false_positive")
+
+
+@F.arrow_udf(StructType([StructField(k, LongType()) for k in _SIMPLE]))
+def _simple_counts(gold: pa.Array, pred: pa.Array) -> pa.Array:
+    """The kinds of each row's spans by number; both sides are in order and apart, so sorted searches over a whole batch find who meets whom."""
+    sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (gold, pred)]
+    flat = [c.flatten() for c in (gold, pred)]
+    start, end = ([pc.struct_field(c, k).to_numpy(zero_copy_only=False).astype(np.int64) for c in flat] for k in ("start", "end"))
+    named = pa.chunked_array([pc.struct_field(c, "aspect") for c in flat]).combine_chunks().dictionary_encode(null_encoding="encode")
+    aspect = np.split(named.indices.to_numpy(zero_copy_only=False).astype(np.int64), [len(start[0])])
+    apart, row = 1 + max(int(e.max(initial=0)) for e in end), [np.repeat(np.arange(len(n)), n) for n in sizes]
+    start, end = [s + r * apart for s, r in zip(start, row)], [e + r * apart for e, r in zip(end, row)]
 
-    def kind(x: Column) -> Column:
-        own = F.exists(x["met"], lambda c: c["aspect"] == x["s"]["aspect"])
-        return F.when(F.size(x["met"]) == 0, "false_negative").when(own, "span_boundary").otherwise("aspect_confusion")
+    def stretch(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """From which to which of the other side's spans each span meets."""
+        return np.searchsorted(end[b], start[a], "left"), np.searchsorted(start[b], end[a], "right")
 
-    unlike = lambda side: F.filter(side, lambda x: ~F.exists(x["met"], lambda c: c == x["s"]))
-    rows = _met(df).withColumns({"_missed": unlike("_gold"), "_extra": unlike("_pred")})
-    lone = F.filter("_extra", lambda x: F.size(x["met"]) == 0)
-    right = F.when((F.size("_missed") == 0) & (F.size("_extra") == 0), "correct")
-    return _tally(rows, F.concat(F.array(right), F.transform("_missed", kind), F.transform(lone, lambda s: F.lit("false_positive"))))
+    first, stop = stretch(0, 1)
+    at = np.minimum(first, max(0, len(start[1]) - 1))  # a span that is the same is the first one met
+    same = (first < stop) & (start[1][at] == start[0]) & (end[1][at] == end[0]) & (aspect[1][at] == aspect[0]) if len(start[1]) else np.zeros(len(first), bool)
+    keys = np.sort(aspect[1] * (len(start[1]) + 1) + np.arange(len(start[1])))
+    own = np.searchsorted(keys, aspect[0] * (len(start[1]) + 1) + stop) > np.searchsorted(keys, aspect[0] * (len(start[1]) + 1) + first)
+    other_first, other_stop = stretch(1, 0)
+    count = lambda side, which: np.bincount(row[side][which], minlength=len(sizes[0]))
+    tp = count(0, same)
+    missed = count(0, first == stop), count(0, ~same & own), count(0, ~same & ~own & (first < stop))
+    right = (tp == sizes[0]) & (tp == sizes[1])
+    return pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (right, *missed, count(1, other_first == other_stop))], list(_SIMPLE))
+
+
+def errors_simple(df: DataFrame) -> DataFrame:
+    """``kind, n``: examples that are right, and the kinds of wrong spans in the others. Rows are counted where they are; only sums are shuffled."""
+    counts = df.select(_simple_counts("gold_spans", "pred_spans").alias("c")).agg(*[F.sum(F.col("c")[k]).alias(k) for k in _SIMPLE])
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in _SIMPLE])
+    return X.unnest(counts.withColumn("_x", each), "_x", item="x").select("x.*").where("n > 0")
 
 
 def errors_boundary(df: DataFrame, tokens_col: str | None = None, prefixes: str = "", shares: bool = False) -> DataFrame:

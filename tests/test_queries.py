@@ -76,3 +76,9 @@ def test_scores_of_odd_texts(spark, tmp_path, name):
         con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet' WHERE doc_id >= 0")
         spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id >= 0").write.parquet(f"{tmp_path}/some/documents.parquet")
     assert not compare.differences(spark, con, str(tmp_path) + ("" if name == "error_taxonomy_a" else "/some"), QUERIES[name], ORACLE_SQL[name])
+
+
+def test_error_taxonomy_a_counts_by_batches(spark):
+    """Spans meet and are counted in Arrow functions: no expression is evaluated for each word or span, and only sums are shuffled."""
+    plan = QUERIES["error_taxonomy_a"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan and plan.count("Aggregate") == 1
