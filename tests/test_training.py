@@ -140,6 +140,49 @@ def test_perceptron_is_the_same_on_any_partitions(spark):
     assert not none.pack().any() and not taggers.train_crf(rows.where("false"), "i", "words", "gold", names, size=16, rounds=2).pack().any()
 
 
+def test_perceptron_takes_its_rows_in_pieces(spark, monkeypatch):
+    """A group passes by in batches, not as a whole, and in the order of its ids' hash, whatever files its rows come from."""
+    from spanloom import storage
+
+    rows, names = posts(spark, 400, seed=9), list(BIO)
+    want = taggers.train_perceptron(rows, "i", "words", "gold", names, size=1 << 10, epochs=2, groups=2)
+    held, kept = [], storage.materialize
+    monkeypatch.setattr(taggers, "materialize", lambda df, name: held.append(kept(df, name)) or held[-1])
+    monkeypatch.setattr(taggers, "discard", lambda *t: None)
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "16", "spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = taggers.train_perceptron(rows, "i", "words", "gold", names, size=1 << 10, epochs=2, groups=2)
+        sizes = [len(r["sizes"]) // 4 for r in held[0].select("sizes").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert np.array_equal(got.pack(), want.pack())
+    assert sum(sizes) == 400 and max(sizes) <= 16
+
+
+@pytest.mark.parametrize("integers", [True, False])
+def test_first_wrong_sequence(integers):
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n_tags, draw = int(rng.integers(1, 5)), (lambda *k: rng.integers(-2, 3, k).astype(float)) if integers else (lambda *k: rng.normal(size=k))
+        model = taggers.TagModel(draw(12, n_tags), draw(n_tags, n_tags), draw(n_tags))
+        sizes = rng.integers(1, 7, rng.integers(1, 9))
+        features = [rng.integers(0, 12, (n, taggers.TEMPLATES)).astype(np.int32) for n in sizes]
+        best = []
+        for f in features:  # the first of the best paths, by their last tag, then the one before it
+            paths = itertools.product(range(n_tags), repeat=len(f))
+            best.append(max(paths, key=lambda p: (round(score(model, f, np.array(p)), 9), tuple(-t for t in p[::-1]))))
+        flat, tags = np.concatenate(features), np.concatenate([np.array(p, np.int32) for p in best])
+        assert (model.best_tags(flat, sizes) == tags).all() and model.first_wrong(flat, tags, sizes) is None
+        other = np.where(rng.random(len(tags)) < 0.1, rng.integers(0, n_tags, len(tags)), tags).astype(np.int32)
+        found = model.first_wrong(flat, other, sizes)
+        wrong = [i for i, p in enumerate(np.split(other, np.cumsum(sizes)[:-1])) if tuple(p) != best[i]]
+        assert (found is None) == (not wrong) and (not wrong or found[0] == wrong[0] and tuple(found[1]) == best[wrong[0]])
+
+
 def test_crf_beats_keywords(spark):
     got = {(r["model"], r["aspect"]): r["f1"] for r in Q.crf_tagger(spark, SF).collect()}
     aspects = {a for _, a in got}
