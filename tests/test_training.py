@@ -57,6 +57,29 @@ def test_crf_against_all_paths():
         assert tuple(path) == max(itertools.product(range(3), repeat=len(path)), key=lambda p: score(model, features[i], np.array(p)))
 
 
+def test_crf_gradient_of_blocks(spark, monkeypatch):
+    """Blocks, with each different word scored once, give the loss and gradient of the sequences one by one; they are read by several tasks for each core."""
+    monkeypatch.setattr(taggers, "PART", 11)
+    rows, names, size = posts(spark, 90), list(BIO), 1 << 9
+    model = made_up(3, n_tags=len(names), size=size)[0]
+    held, kept = [], taggers._by_size
+    monkeypatch.setattr(taggers, "_by_size", lambda *a: held.append(kept(*a)) or held[-1])
+    monkeypatch.setattr(taggers, "discard", lambda *t: None)
+    taggers.train_crf(rows, "i", "words", "gold", names, size=size, rounds=1)
+    assert held[0].rdd.getNumPartitions() >= min(held[0].count(), 2 * spark.sparkContext.defaultParallelism)
+    for times in (1, 500):  # the second ones in log space
+        far = taggers.TagModel.unpack(model.pack() * times, *model.emit.shape)
+        words, tags = (rows.orderBy("i").toArrow()[k].combine_chunks() for k in ("words", "gold"))
+        table, index, sizes = taggers.coded_words(words, size, {})
+        block, grad = taggers.Block.of(table, index, taggers._numbers(tags, {n: i for i, n in enumerate(names)}), sizes), taggers.TagModel.zeros(size, len(names))
+        assert len(list(block.parts())) > 5
+        got = far.block_gradient(block, grad)
+        ordered = taggers.encode(rows, "i", "words", "gold", names, size).collect()
+        batch = taggers.Batch.of([np.array(r["features"], np.int32).reshape(-1, taggers.TEMPLATES) for r in ordered], [np.array(r["tags"], np.int32) for r in ordered])
+        want, same = far.loss_gradient(batch)
+        assert np.isclose(got, want) and np.allclose(grad.pack(), same.pack())
+
+
 def test_crf_with_scores_far_apart():
     model, features, tags = made_up(4)
     for times in (1, 500):
